@@ -62,14 +62,18 @@ def _mentions(text: str) -> set[str]:
 
 
 def _closure(body: str) -> list[str]:
-    """Shared CTEs the text needs, in definition order."""
-    seen, todo = set(), _mentions(body)
-    while todo:
-        n = todo.pop()
-        if n not in seen:
-            seen.add(n)
-            todo |= _mentions(CTES[n]) - {n}
-    return [n for n in CTES if n in seen]
+    """Shared CTEs the text needs, each after those it reads."""
+    out: list[str] = []
+
+    def visit(name: str) -> None:
+        if name not in out:
+            for dep in sorted(_mentions(CTES[name]) - {name}):
+                visit(dep)
+            out.append(name)
+
+    for n in sorted(_mentions(body)):
+        visit(n)
+    return out
 
 
 CHECKS: dict[str, Check] = {}

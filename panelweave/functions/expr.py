@@ -1,7 +1,7 @@
 """Column expressions shared by the operators."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 TRADING_DAYS = 252
 INF = float("inf")
@@ -72,19 +72,21 @@ def running(key) -> "W":
 
 
 def scatter(a: Column, b: Column, seed: int = 42) -> Column:
-    """Repeatable integer in [0, 2^31) from two longs: two linear congruential steps.
+    """Repeatable, well mixed integer in [0, 2^32) from two longs.
 
-    Plain 64-bit arithmetic, so any engine reproduces the same draw from (seed, a, b).
+    A public 32-bit finaliser (xor-shift and multiply) in plain 64-bit arithmetic, so any engine
+    reproduces the same draw from (seed, a, b); the library's own hash functions would not.
     """
-    m = F.lit(2147483648).cast("long")
-    x = F.pmod(a.cast("long") * F.lit(2654435761) + b.cast("long") * F.lit(40503) + F.lit(seed * 12345), m)
-    x = F.pmod(x * F.lit(1103515245) + F.lit(12345), m)
-    return F.pmod(x * F.lit(1103515245) + F.lit(12345), m)
+    m = F.lit(4294967296)
+    x = F.pmod(a.cast("long") * F.lit(2654435761) + b.cast("long") * F.lit(2246822519) + F.lit(seed), m)
+    for shift, factor in ((16, 569420461), (15, 1935289751)):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor), m)
+    return x.bitwiseXOR(F.shiftright(x, 15))
 
 
 def draw(a: Column, b: Column, n: Column, seed: int = 42) -> Column:
-    """0-based draw from n items; the low bits of the step are dropped."""
-    return F.pmod(F.floor(scatter(a, b, seed) / F.lit(8)).cast("long"), n.cast("long"))
+    """0-based draw from n items."""
+    return F.pmod(scatter(a, b, seed), n.cast("long"))
 
 
 def pct(c: Column, digits: int = 1) -> Column:
@@ -94,3 +96,9 @@ def pct(c: Column, digits: int = 1) -> Column:
 def ordinals(df: DataFrame, name: str, out: str = "ord") -> DataFrame:
     """Rank of the distinct values of a dimension column (catalog sized, never fact sized)."""
     return df.select(name).distinct().withColumn(out, F.row_number().over(W.orderBy(name)).cast("long"))
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """Small configuration table as literals: Spark knows its size, so joins to it broadcast by themselves."""
+    cols = names.split()
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(cols, r)]) for r in rows])))

@@ -96,14 +96,14 @@ check("w13_xirr", "account_id# xirr~", lambda v: sequence.xirr(v.cash_flows),
 def savers(v):
     return v.users.select("user_id", F.col("investable_amount").alias("lump"), (F.col("annual_income") / 120).alias("monthly"),
                           F.col("horizon_years").alias("years"),
-                          sequence.base_growth(F.when(F.col("slider") > 0, F.col("slider") / 4), F.when(F.col("slider") <= 0, F.lit(0.005))).alias("base_cagr"))
+                          sequence.base_growth(F.when(F.col("slider") > 15, F.col("slider") / 10), F.when(F.col("slider") <= 15, F.col("slider") / 400)).alias("base_cagr"))
 
 
 check("w14_projection_table", "user_id# scenario year# value~2", lambda v: sequence.projection_table(savers(v)),
       """SELECT user_id, scenario, year, CASE WHEN year = 0 THEN lump WHEN r = 0 THEN lump + monthly * m ELSE lump * (1 + r) ** m + monthly * ((1 + r) ** m - 1) / r END AS value FROM (
         SELECT user_id, scenario, year, investable_amount AS lump, annual_income / 120 AS monthly, year * 12 AS m,
           CASE scenario WHEN 'Conservative' THEN greatest(0.01::DOUBLE, b - 0.02::DOUBLE) WHEN 'Base' THEN b ELSE b + 0.02::DOUBLE END / 12 AS r FROM (
-          SELECT *, CASE WHEN slider IS NULL THEN 0.06 WHEN slider <= 0 THEN 0.005 WHEN slider / 4 > 1.5 THEN slider / 400 ELSE slider / 4 END::DOUBLE AS b,
+          SELECT *, CASE WHEN slider IS NULL THEN 0.06 WHEN slider > 15 THEN slider / 1000 ELSE slider / 400 END::DOUBLE AS b,
             unnest(range(greatest(1, horizon_years) + 1)) AS year FROM t_users), (VALUES ('Conservative'), ('Base'), ('Optimistic')) s(scenario))""")
 
 # ---- J ----------------------------------------------------------------------------------------
@@ -123,15 +123,16 @@ check("j03_portfolio_curve", "portfolio_id date@ value~", lambda v: blend.portfo
 CTES["t_full"] = """SELECT * FROM (SELECT portfolio_id, ticker, weight, date, ret, count(*) OVER (PARTITION BY portfolio_id, date) AS have, k
   FROM (SELECT *, count(*) OVER (PARTITION BY portfolio_id) AS k FROM t_booksc) JOIN t_retc USING (ticker)) WHERE have = k"""
 CTES["t_fullp"] = "SELECT portfolio_id, date, sum(weight * ret) AS ret FROM t_full GROUP BY 1, 2"
-CTES["t_pm"] = f"""SELECT portfolio_id, true AS valid, CAST(NULL AS VARCHAR) AS reason, (v1 / v0) ** (252.0::DOUBLE / n) - 1 AS cagr, sd * sqrt(252) AS volatility,
-  ((v1 / v0) ** (252.0::DOUBLE / n) - 1 - 0.015) / (sd * sqrt(252)) AS sharpe, max_dd AS max_drawdown, v1 - 1 AS total_return,
-  wv / (sd * sqrt(252)) AS diversification_ratio, num_holdings
-FROM (SELECT portfolio_id, count(*) AS n, arg_min(value, date) AS v0, arg_max(value, date) AS v1, stddev_samp(ret) AS sd, min(dd) AS max_dd FROM (
+CTES["t_pm"] = """SELECT portfolio_id, coalesce(n >= 2, false) AS valid, CASE WHEN n IS NULL THEN 'insufficient returns data' WHEN n < 2 THEN 'insufficient data' END AS reason,
+  CASE WHEN n >= 2 THEN (v1 / v0) ** (252.0::DOUBLE / n) - 1 END AS cagr, CASE WHEN n >= 2 THEN sd * sqrt(252) END AS volatility,
+  CASE WHEN n >= 2 THEN ((v1 / v0) ** (252.0::DOUBLE / n) - 1 - 0.015) / (sd * sqrt(252)) END AS sharpe, CASE WHEN n >= 2 THEN max_dd END AS max_drawdown,
+  CASE WHEN n >= 2 THEN v1 - 1 END AS total_return, CASE WHEN n >= 2 THEN wv / (sd * sqrt(252)) END AS diversification_ratio, num_holdings
+FROM (SELECT portfolio_id, count(*) FILTER (weight > 1e-4) AS num_holdings FROM t_booksc GROUP BY 1)
+LEFT JOIN (SELECT portfolio_id, count(*) AS n, arg_min(value, date) AS v0, arg_max(value, date) AS v1, stddev_samp(ret) AS sd, min(dd) AS max_dd FROM (
     SELECT *, value / max(value) OVER (PARTITION BY portfolio_id ORDER BY date) - 1 AS dd FROM (
-      SELECT *, product(1 + ret) OVER (PARTITION BY portfolio_id ORDER BY date) AS value FROM t_fullp)) GROUP BY 1)
-JOIN (SELECT portfolio_id, sum(weight * sd) AS wv FROM (SELECT portfolio_id, ticker, any_value(weight) AS weight, stddev_samp(ret) * sqrt(252) AS sd
-    FROM t_full GROUP BY 1, 2) GROUP BY 1) USING (portfolio_id)
-JOIN (SELECT portfolio_id, count(*) FILTER (weight > 1e-4) AS num_holdings FROM t_booksc GROUP BY 1) USING (portfolio_id)"""
+      SELECT *, product(1 + ret) OVER (PARTITION BY portfolio_id ORDER BY date) AS value FROM t_fullp)) GROUP BY 1) USING (portfolio_id)
+LEFT JOIN (SELECT portfolio_id, sum(weight * sd) AS wv FROM (SELECT portfolio_id, ticker, any_value(weight) AS weight, stddev_samp(ret) * sqrt(252) AS sd
+    FROM t_full GROUP BY 1, 2) GROUP BY 1) USING (portfolio_id)"""
 PM = "portfolio_id valid? reason cagr~ volatility~ sharpe~ max_drawdown~ total_return~ diversification_ratio~ num_holdings#"
 check("j04_portfolio_metrics", PM, lambda v: blend.portfolio_metrics(v.books_class, v.returns_class), "SELECT * FROM t_pm")
 

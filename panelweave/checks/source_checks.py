@@ -170,7 +170,7 @@ CTES["t_rec0"] = """SELECT c.symbol, c.asset_class, core_or_satellite, start, "e
   SELECT symbol, asset_class, core_or_satellite FROM t_catalog UNION ALL SELECT r_name, 'equity', 'satellite' FROM region) c
   LEFT JOIN (SELECT *, len(list_filter(generate_series(start, "end", INTERVAL 1 DAY), lambda x: isodow(x) <= 5))::DOUBLE AS expected FROM (
     SELECT ticker, min(date) AS start, max(date) AS "end", count(*) AS n, median(volume) AS vol FROM t_ohlcv GROUP BY 1)) g ON c.symbol = ticker"""
-CTES["t_rec"] = """SELECT symbol, asset_class, core_or_satellite, start, "end", round(years, 2) AS history_years, coalesce(round(gap, 2), 100) AS missing_pct,
+CTES["t_rec"] = """SELECT symbol, asset_class, core_or_satellite, start, "end", round(years, 2) AS history_years, if(n IS NULL, 100, round(gap, 2)) AS missing_pct,
   coalesce(n, 0) AS n_obs, floor(vol) AS median_volume, coalesce(h AND m AND l, false) AS valid,
   CASE WHEN n IS NULL THEN 'no_data' ELSE nullif(concat_ws(',', CASE WHEN NOT h THEN 'years<7' END, CASE WHEN NOT m THEN 'missing>' END, CASE WHEN NOT l THEN 'vol<30.0' END), '') END AS reason
 FROM (SELECT *, years >= floor - 0.01 AS h, gap <= 45 AS m, vol >= 30 AS l FROM t_rec0)"""

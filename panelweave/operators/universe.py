@@ -113,7 +113,7 @@ def objective_universe(catalog: DataFrame, objective: str) -> DataFrame:
 
 def band_universe(universe: DataFrame, objectives: DataFrame, bands: DataFrame, tickers: DataFrame) -> DataFrame:
     """Available symbols of the allowed classes per objective; core only where preferred and enough."""
-    have = universe.join(tickers.select(C("ticker").alias("symbol")).distinct(), "symbol", "left_semi")
+    have = universe.select("symbol", "asset_class", "core_or_satellite").join(tickers.select(C("ticker").alias("symbol")).distinct(), "symbol", "left_semi")
     allowed = bands.where("band_max > 0").select("name", "asset_class").join(objectives.select("name", "min_holdings", "prefer_core"), "name")
     j = have.join(allowed, "asset_class")
     core = F.count_if(C("core_or_satellite") == "core").over(W.partitionBy("name"))

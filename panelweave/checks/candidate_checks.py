@@ -5,11 +5,12 @@ from ..functions import fixed
 from ..functions.expr import mod
 from ..operators import blend, candidates as cand, gates, matrix, stats
 from ..plans import recommend
+from ..session import stored
 from ..sources.catalog import objective_tables
 from .ctes import CTES
 from .investor_checks import profiles
 from .registry import check
-from .sequence_checks import SCENARIOS, contributions, regime_labels
+from .sequence_checks import SCENARIOS, regime_labels
 from .stats_checks import annual_sql, draw_sql, facts_sql, port, portc, scatter_sql
 
 C = F.col
@@ -34,7 +35,7 @@ CTES["t_smps"] = """SELECT *, (ret - 0.015) / vol AS sharpe FROM (SELECT a.sampl
   JOIN t_shrunk ON i = a.ticker AND j = b.ticker JOIN (SELECT sample, sum(weight * m) AS ret FROM t_smpw JOIN (
     SELECT ticker, product(1 + ret) ** (252.0::DOUBLE / count(*)) - 1 AS m FROM t_retc GROUP BY 1) USING (ticker) GROUP BY 1) r ON r.sample = a.sample GROUP BY 1)"""
 check("p05_searched_weights", "portfolio_id optimizer sample# ticker weight~ ret~ vol~ sharpe~", lambda v: cand.searched_weights(
-      v.books_class, matrix.as_rows(matrix.shrunk_covariance(v.returns_class)), stats.geometric_return(v.returns_class), 64, target_vol=0.14),
+      v.books_class_table, stored(matrix.as_rows(matrix.shrunk_covariance(v.returns_class_table))), stats.geometric_return(v.returns_class_table), 64, target_vol=0.14),
       """SELECT portfolio_id, optimizer, s.sample, ticker, weight, ret, vol, sharpe FROM (
         SELECT 'min_var' AS optimizer, arg_min(sample, vol) AS sample FROM t_smps UNION ALL SELECT 'max_sharpe', arg_max(sample, sharpe) FROM t_smps
         UNION ALL SELECT 'efficient_risk', arg_max(sample, CASE WHEN vol <= 0.14 THEN ret ELSE -vol - 1000 END) FROM t_smps) s
@@ -147,7 +148,7 @@ check("p13_class_band_check", "portfolio_id objective passed? fail_reason", lamb
 # ---- users x candidates -----------------------------------------------------------------------
 CFG = {"min_portfolio_sharpe": 0.232, "vol_soft_lower_factor": 0.88, "min_portfolio_cagr": 0.0499, "max_portfolio_drawdown": -0.09,
        "max_risk_contribution": 0.33, "min_diversification_ratio": 2.2}
-T5 = "min_cagr~ min_sharpe~ max_dd_limit~ vol_lower~9 vol_upper~9"
+T5 = "min_cagr~13 min_sharpe~13 max_dd_limit~13 vol_lower~15 vol_upper~13"
 CTES["t_adapt"] = """SELECT *, greatest(0.045, cagr_min * (0.82 + 0.10 * ce)) AS min_cagr, greatest(0.15, least(0.5, greatest(0.15, 0.232 + (x - 0.5) * 0.2)) * (0.88 + 0.07 * ce)) AS min_sharpe,
   greatest(-0.9, least(-0.2, least(-0.25, greatest(-0.8, -0.09 - (x - 0.5) * 0.4)) - (0.03 + 0.04 * ce))) AS max_dd_limit,
   greatest(0.02, vol_min * 0.88 * (0.65 + 0.15 * ce)) AS vol_lower, vol_max AS vol_upper FROM (SELECT *, greatest(0, 1 - abs(x - 0.5) * 2) AS ce FROM (SELECT *, true_risk / 100 AS x FROM t_prof))"""
@@ -174,11 +175,12 @@ CTES["t_st"] = f"""SELECT *, why IS NULL AS passed, why AS fail_reason, sharpe -
 
 
 def user_candidates(v):
-    m = blend.portfolio_metrics(v.books_class, v.returns_class)
-    rc = contributions(v).groupBy("portfolio_id").agg(F.max("risk_contribution").alias("_rc"))
+    rets, books = v.returns_class_table, v.books_class_table
+    m = blend.portfolio_metrics(books, rets)
+    rc = blend.risk_contributions(books, matrix.as_rows(matrix.covariance(rets, annual=False)), 252.0).groupBy("portfolio_id").agg(F.max("risk_contribution").alias("_rc"))
     part = F.split("portfolio_id", r"\|")
     m = m.join(rc, "portfolio_id", "left").withColumns({"max_rc": C("_rc") / C("volatility"), "nation_key": part[0].cast("long"), "name": part[1]}).drop("_rc")
-    return profiles(v).join(m, "nation_key")
+    return profiles(v).join(stored(m), "nation_key")
 
 
 def filtered(v):
@@ -197,8 +199,9 @@ def book_objective(c):
 
 
 def diversity(v):
-    now = blend.regime_performance(portc(v), regime_labels(v)).where("regime = 'Risk-on'")
-    return cand.diversity_score(stats.annualized_metrics(portc(v), "portfolio_id"), v.books_class, v.catalog_class, now, book_objective(C("portfolio_id")))
+    ret = stored(portc(v))
+    now = blend.regime_performance(ret, regime_labels(v)).where("regime = 'Risk-on'")
+    return cand.diversity_score(stats.annualized_metrics(ret, "portfolio_id"), v.books_class, v.catalog_class, now, book_objective(C("portfolio_id")))
 
 
 CTES["t_div"] = f"""SELECT *, base_score - 0.1 * concentration_penalty - 0.1 * sector_penalty + 0.1 * regime_sharpe AS score FROM (

@@ -54,16 +54,16 @@ check("u01_answer_scores", "user_id# " + " ".join(f"{q}~" for q in fixed.ANSWER_
 check("u02_questionnaire_score", "user_id# score~", lambda v: inv.score_answers(v.users).select("user_id", inv.questionnaire_score().alias("score")),
       "SELECT user_id, questionnaire_score AS score FROM t_score")
 check("u03_facts_score", "user_id# score~", lambda v: v.users.select("user_id", inv.facts_score().alias("score")), "SELECT user_id, facts_score AS score FROM t_score")
-check("u04_risk_profiles", "user_id# questionnaire_score~ facts_score~ combined_score~ slider_score~ true_risk~ vol_min~9 vol_target~9 vol_max~9 cagr_min~ cagr_target~ "
+check("u04_risk_profiles", "user_id# questionnaire_score~ facts_score~ combined_score~ slider_score~ true_risk~ vol_min~12 vol_target~12 vol_max~12 cagr_min~ cagr_target~ "
       "label horizon_years# objective", profiles, "SELECT * EXCLUDE (horizon_years), horizon AS horizon_years FROM t_prof")
-check("u04_risk_field_defaults", "user_id# vol_min~9 vol_target~9 vol_max~9 true_risk~",
+check("u04_risk_field_defaults", "user_id# vol_min~12 vol_target~12 vol_max~12 true_risk~",
       lambda v: inv.resolve_risk_fields(profiles(v).select("user_id", "vol_min", F.when(C("true_risk") > 50, C("true_risk")).alias("true_risk"))),
       "SELECT user_id, vol_min, 0.12 AS vol_target, 0.30 AS vol_max, if(true_risk > 50, true_risk, 50.0) AS true_risk FROM t_prof")
 check("u05_risk_label", "label users#", lambda v: profiles(v).groupBy(inv.risk_label("true_risk").alias("label")).agg(F.count("*").alias("users")),
       "SELECT label, count(*) AS users FROM t_prof GROUP BY 1")
 check("u06_growth_band", "user_id# lo~ hi~", lambda v: with_risk(v).select("user_id", *[c.alias(n) for c, n in zip(inv.growth_band("true_risk"), ("lo", "hi"))]),
       "SELECT user_id, cagr_min AS lo, cagr_target AS hi FROM t_prof")
-check("u07_volatility_band", "user_id# lo~9 mid~9 hi~9", lambda v: with_risk(v).select("user_id", *[c.alias(n) for c, n in zip(inv.volatility_band("true_risk"), ("lo", "mid", "hi"))]),
+check("u07_volatility_band", "user_id# lo~12 mid~12 hi~12", lambda v: with_risk(v).select("user_id", *[c.alias(n) for c, n in zip(inv.volatility_band("true_risk"), ("lo", "mid", "hi"))]),
       "SELECT user_id, vol_min AS lo, vol_target AS mid, vol_max AS hi FROM t_prof")
 check("u08_horizon_default", "user_id# years#", lambda v: v.users.select("user_id", inv.horizon().alias("years")),
       "SELECT user_id, if(horizon_years > 0, horizon_years, 10) AS years FROM t_users")
@@ -156,7 +156,7 @@ check("u17_credibility_parts", "user_id# score~ sample_size~ coverage_part~ dive
         SELECT user_id, least(1.0, user_id * 3 / 2500.0) AS a, least(1, nation_key / 20.0) AS b, greatest(0, least(1, (horizon_years / 2.0 - 1) / 9)) AS c,
           greatest(0, least(1, 0.2 + 0.3 * s + 0.5 * greatest(0, s - 1))) AS d, CASE WHEN slider IS NULL THEN 0.7 ELSE greatest(0, 1 - greatest(0, s - slider / 50)) END AS e
         FROM (SELECT *, emergency_fund_months / 4 AS s FROM t_users))""")
-check("u18_outcome_band", "user_id# low~9 high~9", lambda v: profiles(v).select("user_id", *[c.alias(n) for c, n in zip(
+check("u18_outcome_band", "user_id# low~13 high~13", lambda v: profiles(v).select("user_id", *[c.alias(n) for c, n in zip(
       inv.outcome_band("cagr_target", "vol_target", "facts_score"), ("low", "high"))]),
       "SELECT user_id, cagr_target - vol_target * (1 + (100 - facts_score) / 100) AS low, cagr_target + vol_target * (1 + (100 - facts_score) / 100) AS high FROM t_prof")
 check("u19_quality_label", "user_id# label", lambda v: v.users.select("user_id", inv.quality_label(mod(C("user_id"), 7) == 0, mod(C("user_id"), 5)).alias("label")),

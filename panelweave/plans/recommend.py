@@ -1,7 +1,9 @@
-"""End-to-end runs composed from the operators. Every result is a lazy table.
+"""End-to-end runs composed from the operators.
 
 Users who keep the same symbols share a universe, and candidates are built once per universe, not
 once per user: the heavy work grows with the distinct universes, the user side is a join.
+The runs write their intermediate tables to the shared folder (``session.stored``), so no stage is
+computed twice and a lost executor costs one stage at most.
 """
 from __future__ import annotations
 
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import fixed
 from ..operators import blend, candidates as cand, clean, investors, matrix, stats, universe
+from ..session import stored
 
 C = F.col
 EMERGENCY = "EMERGENCY_FALLBACK - Equal Weight"
@@ -37,7 +40,8 @@ def weights_by_method(holdings: DataFrame, rets: DataFrame, methods: list[str],
     parts = [simple[m]().select(*k, F.lit(m).alias("optimizer"), "ticker", "weight") for m in methods if m in simple]
     searched = [m for m in methods if m in ("max_sharpe", "min_var", "efficient_risk")]
     if searched:
-        found = cand.searched_weights(holdings, matrix.as_rows(matrix.shrunk_covariance(rets)), stats.geometric_return(rets), samples, rf, key=k)
+        rows = stored(matrix.as_rows(matrix.shrunk_covariance(rets)))
+        found = cand.searched_weights(holdings, rows, stats.geometric_return(rets), samples, rf, key=k)
         parts.append(found.where(C("optimizer").isin(searched)).select(*k, "optimizer", "ticker", "weight"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -49,18 +53,19 @@ def build_recommendations(profiles: DataFrame, rets: DataFrame, catalog: DataFra
 
     ``allowed`` (objective, symbol) narrows the universe of each user's objective.
     """
+    rets = stored(rets)
     asked = rets.select(C("ticker").alias("symbol")).distinct() if requested is None else requested
-    receipts = universe.asset_receipts(asked, stats.quality_metrics(rets, rf=rf), catalog, profiles, cfg)
+    receipts = universe.asset_receipts(asked, stored(stats.quality_metrics(rets, rf=rf)), catalog, profiles, cfg)
     if allowed is not None:
         mine = profiles.select("user_id", "objective").join(allowed.select("objective", "symbol"), "objective")
         receipts = receipts.join(mine.select("user_id", "symbol"), ["user_id", "symbol"], "left_semi")
     mine = receipts.where("passed").groupBy("user_id").agg(F.sort_array(F.collect_set("symbol")).alias("_s"))  # one universe
-    mine = mine.where(F.size("_s") >= min_assets).select("user_id", F.array_join("_s", "|").alias("universe_id"))
+    mine = stored(mine.where(F.size("_s") >= min_assets).select("user_id", F.array_join("_s", "|").alias("universe_id")))
     holdings = mine.select("universe_id").distinct().withColumn("ticker", F.explode(F.split("universe_id", r"\|")))
     base = weights_by_method(holdings, rets, list(methods), "universe_id", samples, rf)
-    base = base.withColumn("portfolio_id", F.concat_ws("#", "universe_id", "optimizer"))
+    base = stored(base.withColumn("portfolio_id", F.concat_ws("#", "universe_id", "optimizer")))
     metrics = blend.portfolio_metrics(base.select("portfolio_id", "ticker", "weight"), rets, rf)
-    cov = matrix.as_rows(matrix.covariance(rets, annual=False))
+    cov = stored(matrix.as_rows(matrix.covariance(rets, annual=False)))
     rc = blend.risk_contributions(base.select("portfolio_id", "ticker", "weight"), cov, float(stats.ANNUAL))
     top = rc.groupBy("portfolio_id").agg(F.max("risk_contribution").alias("_rc"))
     metrics = metrics.join(top, "portfolio_id", "left").withColumn("max_rc", F.col("_rc") / C("volatility")).drop("_rc")
@@ -70,12 +75,13 @@ def build_recommendations(profiles: DataFrame, rets: DataFrame, catalog: DataFra
     named = grid.withColumnRenamed("_o", "optimizer")
     weights = named.join(base.select("portfolio_id", "ticker", "weight"), "portfolio_id")
     clash = cand.conflicts(weights, "universe_id", "name", inclusive=False)
-    book = named.join(metrics.where("valid"), "portfolio_id").join(clash, ["universe_id", "name"])
+    book = stored(named.join(metrics.where("valid"), "portfolio_id").join(clash, ["universe_id", "name"]))
 
     rows = profiles.join(mine, "user_id").join(book, "universe_id")
     strict = cand.filter_portfolios(cand.strict_thresholds(rows, cfg), cfg).withColumn("composite_score", cand.composite_score())
     drop = ["min_cagr", "min_sharpe", "max_dd_limit", "vol_lower", "vol_upper"]
     both = cand.adaptive_thresholds(strict.drop(*drop), cfg).withColumn("relaxed", cand.fail_reason(cfg).isNull()).withColumn("strict", C("passed")).drop(*drop)
+    both = stored(both)
     recommended = cand.fallback_ladder(both, profiles.select("user_id", F.lit(EMERGENCY).alias("name")), n)
     short = profiles.select("user_id").join(mine.select("user_id", F.lit(True).alias("_ok")), "user_id", "left")
     recommended = recommended.join(short, "user_id").withColumn("original_fail_reason", F.when(
@@ -94,7 +100,8 @@ def build_recommendations_for_objectives(profiles: DataFrame, rets: DataFrame, c
     fit, adjusted bands and stretch objective per user."""
     known = objectives.select(C("name").alias("_k"))
     p = profiles.join(known, C("objective") == C("_k"), "left").withColumn("objective", F.coalesce("_k", F.lit("BALANCED"))).drop("_k")
-    fits = universe.band_universe(catalog, objectives, bands, rets)
+    p, rets = stored(p), stored(rets)
+    fits = stored(universe.band_universe(catalog, objectives, bands, rets))
     enough = fits.groupBy("objective").agg(F.count("*").alias("_n")).join(objectives.select(C("name").alias("objective"), "min_holdings"), "objective", "right")
     small = enough.where(F.coalesce("_n", F.lit(0)) < C("min_holdings")).select("objective")
     whole = rets.agg(F.sort_array(F.collect_set("ticker"))).scalar()  # the catalog's symbols
@@ -104,6 +111,7 @@ def build_recommendations_for_objectives(profiles: DataFrame, rets: DataFrame, c
     mine = run.all_candidates.select("user_id", "name", "universe_id", "objective")
     held = run.candidate_weights.join(catalog.select(C("symbol").alias("ticker"), "asset_class"), "ticker", "left")
     by_objective = mine.select("universe_id", "name", "objective").distinct().join(held, ["universe_id", "name"])
+    by_objective = stored(by_objective)
     verdict = cand.class_band_check(by_objective, bands, ["universe_id", "name"]).select("universe_id", "name", "objective", C("passed").alias("in_bands"))
     checked = run.recommended.join(mine, ["user_id", "name"], "left").join(verdict, ["universe_id", "name", "objective"], "left")
     ok = F.coalesce("in_bands", F.lit(False))
@@ -161,7 +169,7 @@ def candidate_run(rets: DataFrame, classes: DataFrame, regimes: DataFrame, *, ob
     Subset and look-back per variant, method, regime tilt, core/satellite and class caps, metrics,
     diversity score, near-duplicate removal, one relaxed second grid for thin groups, top n.
     """
-    live = clean.drop_constant(rets)
+    live, regimes = stored(clean.drop_constant(rets)), stored(regimes)
     groups = live.select("ticker").distinct().withColumn("group_id", F.explode(F.array(*map(F.lit, objectives))))
     flags = blend.class_flags(classes)
     tiers = flags.select(C("symbol").alias("ticker"), "asset_class", F.when(C("is_alt"), "satellite").when(
@@ -189,16 +197,16 @@ def candidate_run(rets: DataFrame, classes: DataFrame, regimes: DataFrame, *, ob
         limits = grid.select(F.concat_ws("#", *kg).alias("portfolio_id"), "sat_cap", "group_id").withColumns({"_c": core_min, "_1": single}).select("portfolio_id", "_c", "_1")
         w = cand.constrain_core_satellite(w.join(limits, "portfolio_id"), C("_c"), C("sat_cap"), C("_1"))
         w = w.join(tiers.select("ticker", "asset_class"), "ticker", "left").na.fill("unknown", ["asset_class"])
-        return cand.redistribute_class_caps(w, class_caps or fixed.CLASS_CAPS).withColumns(
-            {"group_id": F.split("portfolio_id", "#")[0], "name": F.split("portfolio_id", "#")[1]})
+        return stored(cand.redistribute_class_caps(stored(w), class_caps or fixed.CLASS_CAPS).withColumns(
+            {"group_id": F.split("portfolio_id", "#")[0], "name": F.split("portfolio_id", "#")[1]}))
 
     def score(w: DataFrame) -> DataFrame:
-        port = blend.portfolio_returns(live, w)
+        port = stored(blend.portfolio_returns(live, w))
         perf = blend.regime_performance(port, regimes)
         now = perf.join(regimes.orderBy(F.desc("date")).limit(30).agg(F.mode("regime", True).alias("regime")), "regime", "left_semi")
         m = stats.annualized_metrics(port, "portfolio_id").where("volatility > 0")
         s = cand.diversity_score(m, w.select("portfolio_id", "ticker", "weight"), classes, now, F.split("portfolio_id", "#")[0])
-        return m.join(s, "portfolio_id").withColumns({"group_id": F.split("portfolio_id", "#")[0], "name": F.split("portfolio_id", "#")[1]})
+        return m.join(s.drop("regime_sharpe"), "portfolio_id").withColumns({"group_id": F.split("portfolio_id", "#")[0], "name": F.split("portfolio_id", "#")[1]})
 
     grid = cand.variant_grid(groups.select("group_id").distinct(), methods, caps)
     names = [f"{m.upper()} - Sat {round(c * 100)}%" for m in methods for c in caps]
@@ -206,14 +214,14 @@ def candidate_run(rets: DataFrame, classes: DataFrame, regimes: DataFrame, *, ob
     whole = groups.withColumn("name", F.explode(F.array(*[F.lit(x) for x in names if x.startswith("EQUAL_WEIGHT")]))).withColumn("lookback", F.lit(100000))
     subset = subset.where(~C("name").startswith("EQUAL_WEIGHT")).unionByName(whole.select(*subset.columns))
     w1 = finish(grid, subset)
-    s1 = score(w1).join(cand.conflicts(w1), kg)
-    kept = cand.drop_near_duplicates(s1, "group_id")
-    more = cand.relaxed_grid(kept.select("group_id"), groups, n)
+    s1 = stored(score(w1).join(cand.conflicts(w1), kg))
+    kept = stored(cand.drop_near_duplicates(s1, "group_id"))
+    more = stored(cand.relaxed_grid(kept.select("group_id"), groups, n))
     w2 = finish(more, groups.join(more.select(*kg, "lookback"), "group_id"))
     pool = w1.join(kept.select(*kg), kg, "left_semi").unionByName(w2)
     both = score(w2).select("portfolio_id", *kg, "cagr", "volatility", "sharpe", "max_dd", "score").withColumn("_second", F.lit(1)).unionByName(
         kept.select("portfolio_id", *kg, "cagr", "volatility", "sharpe", "max_dd", "score").withColumn("_second", F.lit(0)))
-    both = both.join(cand.conflicts(pool), kg).withColumn("_order", F.struct(-C("_second"), C("score")))  # first grid first
+    both = stored(both).join(cand.conflicts(stored(pool)), kg).withColumn("_order", F.struct(-C("_second"), C("score")))  # first grid first
     final = cand.drop_near_duplicates(both, "group_id", score="_order")
     return cand.top_candidates(final.drop("conflicts", "_second"), n, "group_id", "_order").drop("_order"), pool
 

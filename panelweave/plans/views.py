@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.expr import choose, lookup, mod
 from ..operators import clean
+from ..session import stored
 
 CLASS_OF_REGION = {"AFRICA": "equity", "AMERICA": "bond", "ASIA": "reit", "EUROPE": "commodity", "MIDDLE EAST": "cash"}
 SERIES_OF_EVENT = {"click": "DGS10", "view": "CPIAUCSL", "error": "UNRATE", "purchase": "FEDFUNDS", "signup": "T10Y2Y"}
@@ -91,6 +92,19 @@ class Views:
     def returns_class(self) -> DataFrame:
         return clean.simple_returns(self.prices_class)
 
+    @cached_property
+    def returns_table(self) -> DataFrame:
+        """The return panel as a written table, for queries that read it many times."""
+        return stored(self.returns)
+
+    @cached_property
+    def returns_class_table(self) -> DataFrame:
+        return stored(self.returns_class)
+
+    @cached_property
+    def books_class_table(self) -> DataFrame:
+        return stored(self.books_class)
+
     @cached_property
     def catalog(self) -> DataFrame:
         """One row per ticker of the price panel."""

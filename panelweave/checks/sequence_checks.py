@@ -108,8 +108,7 @@ check("w14_projection_table", "user_id# scenario year# value~2", lambda v: seque
 
 # ---- J ----------------------------------------------------------------------------------------
 check("j01_portfolio_returns", "portfolio_id date@ ret~", port, "SELECT * FROM t_port")
-check("j01_customer_portfolio_summary", "portfolio_id n# mean~ total~", lambda v: blend.portfolio_returns(v.returns_class, v._weights(
-      F.col("o_custkey").cast("string"), F.col("cls"))).groupBy("portfolio_id").agg(
+check("j01_customer_portfolio_summary", "portfolio_id n# mean~ total~", lambda v: blend.portfolio_returns(v.returns_class, v.customer_weights("cls")).groupBy("portfolio_id").agg(
       F.count("*").alias("n"), F.avg("ret").alias("mean"), F.sum("ret").alias("total")),
       """SELECT portfolio_id, count(*) AS n, avg(ret) AS mean, sum(ret) AS total FROM (SELECT portfolio_id, date, sum(weight * ret) AS ret FROM (
         SELECT customer AS portfolio_id, cls AS ticker, sum(x) / sum(sum(x)) OVER (PARTITION BY customer) AS weight FROM t_spend GROUP BY 1, 2)

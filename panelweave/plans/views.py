@@ -142,19 +142,28 @@ class Views:
             (F.lit(0.1) + mod(n, 5) * F.lit(0.25)).alias("max_weight"),
             (F.lit(5.0) + mod(n, 4) * F.lit(5.0)).alias("min_history_years"), n.alias("ordinal"))
 
-    def _weights(self, portfolio, ticker) -> DataFrame:
-        buyer = self.table("orders").select("o_orderkey", "o_custkey").join(
-            self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment"),
-            F.col("o_custkey") == F.col("c_custkey"))
-        spend = self.fact.join(buyer, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+    @cached_property
+    def buyers(self) -> DataFrame:
+        """Order to customer, nation and segment."""
+        return self.table("orders").select("o_orderkey", "o_custkey").join(
+            self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+
+    def _weights(self, portfolio, ticker, buyers: DataFrame) -> DataFrame:
+        """Share of spend per ticker. Spend collapses to (portfolio, ticker) by partial aggregation
+        before anything is grouped by portfolio alone."""
+        spend = self.fact.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
             portfolio.alias("portfolio_id"), ticker.alias("ticker")).agg(F.sum("l_extendedprice").alias("spend"))
         total = F.sum("spend").over(W.partitionBy("portfolio_id"))
         return spend.select("portfolio_id", "ticker", (F.col("spend") / total).alias("weight"))
 
+    def customer_weights(self, ticker: str = "ticker") -> DataFrame:
+        orders = self.table("orders").select("o_orderkey", "o_custkey")
+        return self._weights(F.col("o_custkey").cast("string"), F.col(ticker), orders)
+
     @cached_property
     def weights(self) -> DataFrame:
         """One portfolio per customer."""
-        return self._weights(F.col("o_custkey").cast("string"), F.col("ticker"))
+        return self.customer_weights()
 
     @staticmethod
     def book_id():
@@ -163,11 +172,11 @@ class Views:
     @cached_property
     def books(self) -> DataFrame:
         """One portfolio per customer nation and market segment."""
-        return self._weights(self.book_id(), F.col("ticker"))
+        return self._weights(self.book_id(), F.col("ticker"), self.buyers)
 
     @cached_property
     def books_class(self) -> DataFrame:
-        return self._weights(self.book_id(), F.col("cls"))
+        return self._weights(self.book_id(), F.col("cls"), self.buyers)
 
     @cached_property
     def macro(self) -> DataFrame:

@@ -1,8 +1,9 @@
 """W family: windows and sequences; J family: joins; R family: macro regimes."""
 from pyspark.sql import functions as F
 
-from ..functions.expr import choose, mod
+from ..functions.expr import choose, lookup, mod
 from ..operators import blend, clean, macro, matrix, merge, sequence, stats
+from ..plans.views import PROVIDER_OF_FLAG
 from .ctes import CTES
 from .registry import check
 from .stats_checks import annual_sql, bench, labels, port, portc, regime_labels
@@ -147,7 +148,7 @@ def cov_rows(v):
 
 
 def contributions(v):
-    return blend.risk_contributions(v.books_class, cov_rows(v), 252.0)
+    return blend.risk_contributions(v.books_class_table, cov_rows(v), 252.0)
 
 
 check("j05_risk_contributions", "portfolio_id ticker weight~ risk_contribution~ portfolio_volatility~", contributions, "SELECT * FROM t_rc")
@@ -272,9 +273,10 @@ def asset_receipts_c(v):
 
 
 check("j17_holding_receipts", "portfolio_id rank# ticker weight~ risk_contribution~ provider passed? fail_reason",
-      lambda v: blend.holding_receipts(v.books_class, contributions(v), merge.provenance(v.prices_raw.withColumn("ticker", F.lit("EUROPE"))), asset_receipts_c(v)),
+      lambda v: blend.holding_receipts(v.books_class_table, contributions(v), merge.provenance(v.fact.where("cls IN ('EUROPE', 'ASIA')").select(
+          F.col("cls").alias("ticker"), lookup(F.col("l_returnflag"), PROVIDER_OF_FLAG).alias("provider"), "date")), asset_receipts_c(v)),
       """SELECT r.portfolio_id, row_number() OVER (PARTITION BY r.portfolio_id ORDER BY weight DESC, ticker) AS rank, ticker, weight, risk_contribution,
-        CASE WHEN ticker = 'EUROPE' THEN 'stooq+tiingo+yfinance' ELSE 'Unknown' END AS provider, m >= -0.06 AS passed, CASE WHEN m < -0.06 THEN 'excessive drawdown' END AS fail_reason
+        CASE WHEN ticker IN ('EUROPE', 'ASIA') THEN 'stooq+tiingo+yfinance' ELSE 'Unknown' END AS provider, m >= -0.06 AS passed, CASE WHEN m < -0.06 THEN 'excessive drawdown' END AS fail_reason
       FROM t_rc r LEFT JOIN (SELECT ticker, min(dd) AS m FROM (SELECT *, value / max(value) OVER (PARTITION BY ticker ORDER BY date) - 1 AS dd FROM (
         SELECT *, product(1 + ret) OVER (PARTITION BY ticker ORDER BY date) AS value FROM t_retc)) WHERE ticker <> 'ASIA' GROUP BY 1) USING (ticker)""")
 

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelweave.llm.sharding import shard_by_bytes
 from panelweave.llm.token_counts import token_counts
 from panelweave.llm.token_output import token_round_trip
+from panelweave.llm.warc import warc_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +22,20 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_warc_splittable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op4_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard_by_bytes(table(spark, sf_dir, "documents"), 16)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_output, op6_token_counts)
+    f.__name__: f for f in (op2_token_output, op3_warc_splittable, op4_differencing_shards, op6_token_counts)
 }
 SQL: dict[str, str] = {}

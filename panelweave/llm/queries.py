@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm.sharding import shard_by_bytes
+from panelweave.llm.simhash import near_duplicates
 from panelweave.llm.token_counts import token_counts
 from panelweave.llm.token_output import token_round_trip
 from panelweave.llm.warc import warc_round_trip
@@ -35,7 +36,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_output, op3_warc_splittable, op4_differencing_shards, op6_token_counts)
+    f.__name__: f for f in (op2_token_output, op3_warc_splittable, op4_differencing_shards, op6_token_counts, op8_simhash)
 }
 SQL: dict[str, str] = {}

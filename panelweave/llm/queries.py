@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.sharding import shard_by_bytes
 from panelweave.llm.simhash import near_duplicates
+from panelweave.llm.substrings import remove_repeats
 from panelweave.llm.token_counts import token_counts
 from panelweave.llm.token_output import token_round_trip
 from panelweave.llm.warc import warc_round_trip
@@ -32,6 +33,10 @@ def op4_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_suffix_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), 100)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -41,6 +46,6 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_output, op3_warc_splittable, op4_differencing_shards, op6_token_counts, op8_simhash)
+    f.__name__: f for f in (op2_token_output, op3_warc_splittable, op4_differencing_shards, op5_suffix_ranks, op6_token_counts, op8_simhash)
 }
 SQL: dict[str, str] = {}

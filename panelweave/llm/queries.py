@@ -12,6 +12,7 @@ from panelweave.llm import mixing, quality
 from panelweave.llm.sharding import shard_by_bytes
 from panelweave.llm.simhash import near_duplicates
 from panelweave.llm.substrings import remove_repeats
+from panelweave.llm.templates import decontaminate
 from panelweave.llm.token_counts import token_counts
 from panelweave.llm.token_output import token_round_trip
 from panelweave.llm.warc import warc_round_trip
@@ -42,6 +43,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=2)
 
@@ -55,6 +60,6 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_output, op3_warc_splittable, op4_differencing_shards, op5_suffix_ranks, op6_token_counts, op8_simhash, op9_quality_rules, op10_poisson_mixing)
+    f.__name__: f for f in (op2_token_output, op3_warc_splittable, op4_differencing_shards, op5_suffix_ranks, op6_token_counts, op7_template_decontamination, op8_simhash, op9_quality_rules, op10_poisson_mixing)
 }
 SQL: dict[str, str] = {"op9_quality_rules": quality.SQL, "op10_poisson_mixing": mixing.SQL}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import mixing, quality
+from panelweave.llm.lines import dedup_lines
 from panelweave.llm.sharding import shard_by_bytes
 from panelweave.llm.simhash import near_duplicates
 from panelweave.llm.substrings import remove_repeats
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -60,6 +65,6 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_output, op3_warc_splittable, op4_differencing_shards, op5_suffix_ranks, op6_token_counts, op7_template_decontamination, op8_simhash, op9_quality_rules, op10_poisson_mixing)
+    f.__name__: f for f in (op1_line_dedup, op2_token_output, op3_warc_splittable, op4_differencing_shards, op5_suffix_ranks, op6_token_counts, op7_template_decontamination, op8_simhash, op9_quality_rules, op10_poisson_mixing)
 }
 SQL: dict[str, str] = {"op9_quality_rules": quality.SQL, "op10_poisson_mixing": mixing.SQL}

@@ -41,10 +41,12 @@ def base_rules(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(host, key, line, n): hash and words of every normalised line with a word; lower case, single spaces."""
+    """(host, key, line, n, total): hash and words of every normalised line with a word, and the words of its text."""
     lines = F.filter(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE, " "))), lambda x: x != "")
-    rows = docs.select("host", "key", F.explode(lines).alias("norm"))
-    return rows.select("host", "key", F.xxhash64("norm").alias("line"), (F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1).alias("n"))
+    size = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    rows = docs.select("host", "key", lines.alias("lines")).withColumn("total", F.aggregate("lines", F.lit(0), lambda a, x: a + size(x)))
+    rows = rows.select("host", "key", "total", F.explode("lines").alias("norm"))
+    return rows.select("host", "key", F.xxhash64("norm").alias("line"), size(F.col("norm")).alias("n"), "total")
 
 
 def frequent_lines(docs: DataFrame, stages: Stages, least: int, share: float) -> DataFrame:
@@ -59,28 +61,52 @@ def frequent_lines(docs: DataFrame, stages: Stages, least: int, share: float) ->
     return stages.table(each.join(hosts, "host").where(F.col("docs") > share * F.col("all")).select("host", "line"), "frequent-lines")
 
 
+def lost_words(docs: DataFrame, stages: Stages, least: int, share: float) -> DataFrame:
+    """(host, key, n_frequent_words, total) of the texts that hold frequent lines."""
+    frequent = frequent_lines(docs, stages, least, share)
+    lost = line_rows(docs).join(frequent, ["host", "line"]).groupBy("host", "key").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
+    copies = docs.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies"))  # each copy has added the same words
+    lost = lost.join(copies, ["host", "key"]).select("host", "key", (F.col("n") / F.col("copies")).cast("long").alias("n_frequent_words"), F.col("total").cast("long").alias("total"))
+    return stages.table(lost, "lost-words")
+
+
+def keyed(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """(mine, host, key, text): the input's columns as a struct, beside what the rules look at."""
+    mine = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mine")
+    return docs.select(mine, F.coalesce(F.col(host_col), F.lit("")).alias("host"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+
+
+def enough_left(words: Column, lost: Column, left_percent: int) -> Column:
+    return 100 * (words - lost) >= left_percent * words
+
+
 def quality_rules(docs: DataFrame, least: int = 20, share: float = 0.1, left_percent: int = 30,
-                  id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_columns: bool = False, stages: Stages | None = None) -> DataFrame:
-    """One row per document: base figures, ``base_failed``, ``n_frequent_words`` and ``kept``.
+                  id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", stages: Stages | None = None) -> DataFrame:
+    """One row per document: (id, base figures, base_failed, kept, n_frequent_words).
 
     A line is frequent if more than max(``least``, ``share`` of the host's documents) contain it. Frequent
     lines are removed; a document is depleted, and not kept, if less than ``left_percent`` of its words
     are left. Base rules that fail also reject it. A null text has no words and fails, a null host is
     the empty one, null and repeated ids keep a row each with the verdict of their own text, an empty
-    table gives none. With ``keep_columns`` the input's columns come along under their own names.
+    table gives none; other columns play no part.
     """
     stages = stages or Stages(docs.sparkSession)
-    plain = docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    frequent = frequent_lines(plain, stages, least, share)
-    lost = line_rows(plain).join(frequent, ["host", "line"]).groupBy("host", "key").agg(F.sum("n").alias("n"))
-    copies = plain.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies"))
-    lost = stages.table(lost.join(copies, ["host", "key"]).select("host", "key", (F.col("n") / F.col("copies")).cast("long").alias("n_frequent_words")), "lost-words")
-    mine = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if keep_columns else F.lit(None).cast("int")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__raw"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), text_key(F.col(text_col)).alias("key"), mine.alias("__mine"))
-    rows = base_rules(rows, F.col("__raw")).join(lost, ["host", "key"], "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
-    kept = ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("n_frequent_words")) >= left_percent * F.col("n_words"))
-    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_frequent_words"]
-    return rows.select("__mine", *figures) if keep_columns else rows.select(F.col("__id").alias(id_col), *figures)
+    rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), "text", "host")
+    lost = lost_words(rows.select("host", "key", "text"), stages, least, share).drop("total")
+    rows = base_rules(rows.select(F.col("mine.id").alias(id_col), "host", "key", F.col("text").alias("raw")), F.col("raw")).drop("raw")
+    rows = rows.join(lost, ["host", "key"], "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
+    kept = ~F.col("base_failed") & enough_left(F.col("n_words"), F.col("n_frequent_words"), left_percent)
+    return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_frequent_words")
+
+
+def keep_documents(docs: DataFrame, least: int = 20, share: float = 0.1, left_percent: int = 30, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows, with all their columns, that ``quality_rules`` keeps. Texts are filtered where they are read; only the keys of depleted ones are joined."""
+    stages = Stages(docs.sparkSession)
+    rows = keyed(docs, text_col, host_col)
+    lost = lost_words(rows.select("host", "key", "text"), stages, least, share)
+    depleted = stages.table(lost.where(~enough_left(F.col("total"), F.col("n_frequent_words"), left_percent)).select("host", "key"), "depleted")
+    passed = base_rules(rows.select("mine", "host", "key"), F.col("mine").getField(text_col)).where(~F.col("base_failed"))
+    return passed.join(depleted, ["host", "key"], "left_anti").select("mine.*")
 
 
 SQL = r"""

@@ -160,18 +160,19 @@ def candidate_links(prints: DataFrame, radius: int, limit: int = 4096) -> DataFr
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare, "a long, b long")
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; the fingerprint as a signed long. A null text has no words: zero."""
+def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, *also: str) -> DataFrame:
+    """(id, fp) of every row, the fingerprint as a signed long, and ``also``. A null text has no words: zero."""
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = fingerprints([shingle_hashes(t) for t in utf8(batch.column(1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["id", "fp", *also])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(prints, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *also)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(prints, ", ".join([f"id {kinds['id']}", "fp long", *(f"{c} {kinds[c]}" for c in also)]))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", stages: Stages | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id): one row per input row; component_id is the smallest id reachable.
 
     Equal fingerprints are one node, so copies cost nothing beyond their own row. Null ids are kept,
@@ -179,11 +180,36 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
     wordless texts share fingerprint zero; an empty table gives none; other columns play no part.
     ``radius`` is 0, 1 or 2.
     """
-    stages = stages or Stages(docs.sparkSession)
+    stages = Stages(docs.sparkSession)
     rows = stages.table(fingerprint_table(docs, id_col, text_col), "fingerprints")
-    prints = stages.table(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    roots = components(candidate_links(prints, radius), stages)
-    rooted = stages.table(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = print_roots(rows, stages, radius)
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stages.table(rooted.join(heads, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def print_roots(rows: DataFrame, stages: Stages, radius: int) -> DataFrame:
+    """(fp, least, root) of every fingerprint: its smallest id, and the component it belongs to."""
+    prints = stages.table(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    roots = components(candidate_links(prints, radius), stages)
+    return stages.table(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def keep_first(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each group of near-duplicates: that with the smallest id.
+
+    A null id comes after all others. Of rows that share the smallest id that with the smallest hash of
+    its text stays, and one of those that are equal in both.
+    """
+    stages, mine = Stages(docs.sparkSession), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mine")
+    tied = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    rows = stages.table(fingerprint_table(tied, "id", "text", "tie"), "fingerprints")
+    roots = print_roots(rows, stages, radius).select("fp", "root")
+    order = F.struct(F.col("id").isNull(), "id", "tie")
+    first = rows.join(roots, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    first = stages.table(first.select(F.col("first.id").alias("k_id"), F.col("first.tie").alias("k_tie")), "first")
+    out = docs.select(mine, F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"))
+    out = out.join(first, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie")), "left_semi")
+    if not rows.groupBy("id", "tie").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["id", "tie"])
+    return out.select("mine.*")

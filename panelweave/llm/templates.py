@@ -156,25 +156,10 @@ def consistent(hits: list[dict], n_tokens: int) -> tuple[float, bool]:
     return len(covered) / n_tokens, other
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", stages: Stages | None = None) -> DataFrame:
-    """One row per input row: (id, contaminated, reparameterised, n_items, items).
-
-    Windows of ``size`` template tokens are joined by hash; an item is found where at least ``least`` of its
-    tokens lie under matching windows with consistent slots. ``items`` lists the found item ids, ascending,
-    ``reparameterised`` tells that a slot's value differs in one of them. Shorter items are one window of
-    their own length; items without words are never found; items that are mostly slots are matched by
-    their tokens themselves.
-
-    A null text has no tokens; null and repeated ids keep a row each, judged by their own text; an empty
-    table gives none, an empty benchmark marks nothing; other columns play no part. The benchmark's window
-    hashes are sent to the tasks as a filter up to BROADCAST_WINDOWS of them; beyond, all windows are
-    joined by the planner.
-    """
-    stages = stages or Stages(docs.sparkSession)
+def found_items(rows: DataFrame, benchmark: DataFrame, size: int, least: float, item_col: str, item_text_col: str, stages: Stages) -> DataFrame:
+    """Stored (d, t, other, n, items) of the rows (doc, tie, text) in which items are found."""
     windows = stages.table(benchmark_windows(benchmark, size, item_col, item_text_col), "item-windows")
     shapes = sorted((r["size"], r["literal"]) for r in windows.select("size", "literal").distinct().collect())  # at most two a length
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     few = windows.count() <= BROADCAST_WINDOWS
     known = np.unique(np.array([r.h for r in windows.select("h").distinct().collect()], np.int64).view(np.uint64)) if few else None
     if few and not len(known):
@@ -192,7 +177,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: f
 
     judged = pairs.select("doc", "tie", "item", "n_tokens", "hits").mapInArrow(judge, "doc long, tie long, item long, other boolean")
     found = judged.groupBy("doc", "tie").agg(F.bool_or("other").alias("other"), F.count(F.lit(1)).cast("int").alias("n"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    found = stages.table(found.select(F.col("doc").alias("d"), F.col("tie").alias("t"), "other", "n", "items"), "found")
+    return stages.table(found.select(F.col("doc").alias("d"), F.col("tie").alias("t"), "other", "n", "items"), "found")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text", stages: Stages | None = None) -> DataFrame:
+    """One row per input row: (id, contaminated, reparameterised, n_items, items).
+
+    Windows of ``size`` template tokens are joined by hash; an item is found where at least ``least`` of its
+    tokens lie under matching windows with consistent slots. ``items`` lists the found item ids, ascending,
+    ``reparameterised`` tells that a slot's value differs in one of them. Shorter items are one window of
+    their own length; items without words are never found; items that are mostly slots are matched by
+    their tokens themselves.
+
+    A null text has no tokens; null and repeated ids keep a row each, judged by their own text; an empty
+    table gives none, an empty benchmark marks nothing; other columns play no part. The benchmark's window
+    hashes are sent to the tasks as a filter up to BROADCAST_WINDOWS of them; beyond, all windows are
+    joined by the planner.
+    """
+    stages = stages or Stages(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    found = found_items(rows, benchmark, size, least, item_col, item_text_col, stages)
     every = rows.select("doc", "tie").join(found, F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left")
     return every.select(F.col("doc").alias(id_col), F.col("n").isNotNull().alias("contaminated"), F.coalesce("other", F.lit(False)).alias("reparameterised"),
                         F.coalesce("n", F.lit(0)).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+               item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that ``decontaminate`` does not mark."""
+    stages, mine = Stages(docs.sparkSession), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mine")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    found = found_items(rows, benchmark, size, least, item_col, item_text_col, stages).select("d", "t")
+    out = docs.select(mine, F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tie"))
+    return out.join(found, F.col("doc").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left_anti").select("mine.*")

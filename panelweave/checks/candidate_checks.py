@@ -27,15 +27,17 @@ CTES["t_iv"] = """SELECT portfolio_id, ticker, (1 / v) / sum(1 / v) OVER (PARTIT
 check("p03_inverse_volatility", W3, lambda v: cand.inverse_volatility(v.weights, stats.annual_volatility(v.returns)), "SELECT * FROM t_iv")
 check("p04_diversified", W3, lambda v: cand.diversified(v.weights, stats.annual_volatility(v.returns)), "SELECT portfolio_id, ticker, 0.5 * weight + 0.5 / n AS weight FROM t_iv")
 
-CTES["t_smp"] = f"""SELECT sample, ticker, greatest(0.0, least(0.30, x / sum(x) OVER (PARTITION BY sample))) AS w FROM (SELECT sample, ticker, y * y AS x FROM (
+CTES["t_smp"] = f"""SELECT sample, ticker, x, row_number() OVER (PARTITION BY sample ORDER BY x DESC, ticker) AS r, sum(x) OVER (PARTITION BY sample ORDER BY x DESC, ticker ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM (SELECT sample, ticker, y * y AS x FROM (
   SELECT s.sample::BIGINT AS sample, ticker, (({scatter_sql('s.sample::BIGINT', 'o.ord')}) % 1000 + 1) / 1000.0::DOUBLE AS y
-  FROM range(64) s(sample), (SELECT ticker, row_number() OVER (ORDER BY ticker) AS ord FROM (SELECT DISTINCT ticker FROM t_booksc)) o))"""
-CTES["t_smpw"] = "SELECT sample, ticker, w / sum(w) OVER (PARTITION BY sample) AS weight FROM t_smp"
+  FROM range(256) s(sample), (SELECT ticker, row_number() OVER (ORDER BY ticker) AS ord FROM (SELECT DISTINCT ticker FROM t_booksc)) o))"""
+CTES["t_smpw"] = """SELECT sample, ticker, CASE WHEN r <= k THEN 0.30::DOUBLE ELSE x * (1 - 0.30::DOUBLE * k) / sum(CASE WHEN r > k THEN x END) OVER (PARTITION BY sample) END AS weight
+  FROM (SELECT *, count(*) FILTER (x * (1 - 0.30::DOUBLE * (r - 1)) > 0.30::DOUBLE * rest) OVER (PARTITION BY sample) AS k FROM t_smp)"""
 CTES["t_smps"] = """SELECT *, (ret - 0.015) / vol AS sharpe FROM (SELECT a.sample, sqrt(sum(a.weight * b.weight * value)) AS vol, any_value(r.ret) AS ret FROM t_smpw a JOIN t_smpw b ON a.sample = b.sample
   JOIN t_shrunk ON i = a.ticker AND j = b.ticker JOIN (SELECT sample, sum(weight * m) AS ret FROM t_smpw JOIN (
     SELECT ticker, product(1 + ret) ** (252.0::DOUBLE / count(*)) - 1 AS m FROM t_retc GROUP BY 1) USING (ticker) GROUP BY 1) r ON r.sample = a.sample GROUP BY 1)"""
 check("p05_searched_weights", "portfolio_id optimizer sample# ticker weight~ ret~ vol~ sharpe~", lambda v: cand.searched_weights(
-      v.books_class_table, stored(matrix.as_rows(matrix.shrunk_covariance(v.returns_class_table))), stats.geometric_return(v.returns_class_table), 64, target_vol=0.14),
+      v.books_class_table, stored(matrix.as_rows(matrix.shrunk_covariance(v.returns_class_table))), stats.geometric_return(v.returns_class_table), 256, target_vol=0.14),
       """SELECT portfolio_id, optimizer, s.sample, ticker, weight, ret, vol, sharpe FROM (
         SELECT 'min_var' AS optimizer, arg_min(sample, vol) AS sample FROM t_smps UNION ALL SELECT 'max_sharpe', arg_max(sample, sharpe) FROM t_smps
         UNION ALL SELECT 'efficient_risk', arg_max(sample, CASE WHEN vol <= 0.14 THEN ret ELSE -vol - 1000 END) FROM t_smps) s
@@ -92,6 +94,12 @@ CTES["t_tier"] = "SELECT portfolio_id, ticker, weight, CASE WHEN portfolio_id LI
 _tw = "PARTITION BY portfolio_id"
 
 
+CORE_SEEDS = ["NATION_1", "NATION_2", "NATION_3"]
+CTES["t_bare"] = "SELECT portfolio_id FROM t_tier GROUP BY 1 HAVING count(*) FILTER (tier = 'core') = 0"
+CTES["t_seeded"] = f"""SELECT portfolio_id, ticker, weight, CASE WHEN portfolio_id IN (SELECT portfolio_id FROM t_bare) AND ticker IN {tuple(CORE_SEEDS)} THEN 'core' ELSE tier END AS tier FROM t_tier
+  UNION ALL SELECT portfolio_id, s, 0.0::DOUBLE, 'core' FROM t_bare, (SELECT unnest({CORE_SEEDS}) AS s) WHERE NOT EXISTS (FROM t_tier t WHERE t.portfolio_id = t_bare.portfolio_id AND t.ticker = s)"""
+
+
 def core_sat_sql(src: str, core_min: str, sat_max: str, single: str) -> str:
     """Step by step, one nesting level per step."""
     sums = lambda inner: f"SELECT *, coalesce(sum(w) FILTER (tier = 'core') OVER p, 0) AS c, coalesce(sum(w) FILTER (tier = 'satellite') OVER p, 0) AS s, sum(w) OVER p AS t, count(*) FILTER (tier = 'core') OVER p AS nc FROM ({inner}) WINDOW p AS ({_tw})"
@@ -107,7 +115,7 @@ def core_sat_sql(src: str, core_min: str, sat_max: str, single: str) -> str:
       WHEN tier = 'core' AND c > 0 THEN w * (1 + e / c) ELSE w END AS w FROM ({x})) WHERE abs(w) > 1e-6"""
 
 
-check("p10_core_satellite_constraints", W3 + " tier", lambda v: cand.constrain_core_satellite(tiered(v)), core_sat_sql("t_tier", "0.65", "0.35", "0.07"))
+check("p10_core_satellite_constraints", W3 + " tier", lambda v: cand.constrain_core_satellite(tiered(v), core_symbols=CORE_SEEDS), core_sat_sql("t_seeded", "0.65", "0.35", "0.07"))
 check("p11_weight_violations", "portfolio_id violations", lambda v: cand.weight_violations(
       tiered(v).withColumn("weight", F.when(C("portfolio_id").endswith("1"), C("weight") * 1.1).otherwise(C("weight"))), 0.55, 0.45, 0.12)
       .withColumn("violations", F.array_join("violations", "; ")),

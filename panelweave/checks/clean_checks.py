@@ -28,10 +28,11 @@ check("c02_to_wide", "date@ AFRICA~ AMERICA~ ASIA~ EUROPE~ MIDDLE_EAST~",
       "SELECT date, " + ", ".join(f"max(price) FILTER (ticker = '{r}') AS {r.replace(' ', '_')}" for r in REGIONS)
       + " FROM t_prices_class GROUP BY date")
 
-check("c03_outer_align", "date@ a~ b~", lambda v: clean.align_outer(
-      v.prices.where("ticker = 'NATION_1'"), v.prices_class.where("ticker = 'ASIA'"), ("a", "b")),
-      """SELECT date, a.price AS a, b.price AS b FROM (SELECT * FROM t_prices WHERE ticker = 'NATION_1') a
-      FULL JOIN (SELECT * FROM t_prices_class WHERE ticker = 'ASIA') b USING (date)""")
+NATIONS = [f"NATION_{i}" for i in range(25)]
+check("c03_outer_align", "date@ " + " ".join(f"{n}~" for n in [*NATIONS, *(r.replace(" ", "_") for r in REGIONS)]), lambda v: clean.align_outer(
+      {n: v.prices.where(F.col("ticker") == n) for n in NATIONS} | {r.replace(" ", "_"): v.prices_class.where(F.col("ticker") == r) for r in REGIONS}),
+      "SELECT date, " + ", ".join([f"max(price) FILTER (ticker = '{n}') AS {n}" for n in NATIONS] + [f"max(price) FILTER (ticker = '{r}') AS {r.replace(' ', '_')}" for r in REGIONS])
+      + " FROM (SELECT ticker, date, price FROM t_prices UNION ALL SELECT ticker, date, price FROM t_prices_class) GROUP BY date")
 
 check("c04_melt", "date@ series value~", lambda v: clean.melt(clean.to_wide(v.prices_class, REGIONS), REGIONS),
       "SELECT date, ticker AS series, price AS value FROM t_prices_class")

@@ -54,13 +54,14 @@ check("s04_price_column", "provider ticker date@ price~", lambda v: v.prices_raw
 
 def payloads(v):
     k = C("o_orderkey").cast("long")
-    texts = ["date,close\n2000-01-01,1", "Error: not found", "You have exceeded the hourly limit", "  ", '{"detail": "ERROR"}', "Too many requests", "date,close,error"]
-    return v.table("orders").select(k.alias("id"), choose(texts, mod(k, len(texts))).alias("body"))
+    texts = ["date,close\n2000-01-01,1 ", "Error: not found ", "You have exceeded the hourly limit ", "  ", '{"detail": "ERROR"} ', "<html>" + "x" * 400 + " Too many requests ", "date,close,error\n", '{"rows": []} ']
+    note = F.when(mod(k, len(texts)) == 3, "").otherwise(F.concat_ws(" ", "o_orderpriority", "o_orderstatus"))
+    return v.table("orders").select(k.alias("id"), F.concat(choose(texts, mod(k, len(texts))), note).alias("body"))
 
 
 check("s05_payload_quarantine", "id# kind", lambda v: landing.split_payloads(payloads(v))[1].unionByName(
       landing.split_payloads(payloads(v))[0].withColumn("kind", F.lit("ok"))),
-      "SELECT o_orderkey AS id, ['ok','error','rate_limit','error','error','rate_limit','error'][1 + o_orderkey % 7] AS kind FROM orders")
+      "SELECT o_orderkey AS id, ['ok','error','rate_limit','error','error','rate_limit','ok','ok'][1 + o_orderkey % 8] AS kind FROM orders")
 
 
 def aggregate_documents(v):

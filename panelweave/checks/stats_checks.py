@@ -179,7 +179,7 @@ check("a31_anova", "portfolio_id k# n# f~", lambda v: stats.anova(port(v), label
       """SELECT portfolio_id, count(*) AS k, sum(n) AS n, (sum(n * (m - g) ** 2) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f FROM (
         SELECT p.portfolio_id, quarter(date) AS label, count(*) AS n, avg(ret) AS m, (count(*) - 1) * var_samp(ret) AS ss, any_value(g) AS g
         FROM t_port p JOIN (SELECT portfolio_id, avg(ret) AS g FROM t_port GROUP BY 1) o ON p.portfolio_id = o.portfolio_id GROUP BY 1, 2) GROUP BY 1""")
-check("a31_anova_p_value", "f~ p~", lambda v: stats.anova_p_value(bench(v), labels(v)))
+check("a31_anova_p_value", "portfolio_id f~ p~", lambda v: stats.anova_p_value(port(v), labels(v)))
 
 def scatter_sql(a: str, b: str) -> str:
     x = f"(({a}) * 2654435761 + ({b}) * 2246822519 + 42) % 4294967296"

@@ -55,24 +55,41 @@ def diversified(holdings: DataFrame, vols: DataFrame, key="portfolio_id", on=("t
     return w.withColumn("weight", C("weight") * 0.5 + F.lit(0.5) / F.count("*").over(_part(key)))
 
 
+def bounded_shares(rows: DataFrame, size: str, bounds: tuple[float, float], key) -> DataFrame:
+    """``weight``: shares in proportion to ``size`` that sum to one and keep the bounds.
+
+    Every name has its low; the rest is shared out by size, and what would pass the high goes to the
+    names below it. Sorted by size the names at the high come first: a name is below it if its share
+    of what they leave is. Groups too small (or lows too large) for the bounds get equal shares.
+    """
+    lo, hi = bounds
+    ordered = _part(key).orderBy(F.desc(size), "ticker")
+    rows = rows.withColumns({"_n": F.count("*").over(_part(key)), "_r": F.row_number().over(ordered),
+                             "_rest": F.sum(size).over(ordered.rowsBetween(0, W.unboundedFollowing))})
+    rows = rows.withColumn("_free", F.lit(1.0) - C("_n") * lo)  # what is shared out; a name's room is hi - lo
+    fits = C(size) * (C("_free") - (C("_r") - 1) * (hi - lo)) <= (hi - lo) * C("_rest")
+    rows = rows.withColumn("_k", F.count(F.when(~fits, 1)).over(_part(key)))
+    rows = rows.withColumn("_below", F.sum(F.when(C("_r") > C("_k"), C(size))).over(_part(key)))
+    share = F.when(C("_r") <= C("_k"), F.lit(hi)).otherwise(F.lit(lo) + C(size) * (C("_free") - C("_k") * (hi - lo)) / C("_below"))
+    weight = F.when((C("_n") * hi < 1) | (C("_free") < 0), F.lit(1.0) / C("_n")).otherwise(share)
+    return rows.withColumn("weight", weight).drop("_n", "_r", "_rest", "_free", "_k", "_below")
+
+
 def searched_weights(holdings: DataFrame, cov_rows: DataFrame, mu: DataFrame, samples: int = 256, rf: float = 0.015,
                      target_vol: float = 0.12, bounds: tuple[float, float] = (0.0, 0.30), key="portfolio_id", seed: int = 42) -> DataFrame:
     """Best sampled long-only portfolios per group: least volatility, highest Sharpe, most return at
     the target volatility.
 
-    Each sample is a repeatable random vector, clipped to the bounds and re-normalised. The matrix
-    is joined as one map row per ticker, so a sample of n tickers costs n rows. The result is the
-    best of the samples, not a solver's optimum.
+    Each sample is a repeatable random vector, brought inside the bounds by ``bounded_shares``. The
+    matrix is joined as one map row per ticker, so a sample of n tickers costs n rows. The result is
+    the best of the samples, not a solver's optimum.
     """
     k = keys_of(key)
     o = holdings.select(*k, "ticker").join(ordinals(holdings, "ticker"), "ticker").withColumn(
         "sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     raw = o.withColumn("_x", (scatter(C("sample"), C("ord"), seed) % 1000 + 1) / 1000.0)
     raw = raw.withColumn("_x", C("_x") * C("_x"))
-    part = _part([*k, "sample"])
-    lo, hi = bounds
-    w = raw.withColumn("_w", clamp(C("_x") / F.sum("_x").over(part), lo, hi))
-    w = w.withColumn("weight", C("_w") / F.sum("_w").over(part)).select(*k, "sample", "ticker", "weight")
+    w = bounded_shares(raw, "_x", bounds, [*k, "sample"]).select(*k, "sample", "ticker", "weight")
     j = w.join(cov_rows.select(C("i").alias("ticker"), "row"), "ticker").join(mu.select("ticker", "ann_return"), "ticker")
     book = j.groupBy(*k, "sample").agg(
         F.collect_list(F.struct("ticker", "weight", "row")).alias("_h"), F.sum(C("weight") * C("ann_return")).alias("ret"))
@@ -156,12 +173,15 @@ def sanitise_weights(weights: DataFrame, key="portfolio_id") -> DataFrame:
 
 # ---- constraints ------------------------------------------------------------------------------
 
-def constrain_core_satellite(weights: DataFrame, core_min=0.65, satellite_max=0.35, single_max=0.07, key="portfolio_id") -> DataFrame:
+def constrain_core_satellite(weights: DataFrame, core_min=0.65, satellite_max=0.35, single_max=0.07, key="portfolio_id",
+                             core_symbols: list[str] | None = None) -> DataFrame:
     """Satellites scaled and capped, core lifted to its minimum, one final cap whose excess goes to core.
 
-    Needs ``tier`` (core, satellite or other) per row; limits are numbers or columns.
+    Needs ``tier`` (core, satellite or other) per row; limits are numbers or columns. A portfolio without
+    a core row gets ``core_symbols`` as core, at equal weights; without such a list all that it holds is core.
     """
     k = keys_of(key)
+    weights = seed_core(weights, k, core_symbols)
     lim = lambda x: x if isinstance(x, Column) else F.lit(float(x))
     core_min, satellite_max, single = lim(core_min), lim(satellite_max), lim(single_max)
     core, sat = C("tier") == "core", C("tier") == "satellite"
@@ -182,6 +202,19 @@ def constrain_core_satellite(weights: DataFrame, core_min=0.65, satellite_max=0.
     return w.where(F.abs("_w") > 1e-6).select(*k, "ticker", "tier", C("_w").alias("weight"))
 
 
+def seed_core(weights: DataFrame, k: list[str], core_symbols: list[str] | None) -> DataFrame:
+    """Portfolios without a core row get core rows of weight zero, or have all rows made core."""
+    bare = F.count(F.when(C("tier") == "core", 1)).over(_part(k)) == 0
+    if not core_symbols:
+        return weights.withColumn("_b", bare).withColumn("tier", F.when(C("_b"), "core").otherwise(C("tier"))).drop("_b")
+    rows = weights.withColumns({"_b": bare, "_1": F.row_number().over(_part(k).orderBy("ticker"))})
+    names = F.array(*map(F.lit, core_symbols))
+    held = rows.withColumn("tier", F.when(C("_b") & C("ticker").isin(core_symbols), "core").otherwise(C("tier")))
+    held = held.withColumn("_held", F.when(C("_b"), F.collect_set("ticker").over(_part(k))))
+    seeds = held.where("_b and _1 = 1").withColumn("ticker", F.explode(F.array_except(names, "_held"))).withColumns({"weight": F.lit(0.0), "tier": F.lit("core")})
+    return held.unionByName(seeds).select(*weights.columns)
+
+
 def weight_violations(weights: DataFrame, core_min: float = 0.65, satellite_max: float = 0.35, single_max: float | None = None,
                       tolerance: float = 1e-6, key="portfolio_id") -> DataFrame:
     """Texts of the broken core/satellite rules per portfolio; an empty list when all hold."""

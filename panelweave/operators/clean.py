@@ -1,6 +1,8 @@
 """Reshape, cleaning and calendars over tidy price and return panels."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.expr import col, div, finite, keys_of, pct
@@ -16,15 +18,14 @@ def panel_calendar(panel: DataFrame) -> DataFrame:
         "date", F.row_number().over(w).alias("date_idx"), F.lag("date").over(w).alias("prev_date"))
 
 
-def tidy_prices(df: DataFrame, seq: str | None = None) -> DataFrame:
-    """(ticker, date, price) from any frame with a price-like column; first row per key wins."""
+def tidy_prices(df: DataFrame, seq: str) -> DataFrame:
+    """(ticker, date, price) from any frame with a price-like column; the first row per key, by ``seq``, wins."""
     names = {c.lower(): c for c in df.columns}
     price = F.coalesce(*[F.col(names[c]).try_cast("double") for c in ("price", "adj_close", "close", "last") if c in names][:1])
     ticker = F.col(names.get("ticker") or names["symbol"])
-    order = [F.col(seq)] if seq else [F.col("price").asc_nulls_last()]
     out = df.select(F.trim(ticker.cast("string")).alias("ticker"), F.col(names["date"]).try_cast("date").alias("date"),
-                    finite(price).alias("price"), *([seq] if seq else []))
-    out = out.withColumn("_n", F.row_number().over(W.partitionBy("ticker", "date").orderBy(*order)))
+                    finite(price).alias("price"), seq)
+    out = out.withColumn("_n", F.row_number().over(W.partitionBy("ticker", "date").orderBy(seq)))
     return out.where("_n = 1 and date is not null and price is not null and ticker <> ''").select("ticker", "date", "price")
 
 
@@ -34,10 +35,13 @@ def to_wide(panel: DataFrame, tickers: list[str], value: str = "price") -> DataF
     return wide.na.drop(how="all", subset=tickers)
 
 
-def align_outer(left: DataFrame, right: DataFrame, names: tuple[str, str], value: str = "price") -> DataFrame:
-    """Two series side by side on the union of their dates."""
-    a = left.select("date", F.col(value).alias(names[0]))
-    return a.join(right.select("date", F.col(value).alias(names[1])), "date", "full_outer")
+def align_outer(series: dict[str, DataFrame], value: str = "price") -> DataFrame:
+    """Any number of named series, with one value a date each, side by side on the union of their dates.
+
+    One aggregation by date, whatever the number of series.
+    """
+    rows = reduce(DataFrame.union, (df.select("date", F.lit(name).alias("_s"), F.col(value).alias("_v")) for name, df in series.items()))
+    return rows.groupBy("date").agg(*(F.max(F.when(F.col("_s") == name, F.col("_v"))).alias(name) for name in series))
 
 
 def melt(wide: DataFrame, columns: list[str], name: str = "series", value: str = "value") -> DataFrame:

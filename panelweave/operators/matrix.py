@@ -36,17 +36,21 @@ def _block_sums(pdf: pd.DataFrame) -> pd.DataFrame:
         "sij": (x.T @ x)[a, b], "siijj": (sq.T @ sq)[a, b]})
 
 
-def pair_sums(rets: DataFrame, tiles: int = 1, block_days: int = 512) -> DataFrame:
+TILE_TICKERS = 500
+
+
+def pair_sums(rets: DataFrame, tiles: int | None = None, block_days: int = 512) -> DataFrame:
     """Sums over shared dates for every pair i <= j.
 
-    ``tiles`` bounds a block to about 2 x tickers / tiles columns: raise it with the ticker count
-    (some 500 tickers per tile). A row is copied once per tile, never once per partner.
+    ``tiles`` bounds a block to about 2 x tickers / tiles columns; by default it follows from the ticker
+    count, at TILE_TICKERS a tile. A row is copied once per tile, never once per partner.
     """
-    own = F.pmod(F.xxhash64("ticker"), F.lit(tiles)).cast("int")
+    tiles = F.lit(tiles) if tiles else rets.agg(F.greatest(F.ceil(F.count_distinct("ticker") / TILE_TICKERS), F.lit(1)).cast("int")).scalar()
+    own = F.pmod(F.xxhash64("ticker"), tiles).cast("int")
     rows = rets.where("ret is not null").select(
         "ticker", "date", "ret", own.alias("own"),
         F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / block_days).alias("block"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).select(
         "ticker", "date", "ret", "own", "block", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"))
     part = rows.groupBy("block", "ti", "tj").applyInPandas(_block_sums, _SCHEMA)
     return part.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
@@ -63,26 +67,26 @@ def _cov():
     return div(F.col("sij") - F.col("si") * F.col("sj") / F.col("n"), F.col("n") - 1)
 
 
-def covariance(rets: DataFrame, annual: bool = True, tiles: int = 1) -> DataFrame:
+def covariance(rets: DataFrame, annual: bool = True, tiles: int | None = None) -> DataFrame:
     """Pairwise sample covariance (shared dates of each pair), annualised by default."""
     return _mirror(pair_sums(rets, tiles).select("i", "j", (_cov() * (TRADING_DAYS if annual else 1)).alias("value")))
 
 
-def correlation(rets: DataFrame, tiles: int = 1) -> DataFrame:
+def correlation(rets: DataFrame, tiles: int | None = None) -> DataFrame:
     """Upper triangle of the pairwise correlation."""
     n = F.col("n")
     spread = F.sqrt((n * F.col("sii") - F.col("si") * F.col("si")) * (n * F.col("sjj") - F.col("sj") * F.col("sj")))
     return pair_sums(rets, tiles).where("i < j").select("i", "j", div(n * F.col("sij") - F.col("si") * F.col("sj"), spread).alias("value"))
 
 
-def correlation_summary(rets: DataFrame, tiles: int = 1) -> DataFrame:
+def correlation_summary(rets: DataFrame, tiles: int | None = None) -> DataFrame:
     """Mean correlation of all pairs and mean population volatility of all series."""
     vol = rets.groupBy("ticker").agg((F.stddev_pop("ret") * stats.ROOT).alias("v"))
     return vol.agg(F.avg("v").alias("avg_volatility")).withColumn(
         "avg_correlation", correlation(rets, tiles).agg(F.avg("value")).scalar())
 
 
-def shrunk_covariance(rets: DataFrame, tiles: int = 1) -> DataFrame:
+def shrunk_covariance(rets: DataFrame, tiles: int | None = None) -> DataFrame:
     """Ledoit-Wolf shrinkage towards a scaled identity (2004), on complete dates, annualised."""
     from pyspark.sql import Window as W
 

@@ -4,6 +4,8 @@ A key has at most one row per day, so every window here is bounded by the calend
 """
 from __future__ import annotations
 
+import math
+
 from statistics import NormalDist
 
 import numpy as np
@@ -274,16 +276,35 @@ def anova(rets: DataFrame, labels: DataFrame, key=("portfolio_id",)) -> DataFram
     return t.select(*k, "k", "n", F.when(F.col("k") >= 2, div(between, div("_w", F.col("n") - F.col("k")))).alias("f"))
 
 
-def anova_p_value(rets: DataFrame, labels: DataFrame) -> DataFrame:
-    """F and p of one return series against a label, by the library's ANOVA test."""
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    j = rets.join(labels.select("date", "label"), "date").where("ret is not null and label is not null")
-    j = StringIndexer(inputCol="label", outputCol="_y").fit(j).transform(j)
-    x = VectorAssembler(inputCols=["ret"], outputCol="_x").transform(j)
-    spark = rets.sparkSession  # the test has no Python wrapper, so it is called as the wrappers call theirs
-    t = DataFrame(spark._jvm.org.apache.spark.ml.stat.ANOVATest.test(x._jdf, "_x", "_y", True), spark)
-    return t.select(F.col("fValue").alias("f"), F.col("pValue").alias("p"))
+def _f_tail():
+    """Upper tail of the F distribution: the regularised incomplete beta function I_x(within / 2, between / 2) at within / (within + between f)."""
+    @F.pandas_udf("double")
+    def tail_of(f: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
+        f, d1, d2 = (np.asarray(c, dtype=float) for c in (f, between, within))
+        x = d2 / (d2 + d1 * np.maximum(f, 0.0))
+        a, b = d2 / 2, d1 / 2
+        swap = x > (a + 1) / (a + b + 2)  # the continued fraction converges fast below that point
+        a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+        gamma = np.vectorize(math.lgamma, otypes=[float])
+        with np.errstate(all="ignore"):
+            front = np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+            c, d = np.ones_like(x), 1 / (1 - (a + b) * x / (a + 1))
+            h = d
+            for m in range(1, 300):  # modified Lentz steps
+                for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                    d, c = 1 / (1 + term * d), 1 + term / c
+                    h = h * d * c
+            tail = np.where(x > 0, front * h, 0.0)
+        return pd.Series(np.where(np.isnan(f) | (d1 <= 0) | (d2 <= 0), np.nan, np.where(swap, 1 - tail, tail)))
+
+    return tail_of
+
+
+def anova_p_value(rets: DataFrame, labels: DataFrame, key=("portfolio_id",)) -> DataFrame:
+    """F and its p-value for every key: one aggregation, then Arrow batches of one row a key."""
+    t = anova(rets, labels, key)
+    p = _f_tail()("f", (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double"))
+    return t.select(*key, "f", F.when(F.col("f").isNotNull(), p).alias("p"))
 
 
 def _resampled(stat: str, seed: int):

@@ -18,6 +18,8 @@ from ..session import stored
 
 C = F.col
 EMERGENCY = "EMERGENCY_FALLBACK - Equal Weight"
+SEARCHED = ("max_sharpe", "min_var", "efficient_risk")
+GRID_METHODS = ("risk_parity", "max_diversification", "equal_weight")  # of candidate_run
 
 
 @dataclass
@@ -37,8 +39,10 @@ def weights_by_method(holdings: DataFrame, rets: DataFrame, methods: list[str],
     vols = stats.annual_volatility(rets, list(on)) if vols is None else vols
     simple = {"equal_weight": lambda: cand.equal_weight(holdings, k), "risk_parity": lambda: cand.inverse_volatility(holdings, vols, k, on),
               "max_diversification": lambda: cand.diversified(holdings, vols, k, on)}
+    if unknown := set(methods) - set(simple) - set(SEARCHED):
+        raise ValueError(f"unknown methods: {sorted(unknown)}")
     parts = [simple[m]().select(*k, F.lit(m).alias("optimizer"), "ticker", "weight") for m in methods if m in simple]
-    searched = [m for m in methods if m in ("max_sharpe", "min_var", "efficient_risk")]
+    searched = [m for m in methods if m in SEARCHED]
     if searched:
         rows = stored(matrix.as_rows(matrix.shrunk_covariance(rets)))
         found = cand.searched_weights(holdings, rows, stats.geometric_return(rets), samples, rf, key=k)
@@ -169,6 +173,8 @@ def candidate_run(rets: DataFrame, classes: DataFrame, regimes: DataFrame, *, ob
     Subset and look-back per variant, method, regime tilt, core/satellite and class caps, metrics,
     diversity score, near-duplicate removal, one relaxed second grid for thin groups, top n.
     """
+    if unknown := set(methods) - set(GRID_METHODS):
+        raise ValueError(f"candidate_run has no method {sorted(unknown)}")
     live, regimes = stored(clean.drop_constant(rets)), stored(regimes)
     groups = live.select("ticker").distinct().withColumn("group_id", F.explode(F.array(*map(F.lit, objectives))))
     flags = blend.class_flags(classes)

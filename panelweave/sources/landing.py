@@ -58,13 +58,21 @@ def price_column(df: DataFrame, order=("adj_close", "close", "price")) -> Column
 RATE_LIMIT_PHRASES = "rate limit|too many|exceeded|throttled"
 
 
+ERROR_WORDS = r"\berror\b"
+TABLE_HEADER = r"(?i)^\s*\"?(date|ticker|symbol|timestamp)\"?\s*,"
+
+
 def split_payloads(payloads: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(usable, quarantined) landed texts; a provider's error page is not data."""
-    b = col(body)
-    bad = F.trim(b).eqNullSafe("") | b.isNull() | b.contains("Error:") | F.lower(F.substring(b, 1, 200)).contains("error") | F.lower(
-        F.substring(b, 1, 300)).rlike(RATE_LIMIT_PHRASES)
-    return payloads.where(~bad), payloads.where(bad).withColumn(
-        "kind", F.when(F.lower(F.substring(b, 1, 300)).rlike(RATE_LIMIT_PHRASES), "rate_limit").otherwise("error"))
+    """(usable, quarantined) landed texts; a provider's error page is not data.
+
+    The whole text decides: a text whose first line with content is the header of a table is data,
+    whatever its columns are called; any other text is an error page if a word anywhere says so. Empty
+    and missing texts are errors.
+    """
+    b = F.coalesce(col(body), F.lit(""))
+    limited, failed = F.lower(b).rlike(RATE_LIMIT_PHRASES), F.lower(b).rlike(ERROR_WORDS)
+    bad = (F.trim(b) == "") | (~b.rlike(TABLE_HEADER) & (limited | failed))
+    return payloads.where(~bad), payloads.where(bad).withColumn("kind", F.when(limited, "rate_limit").otherwise("error"))
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ from panelweave.checks.catalog import CHECKS
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLICE = ["s01_", "s05_", "s10_", "s13_", "m01_", "m04_", "m06_", "m11_", "c01_", "c06_", "c09_", "c13_", "c18_", "a01_a", "a09_", "a24_t", "a32_bootstrap_g",
-         "a35_robustness_", "w02_", "w06_d", "w13_", "j02_", "j06_", "j10_", "j13_", "r01_", "u04_risk_p", "u09_", "u15_", "v01_b", "v04_", "v08_", "q01_", "q03_candidate_g",
+         "a35_robustness_", "w02_", "w06_d", "w13_", "j02_", "j06_", "j10_", "j13_", "r01_", "u04_risk_p", "u09_", "u15_", "v01_b", "v04_", "v08_", "c03_", "p05_", "q01_", "q03_candidate_g",
          "p06_", "p08_", "p10_", "p12_", "p13_", "p27_"]
 NAMES = [n for n in CHECKS if CHECKS[n].body is not None and (os.environ.get("PANELWEAVE_ALL_CHECKS") or any(n.startswith(p) for p in SLICE))]
 

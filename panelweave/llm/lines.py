@@ -60,35 +60,50 @@ def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return signed.select("line", "n", F.explode(keys).alias("key"))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, size: int) -> DataFrame:
-    """``pairs`` (a, b) with their exact Jaccard similarity ``j`` and their numbers of shingles."""
+def verified(pairs: DataFrame, lines: DataFrame, size: int, least: float, prefix: bool = False) -> DataFrame:
+    """``pairs`` (a, b) with their exact Jaccard similarity ``j`` and the number ``nx`` of a's shingles.
+
+    ``prefix`` adds some of a's shingles: first those that b lacks. Any line that is similar enough to a and
+    orders its own shingles by the same b has one of its own prefix in common with it.
+    """
     left = lines.select(F.col("line").alias("a"), F.col("norm").alias("a_norm"))
     right = lines.select(F.col("line").alias("b"), F.col("norm").alias("b_norm"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.encode("a_norm", "UTF-16BE").alias("a_wide"), F.encode("b_norm", "UTF-16BE").alias("b_wide"))
     both = both.select("a", "b", shingle_set(F.col("a_wide"), size).alias("x"), shingle_set(F.col("b_wide"), size).alias("y"))
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("nx"), F.size("y").alias("ny"))
-    return both.select("a", "b", "nx", (F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("j"))
+    both = both.select("a", "b", "x", F.size("x").alias("nx"), F.size("y").alias("ny"), F.array_intersect("x", "y").alias("both"))
+    j = F.size("both") / (F.col("nx") + F.col("ny") - F.size("both"))
+    both = both.select("a", "b", "nx", "x", "both", j.alias("j"))
+    if not prefix:
+        return both.select("a", "b", "nx", "j")
+    ordered = F.concat(F.array_sort(F.array_except("x", "both")), F.array_sort("both"))
+    return both.select("a", "b", "nx", "j", F.slice(ordered, 1, (F.col("nx") - F.ceil(least * F.col("nx") - 1e-9) + 1).cast("int")).alias("prefix"))
 
 
 def line_links(lines: DataFrame, stages: Stages, size: int, bands: int, rows: int, least: float) -> DataFrame:
     """(a, b) links among lines that share a band, enough to connect all that are similar enough.
 
-    In a bucket every line is compared with the most frequent one. Lines that are not similar to it are
-    compared with each other and with those lines of the bucket that the triangle inequality of the
-    Jaccard distance leaves possible, so no similar pair of a bucket goes unseen, yet a large group
-    of near copies gives a star and not all its pairs. Line counts bound both distances before a join emits.
+    In a bucket every line is compared with the most frequent one, its head, which gives stars, not all
+    pairs; their components are found. What is left to compare are lines of one head that are in
+    different components: only those that share a shingle of their prefixes, where shingles the head
+    lacks come first, and that the triangle inequality of the Jaccard distance allows. Lines that merely
+    share a passage with the head differ in what the head lacks, and meet no more.
     """
     first = F.first("line").over(W.partitionBy("key").orderBy(F.desc("n"), "line").rowsBetween(W.unboundedPreceding, 0))
     members = signatures(lines, size, bands, rows).select("key", "line", first.alias("head")).where("line <> head")
-    members = stages.table(members, "members")
-    stars = stages.table(verified(members.select(F.col("line").alias("a"), F.col("head").alias("b")).distinct(), lines, size), "stars")
-    judged = members.join(stars.select(F.col("a").alias("line"), F.col("b").alias("head"), "j", "nx"), ["line", "head"])
-    odd = judged.where(F.col("j") < least).select("key", F.col("line").alias("a"), F.col("j").alias("aj"), F.col("nx").alias("an"))
-    rest = judged.select("key", F.col("line").alias("b"), F.col("j").alias("bj"), F.col("nx").alias("bn"))
-    near = (F.abs(F.col("aj") - F.col("bj")) <= 1 - least + 1e-9) & (F.least("an", "bn") >= least * F.greatest("an", "bn")) & (F.col("a") != F.col("b"))
-    more = odd.join(rest, "key").where(near & ((F.col("bj") >= least) | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    others = stages.table(verified(more, lines, size), "others")
-    return stars.where(F.col("j") >= least).select("a", "b").union(others.where(F.col("j") >= least).select("a", "b"))
+    stars = stages.table(verified(members.select(F.col("line").alias("a"), F.col("head").alias("b")).distinct(), lines, size, least, prefix=True), "stars")
+    edges = stars.where(F.col("j") >= least).select("a", "b")
+    roots = stages.table(components(edges, stages), "star-roots")
+    apart = stars.join(roots, stars["a"] == roots["node"], "left").select(F.col("a").alias("line"), F.col("b").alias("head"), "j", "nx", "prefix", F.coalesce("root", "a").alias("root"))
+    low = apart.groupBy("head").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("head")
+    spread = apart.join(low, "head").select("line", "head", "j", "nx", "root", F.explode("prefix").alias("g"))
+    spread = stages.table(spread, "prefixes")
+    mixed = spread.groupBy("head", "g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("head", "g")
+    mixed = stages.table(spread.join(mixed, ["head", "g"]), "mixed-prefixes")
+    side = lambda s: mixed.select("head", "g", *(F.col(c).alias(c + s) for c in ("line", "root", "j", "nx")))
+    near = (F.col("line1") < F.col("line2")) & (F.col("root1") != F.col("root2")) & (F.abs(F.col("j1") - F.col("j2")) <= 1 - least + 1e-9) & (F.least("nx1", "nx2") >= least * F.greatest("nx1", "nx2"))
+    more = side("1").join(side("2"), ["head", "g"]).where(near).select(F.col("line1").alias("a"), F.col("line2").alias("b")).distinct()
+    others = stages.table(verified(more, lines, size, least), "others")
+    return edges.union(others.where(F.col("j") >= least).select("a", "b"))
 
 
 def dedup_lines(docs: DataFrame, size: int = 9, bands: int = 8, rows: int = 3, least: float = 0.8,

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,17 @@ def encoder(path: str):
     """Function from a text to its ids as bytes, and their type. A task remembers a bounded number of words."""
     split = Splitter(path)
     kind = np.dtype("<u2" if split.tokenizer.get_vocab_size() <= 0x10000 else "<u4")
-    packed = lambda ids: np.array(ids, kind).tobytes()
-    piece = Memo(lambda p: packed(split.merged(p)), 300_000).__getitem__
-    word = Memo(lambda chunk: b"".join(map(piece, split.pieces(chunk)))).__getitem__
+    packed = lambda ids: array("H" if kind.itemsize == 2 else "I", ids).tobytes()
+    tokenize, table = split.model.tokenize, split.bytes
+    piece = Memo(lambda p: packed([t.id for t in tokenize(p.translate(table))]), 400_000).__getitem__
+    pieces, space = split.pieces, split.space
+
+    def spell(chunk: str) -> bytes:
+        if chunk.isalpha():
+            return piece(space + chunk)
+        return b"".join(map(piece, pieces(chunk)))
+
+    word = Memo(spell, 600_000).__getitem__
 
     def encode(text: str) -> bytes:
         if (chunks := split.chunks(text)) is None:

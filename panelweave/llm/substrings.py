@@ -22,6 +22,7 @@ from panelweave.llm.anchors import Hasher, anchors, mix
 from panelweave.llm.common import Stages, utf8
 
 PIECE = 1 << 20  # bytes hashed at once; longer documents are cut into pieces that overlap
+SETTLE_ROWS = 400_000  # anchors a task holds at once
 NO_ID = (1 << 63) - 1  # a null id comes after all others
 POSITION = [("doc", np.int64), ("tie", np.int64), ("at", np.int64)]  # at: the anchor's place in its document
 ROW = np.dtype([("i", np.uint64), ("u", np.uint64), *POSITION, ("lo", np.uint8), ("hi", np.uint8)])
@@ -142,17 +143,13 @@ def sighted(kind: int, rows: np.ndarray, key: np.ndarray | None = None) -> pa.Re
 def first_round(docs: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
     """Anchors of all documents, ranked: (kind, key, doc, tie, run) of those that repeat as a whole and those left open.
 
-    Anchors travel packed, a blob for each Arrow batch and hash bucket; what repeats inside a batch is
+    Anchors travel packed, a blob for some SETTLE_ROWS anchors and a hash bucket; what repeats among them is
     settled there and sent once, which keeps a passage that many documents share from filling a bucket.
     """
     mask = np.uint64(buckets - 1)
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True)
-            found = [anchor_rows(p, length, k) for p in pieces(docs, length)]
-            if not found:
-                continue
+        def settled(found: list[np.ndarray]) -> pa.RecordBatch:
             rows = np.concatenate(found)
             again, _ = settle(rows["i"], rows["u"], rows)
             local = np.zeros(len(rows), bool)
@@ -167,7 +164,18 @@ def first_round(docs: DataFrame, length: int, k: int, buckets: int) -> DataFrame
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(ends)).tolist():
                 kinds.append(OPEN), owners.append(b), blobs.append(pack(rest[ends[b]:ends[b + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(owners, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "bucket", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(owners, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "bucket", "rows"])
+
+        for batch in batches:
+            docs, found, n = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True), [], 0
+            for p in pieces(docs, length):
+                found.append(anchor_rows(p, length, k))
+                n += len(found[-1])
+                if n >= SETTLE_ROWS:
+                    yield settled(found)
+                    found, n = [], 0
+            if found:
+                yield settled(found)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -312,7 +320,7 @@ def halved(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(halve, RANKED + ", u long, e_lo long, e_hi long")
 
 
-def later_rounds(rows: DataFrame, stages: Stages, length: int, width: int, limit: int = 50_000) -> list[DataFrame]:
+def later_rounds(rows: DataFrame, stages: Stages, length: int, width: int, limit: int = 4096) -> list[DataFrame]:
     """Stored tables (doc, tie, run) of the repeats among open anchors (RANKED).
 
     A rank's anchors are compared inside one task, through all its rounds. A rank with more than

@@ -214,7 +214,7 @@ def passages(seed, n):
     return docs + [(n + 1, "a" * 500), (n + 2, "ab" * 300 + "a" * 150), (n + 3, None), (n + 4, ""), (n + 5, docs[3][1]), (None, docs[5][1] + "q" * 120)]
 
 
-@pytest.mark.parametrize("limit", [50_000, 5])
+@pytest.mark.parametrize("limit", [4096, 5])
 def test_repeats(spark, monkeypatch, limit):
     monkeypatch.setattr(substrings.later_rounds, "__defaults__", (limit,))  # 5: every larger rank is dealt out anew
     docs = passages(5, 60)

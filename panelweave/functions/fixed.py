@@ -81,6 +81,64 @@ PROGRESSION = ["CONSERVATIVE", "BALANCED", "GROWTH_PLUS_INCOME", "GROWTH", "AGGR
 RISK_ADJUSTMENT = {"below": (0.85, 0.80), "above": (1.15, 1.20), "zone": 15.0}  # (return, volatility) multipliers
 
 # ---- universe and class caps ---------------------------------------------------------------------
-FALLBACK_CORE = "SPY VTI QQQ DIA IWM VEA VXUS VWO TLT IEF AGG BND MUB BIL GLD DBC".split()
+FALLBACK_CORE = [
+    "SPY", "VTI", "QQQ", "DIA", "IWM", "VEA", "VXUS", "VWO", "TLT", "IEF", "AGG", "BND", "MUB", "BIL", "GLD", "DBC",
+]
 ASSET_CLASSES = ["equity", "bond", "reit", "commodity", "cash"]
 CLASS_CAPS = {"equity": 0.65, "bond": 0.70, "commodity": 0.20, "cash": 0.20, "reit": 0.20}
+
+# ---- well-known symbols, their asset class, durations -------------------------------------------
+SYMBOLS_BY_CLASS = {
+    "commodity": (
+        "GLD", "IAU", "GLDM", "DBC", "PDBC", "GSG", "GCC",
+    ),
+    "reit": (
+        "VNQ", "SCHH", "IYR",
+    ),
+    "cash": (
+        "BIL", "SHY",
+    ),
+    "bond": (
+        "AGG", "BND", "LQD", "HYG", "MUB", "TLT", "IEF", "IEI", "TIP", "SCHP", "BSV", "BIV", "VGIT", "VGLT", "VGSH", "EDV",
+        "ZROZ", "GOVT", "IGSB", "IGIB", "JNK", "BNDX", "EMB",
+    ),
+    "equity": (
+        "SPY", "VOO", "IVV", "VTI", "ITOT", "SCHB", "SPTM", "RSP", "SPLG", "SCHX", "VEA", "EFA", "VXUS", "VEU", "ACWI", "ACWX",
+        "IEFA", "IEMG", "QQQ", "QQQM", "IWM", "IJR", "IJH", "IWB", "VUG", "VTV", "VBK", "VBR", "AVUV", "MTUM", "QUAL", "USMV",
+        "SPLV", "SCHD", "VIG", "VYM", "DGRO", "SPYG", "SPYV", "IWF", "IWD", "VLUE", "SIZE", "XLF", "XLK", "XLY", "XLP", "XLV",
+        "XLI", "XLU", "XLE", "XLRE", "XLB", "XLC", "VWO", "EEM", "EWJ", "INDA", "EWU", "EWQ", "EWC", "EWA", "EWG", "EWH", "EWY",
+        "EWT", "EWZ", "EWS", "EZA", "EWW", "EWM", "EWD", "EWL", "EWI", "EWP", "VSS", "SCZ",
+    ),
+}
+EQUITY_TICKERS = [
+    "SPY", "QQQ", "IWM", "VTI", "VOO", "VTV", "VUG", "VGT", "XLK", "VEA", "VWO", "EEM", "EFA", "DIA", "VNQ", "AAPL", "MSFT",
+    "GOOGL", "AMZN", "META", "TSLA", "NVDA",
+]
+BOND_TICKERS = [
+    "TLT", "IEF", "SHY", "BIL", "AGG", "BND", "MUB", "LQD", "HYG", "TIP", "GOVT",
+]
+BOND_CLASSES = ["treasury_long", "tbills", "corporate_bond", "high_yield", "tax_eff_muni", "public_bond", "muni_bond"]
+ALT_CLASSES = ["commodities", "gold", "reit", "public_equity_sector", "public_equity_style"]
+SHOCK_CLASSES = {
+    "equity": ["public_equity", "public_equity_intl", "public_equity_em", "public_equity_sector"],
+    "rates": ["treasury_long", "treasury_short", "corporate_bond", "high_yield", "tax_eff_muni", "bond"],
+    "gold": ["gold", "commodity"],
+}
+DURATIONS = {"TLT": 17.0, "IEF": 7.0, "SHY": 2.0, "BND": 6.5, "AGG": 6.5, "LQD": 8.0, "HYG": 4.0, "MUB": 5.0}
+
+# ---- candidate thresholds, look-backs and subset shares -----------------------------------------
+PORTFOLIO_FILTER = {"min_portfolio_sharpe": 0.3, "max_portfolio_drawdown": -0.50, "vol_soft_lower_factor": 0.6, "min_portfolio_cagr": 0.0,
+                    "max_risk_contribution": 0.40, "min_diversification_ratio": 1.2, "min_holdings": 3}
+RELAX_DEFAULTS = {"min_cagr_floor": 0.045, "cagr_multiplier_base": 0.82, "cagr_multiplier_bonus": 0.10, "sharpe_multiplier_base": 0.88,
+                  "sharpe_multiplier_bonus": 0.07, "drawdown_shift_base": 0.03, "drawdown_shift_bonus": 0.04, "vol_lower_multiplier": 0.65,
+                  "vol_lower_bonus": 0.15, "vol_lower_floor": 0.02}
+LOOKBACKS = [252, 504, 756, 1008]
+SHARES = [0.6, 0.7, 0.8, 0.9]
+
+# ---- asset filter, objective universes, plausible ranges -----------------------------------------
+ASSET_FILTER = {"core_min_years": 5.0, "sat_min_years": 3.0, "min_asset_sharpe": -0.5, "max_asset_vol_multiplier": 2.0, "max_asset_drawdown": -0.60}
+INCOME = (["treasury_long", "corporate_bond", "high_yield", "tax_eff_muni", "reit", "tbills", "public_equity", "public_equity_intl"],
+          ["VYM", "SCHD", "DVY", "DGRO"])
+GROWTH = (["public_equity", "public_equity_intl", "public_equity_em"], ["QQQ", "VUG", "VGT", "XLK", "IWF"])
+PRESERVE = (["tbills", "treasury_short", "corporate_bond", "tax_eff_muni"], ["BIL", "SHY", "BND", "LQD", "MUB", "GOVT"])
+PLAUSIBLE = {"cagr": (-0.8, 0.8), "sharpe": (-1.5, 4.0), "max_dd": (-0.98, -0.01)}

@@ -3,33 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import fixed
 from ..functions.expr import col, div, keys_of, lookup
 from . import stats
 
-# ---- fixed values: well-known symbols and their asset class -------------------------------------
-SYMBOLS_BY_CLASS = {
-    "commodity": "GLD IAU GLDM DBC PDBC GSG GCC",
-    "reit": "VNQ SCHH IYR",
-    "cash": "BIL SHY",
-    "bond": "AGG BND LQD HYG MUB TLT IEF IEI TIP SCHP BSV BIV VGIT VGLT VGSH EDV ZROZ GOVT IGSB IGIB JNK BNDX EMB",
-    "equity": "SPY VOO IVV VTI ITOT SCHB SPTM RSP SPLG SCHX VEA EFA VXUS VEU ACWI ACWX IEFA IEMG QQQ QQQM IWM IJR IJH IWB "
-              "VUG VTV VBK VBR AVUV MTUM QUAL USMV SPLV SCHD VIG VYM DGRO SPYG SPYV IWF IWD VLUE SIZE XLF XLK XLY XLP XLV "
-              "XLI XLU XLE XLRE XLB XLC VWO EEM EWJ INDA EWU EWQ EWC EWA EWG EWH EWY EWT EWZ EWS EZA EWW EWM EWD EWL EWI "
-              "EWP VSS SCZ",
-}
-EQUITY_TICKERS = "SPY QQQ IWM VTI VOO VTV VUG VGT XLK VEA VWO EEM EFA DIA VNQ AAPL MSFT GOOGL AMZN META TSLA NVDA".split()
-BOND_TICKERS = "TLT IEF SHY BIL AGG BND MUB LQD HYG TIP GOVT".split()
-BOND_CLASSES = ["treasury_long", "tbills", "corporate_bond", "high_yield", "tax_eff_muni", "public_bond", "muni_bond"]
-ALT_CLASSES = ["commodities", "gold", "reit", "public_equity_sector", "public_equity_style"]
-SHOCK_CLASSES = {
-    "equity": ["public_equity", "public_equity_intl", "public_equity_em", "public_equity_sector"],
-    "rates": ["treasury_long", "treasury_short", "corporate_bond", "high_yield", "tax_eff_muni", "bond"],
-    "gold": ["gold", "commodity"],
-}
-DURATIONS = {"TLT": 17.0, "IEF": 7.0, "SHY": 2.0, "BND": 6.5, "AGG": 6.5, "LQD": 8.0, "HYG": 4.0, "MUB": 5.0}
-# ------------------------------------------------------------------------------------------------
-
-
 # ---- portfolio returns ------------------------------------------------------------------------
 
 def portfolio_returns(rets: DataFrame, weights: DataFrame) -> DataFrame:
@@ -101,7 +78,7 @@ def risk_contributions(weights: DataFrame, cov_rows: DataFrame, annual_factor: f
 
 def known_symbol_class(symbol: Column) -> Column:
     s = F.upper(symbol)
-    return F.coalesce(*[F.when(s.isin(*names.split()), c) for c, names in SYMBOLS_BY_CLASS.items()])
+    return F.coalesce(*[F.when(s.isin(*names), c) for c, names in fixed.SYMBOLS_BY_CLASS.items()])
 
 
 def class_from_fine(fine: Column) -> Column:
@@ -125,9 +102,9 @@ def class_flags(df: DataFrame, symbol="symbol", fine="class") -> DataFrame:
     s, c = F.upper(col(symbol)), col(fine)
     eq = c.startswith("public_equity")
     return df.withColumns({
-        "is_equity": eq, "is_bond": c.isin(*BOND_CLASSES), "is_cash": s.isin("BIL", "SHY") | (c == "tbills"),
-        "is_alt": c.isin(*ALT_CLASSES) | s.isin("GLD", "DBC", "VNQ"),
-        "is_equity_ticker": s.isin(*EQUITY_TICKERS), "is_bond_ticker": s.isin(*BOND_TICKERS)})
+        "is_equity": eq, "is_bond": c.isin(*fixed.BOND_CLASSES), "is_cash": s.isin("BIL", "SHY") | (c == "tbills"),
+        "is_alt": c.isin(*fixed.ALT_CLASSES) | s.isin("GLD", "DBC", "VNQ"),
+        "is_equity_ticker": s.isin(*fixed.EQUITY_TICKERS), "is_bond_ticker": s.isin(*fixed.BOND_TICKERS)})
 
 
 # ---- regimes and scenarios --------------------------------------------------------------------
@@ -154,11 +131,11 @@ def _shocks(classes: DataFrame, scenarios: dict[str, list[str]]) -> DataFrame:
     x = x.withColumns(parse_shock(F.col("spec")))
     kind = F.when(F.col("target") == "bonds", "rates").otherwise(F.col("target"))
     hit = F.lit(False)
-    for name, fine in SHOCK_CLASSES.items():
+    for name, fine in fixed.SHOCK_CLASSES.items():
         hit = hit | ((kind == name) & F.col("class").isin(*fine))
     hit = hit | ((kind == "gold") & F.upper("symbol").isin("GLD", "IAU"))
     signed = F.when(F.col("direction") == "+", F.col("magnitude")).otherwise(-F.col("magnitude"))
-    duration = lookup(F.upper("symbol"), DURATIONS, 7.0)
+    duration = lookup(F.upper("symbol"), fixed.DURATIONS, 7.0)
     factor = F.when(kind == "rates", F.lit(1.0) - duration * signed).otherwise(signed + 1)
     return x.where(hit).groupBy("scenario_id", F.col("symbol").alias("ticker")).agg(F.product(factor).alias("factor"))
 

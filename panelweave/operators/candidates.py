@@ -105,8 +105,6 @@ def searched_weights(holdings: DataFrame, cov_rows: DataFrame, mu: DataFrame, sa
         *k, "optimizer", "sample", "ticker", "weight", "ret", "vol", "sharpe")
 
 
-LOOKBACKS = [252, 504, 756, 1008]
-SHARES = [0.6, 0.7, 0.8, 0.9]
 
 
 def sampled_subsets(holdings: DataFrame, variants: list[str], key="portfolio_id", seed: int = 42, min_symbols: int = 8) -> DataFrame:
@@ -117,9 +115,9 @@ def sampled_subsets(holdings: DataFrame, variants: list[str], key="portfolio_id"
     h = h.withColumn("_n", F.count("*").over(_part([*k, "variant"])))
     at = lambda options, salt: F.get(F.array(*map(F.lit, options)), (scatter(C("_v"), F.lit(salt), seed) % len(options)).cast("int"))
     small = C("_n") < min_symbols
-    size = F.when(small, C("_n")).otherwise(F.greatest(F.lit(5), F.floor(C("_n") * at(SHARES, 1000003))))
+    size = F.when(small, C("_n")).otherwise(F.greatest(F.lit(5), F.floor(C("_n") * at(fixed.SHARES, 1000003))))
     rank = F.row_number().over(_part([*k, "variant"]).orderBy(scatter(C("_v") + 1, C("ord"), seed), "ticker"))
-    return h.withColumn("_k", size).withColumn("_r", rank).where("_r <= _k").select(*k, "variant", "ticker", at(LOOKBACKS, 2000003).alias("lookback"))
+    return h.withColumn("_k", size).withColumn("_r", rank).where("_r <= _k").select(*k, "variant", "ticker", at(fixed.LOOKBACKS, 2000003).alias("lookback"))
 
 
 def lookback_returns(rets: DataFrame, lookbacks: DataFrame, key="variant") -> DataFrame:
@@ -299,15 +297,10 @@ def class_band_check(weights: DataFrame, bands: DataFrame, key="portfolio_id") -
 
 # ---- filters and scores -----------------------------------------------------------------------
 
-FILTER_DEFAULTS = {"min_portfolio_sharpe": 0.3, "max_portfolio_drawdown": -0.50, "vol_soft_lower_factor": 0.6, "min_portfolio_cagr": 0.0,
-                   "max_risk_contribution": 0.40, "min_diversification_ratio": 1.2, "min_holdings": 3}
-RELAX_DEFAULTS = {"min_cagr_floor": 0.045, "cagr_multiplier_base": 0.82, "cagr_multiplier_bonus": 0.10, "sharpe_multiplier_base": 0.88,
-                  "sharpe_multiplier_bonus": 0.07, "drawdown_shift_base": 0.03, "drawdown_shift_bonus": 0.04, "vol_lower_multiplier": 0.65,
-                  "vol_lower_bonus": 0.15, "vol_lower_floor": 0.02}
 
 
 def strict_thresholds(profiles: DataFrame, cfg: dict | None = None) -> DataFrame:
-    c = {**FILTER_DEFAULTS, **(cfg or {})}
+    c = {**fixed.PORTFOLIO_FILTER, **(cfg or {})}
     return profiles.withColumns({
         "min_cagr": F.lit(c["min_portfolio_cagr"]), "min_sharpe": F.lit(c["min_portfolio_sharpe"]), "max_dd_limit": F.lit(c["max_portfolio_drawdown"]),
         "vol_lower": C("vol_min") * c["vol_soft_lower_factor"], "vol_upper": C("vol_max")})
@@ -315,8 +308,8 @@ def strict_thresholds(profiles: DataFrame, cfg: dict | None = None) -> DataFrame
 
 def adaptive_thresholds(profiles: DataFrame, cfg: dict | None = None) -> DataFrame:
     """Relaxed limits that follow the user's risk; loosest for mid risk."""
-    c = {**FILTER_DEFAULTS, **(cfg or {})}
-    r = {**RELAX_DEFAULTS, **c.get("stage2_relaxation", {})}
+    c = {**fixed.PORTFOLIO_FILTER, **(cfg or {})}
+    r = {**fixed.RELAX_DEFAULTS, **c.get("stage2_relaxation", {})}
     x = C("true_risk") / 100.0
     centre = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(x - 0.5) * 2.0)
     sharpe = clamp(F.lit(c["min_portfolio_sharpe"]) + (x - 0.5) * 0.20, 0.15, 0.50)
@@ -333,7 +326,7 @@ def adaptive_thresholds(profiles: DataFrame, cfg: dict | None = None) -> DataFra
 def fail_reason(cfg: dict | None = None) -> Column:
     """First portfolio test that fails, as text; null when all pass. Needs metrics, thresholds and
     ``max_rc`` (largest risk share, null when unknown) on the row."""
-    c = {**FILTER_DEFAULTS, **(cfg or {})}
+    c = {**fixed.PORTFOLIO_FILTER, **(cfg or {})}
     f, p2 = F.format_string, lambda x: x * 100
     rc, dr, h = c["max_risk_contribution"], c["min_diversification_ratio"], c["min_holdings"]
     return (F.when(~C("valid"), F.concat(F.lit("invalid portfolio metrics: "), F.coalesce("reason", F.lit("unknown"))))

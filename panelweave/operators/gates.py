@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions import fixed
 from ..functions.expr import div
 from . import stats
 
@@ -49,12 +50,11 @@ def candidate_count_gate(kept: DataFrame, distinct: DataFrame, expected: int, gr
     return j.withColumn("passed", (C("candidates") >= expected) & (C("distinct_candidates") >= max(2, min(5, expected))))
 
 
-PLAUSIBLE = {"cagr": (-0.8, 0.8), "sharpe": (-1.5, 4.0), "max_dd": (-0.98, -0.01)}
 
 
 def plausibility_gate(metrics: DataFrame, key: str = "portfolio_id", ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Every metric value outside its plausible range."""
-    r = ranges or PLAUSIBLE
+    r = ranges or fixed.PLAUSIBLE
     long = metrics.unpivot([key], list(r), "metric", "value").where("value is not null")
     lo = F.coalesce(*[F.when(C("metric") == m, a) for m, (a, _) in r.items()])
     hi = F.coalesce(*[F.when(C("metric") == m, b) for m, (_, b) in r.items()])

@@ -91,17 +91,12 @@ def check_universe(universe: DataFrame) -> DataFrame:
             .unionByName(row(lacking, "missing class", C("cls"))))
 
 
-INCOME = (["treasury_long", "corporate_bond", "high_yield", "tax_eff_muni", "reit", "tbills", "public_equity", "public_equity_intl"],
-          ["VYM", "SCHD", "DVY", "DGRO"])
-GROWTH = (["public_equity", "public_equity_intl", "public_equity_em"], ["QQQ", "VUG", "VGT", "XLK", "IWF"])
-PRESERVE = (["tbills", "treasury_short", "corporate_bond", "tax_eff_muni"], ["BIL", "SHY", "BND", "LQD", "MUB", "GOVT"])
-
 
 def objective_universe(catalog: DataFrame, objective: str) -> DataFrame:
     """Symbols suited to income, growth (two bonds at most on top) or preservation (one equity at most)."""
     classes, symbols, extra, room = {
-        "income": (*INCOME, [], 0), "growth": (*GROWTH, ["corporate_bond", "treasury_long"], 2),
-        "preserve": (*PRESERVE, ["public_equity"], 1)}[objective]
+        "income": (*fixed.INCOME, [], 0), "growth": (*fixed.GROWTH, ["corporate_bond", "treasury_long"], 2),
+        "preserve": (*fixed.PRESERVE, ["public_equity"], 1)}[objective]
     main = C("class").isin(classes) | F.upper("symbol").isin(symbols)
     # an always-included symbol of the side class uses up its room too
     first = catalog.where(C("class").isin(extra)).orderBy("ordinal").limit(room) if extra else catalog.limit(0)
@@ -122,12 +117,11 @@ def band_universe(universe: DataFrame, objectives: DataFrame, bands: DataFrame,
         C("name").alias("objective"), "symbol", "asset_class", "core_or_satellite")
 
 
-FILTER_DEFAULTS = {"core_min_years": 5.0, "sat_min_years": 3.0, "min_asset_sharpe": -0.5, "max_asset_vol_multiplier": 2.0, "max_asset_drawdown": -0.60}
 
 
 def asset_fail_reason(cfg: dict | None = None, max_vol: Column | None = None) -> Column:
     """First quality test a symbol fails, as text; null when it passes all."""
-    c = {**FILTER_DEFAULTS, **(cfg or {})}
+    c = {**fixed.ASSET_FILTER, **(cfg or {})}
     years = F.when(C("core_or_satellite") == "core", c["core_min_years"]).otherwise(c["sat_min_years"])
     limit = (C("vol_max") if max_vol is None else max_vol) * c["max_asset_vol_multiplier"]
     f = F.format_string

@@ -188,7 +188,7 @@ def candidate_run(rets: DataFrame, classes: DataFrame, regimes: DataFrame, *, ob
         """Weights of the grid's variants on their symbols and look-back, constrained."""
         days = live.select("date").distinct().withColumn("_age", F.row_number().over(W.orderBy(F.desc("date"))))  # calendar only
         aged = live.join(days, "date")
-        looks = F.array(*map(F.lit, sorted({*cand.LOOKBACKS, 100000})))
+        looks = F.array(*map(F.lit, sorted({*fixed.LOOKBACKS, 100000})))
         vols = aged.withColumn("lookback", F.explode(F.filter(looks, lambda x: x >= C("_age")))).groupBy("ticker", "lookback").agg(
             (F.stddev_samp("ret") * stats.ROOT).alias("ann_vol"))
         j = subset.join(vols, ["ticker", "lookback"]).where("ann_vol > 0").join(grid.select(*kg, "optimizer", "sat_cap"), kg)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import Stages, texts
 from panelweave.llm.pretokens import Memo
 
-TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[.!?\n]")
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "ton", "tons", "tonne", "tonnes", "ounce", "ounces", "pound", "pounds",
          "ml", "cl", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "ms", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks",
          "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "mph", "kmh", "degree", "degrees", "watt", "watts", "volt", "volts")
 NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
            "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion")
+UNIT_SET, NUMBER_SET = frozenset(UNITS), frozenset(NUMBERS)
 WORD, CAPITAL, NUMBER, UNIT, MARK = range(5)
 SLOTS = {NUMBER: 0x9E3779B97F4A7C15, CAPITAL: 0xC2B2AE3D27D4EB4F, UNIT: 0x165667B19E3779F9}
 BROADCAST_WINDOWS = 4_000_000
@@ -29,7 +30,7 @@ BROADCAST_WINDOWS = 4_000_000
 def token_code(token: str) -> int:
     """Hash of the lower-case token with its kind in the lowest three bits."""
     low = token.lower()
-    kind = MARK if not token[0].isalnum() else NUMBER if token[0].isnumeric() or low in NUMBERS else UNIT if low in UNITS else CAPITAL if token[0].isupper() else WORD
+    kind = MARK if not token[0].isalnum() else NUMBER if token[0].isnumeric() or low in NUMBER_SET else UNIT if low in UNIT_SET else CAPITAL if token[0].isupper() else WORD
     return xxhash.xxh64_intdigest(low.encode()) & ~7 | kind
 
 

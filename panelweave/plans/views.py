@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.expr import choose, lookup, mod
 from ..operators import clean
-from ..session import stored
 
 CLASS_OF_REGION = {"AFRICA": "equity", "AMERICA": "bond", "ASIA": "reit", "EUROPE": "commodity", "MIDDLE EAST": "cash"}
 SERIES_OF_EVENT = {"click": "DGS10", "view": "CPIAUCSL", "error": "UNRATE", "purchase": "FEDFUNDS", "signup": "T10Y2Y"}
@@ -28,6 +28,13 @@ OBJECTIVE_NAMES = ["CONSERVATIVE", "BALANCED", "GROWTH", "GROWTH_PLUS_INCOME", "
 GOALS = ["grow", "grow_income", "income", "preserve", "tax_efficiency", "other"]
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A compact panel that many branches of a query read: computed by the first action that needs it, kept
+    in memory or on disk, and worked out again from its lineage where an executor is lost. Equal plans of
+    other queries in the session find the same data."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 class Views:
     """Lazy views over one data folder; nothing runs until a caller acts on a result."""
 
@@ -65,12 +72,12 @@ class Views:
         bars = self._bars("l_returnflag", "ticker", "date")
         day = F.dayofmonth("date")
         p = lookup(F.col("l_returnflag"), PROVIDER_OF_FLAG)
-        return bars.select(
+        return kept(bars.select(
             p.alias("provider"), "ticker", "date",
             F.when(~((F.col("l_returnflag") == "N") & (day == 1)), F.col("open")).alias("open"),
             "high", "low", "close",
             F.when(F.col("l_returnflag") != "R", F.col("close")).alias("adj_close"),
-            F.when(~((F.col("l_returnflag") == "A") & (day <= 3)), F.col("volume")).alias("volume"))
+            F.when(~((F.col("l_returnflag") == "A") & (day <= 3)), F.col("volume")).alias("volume")))
 
     @cached_property
     def ohlcv(self) -> DataFrame:
@@ -78,32 +85,32 @@ class Views:
 
     @cached_property
     def prices(self) -> DataFrame:
-        return self.fact.groupBy("ticker", "date").agg(F.avg("px").alias("price"))
+        return kept(self.fact.groupBy("ticker", "date").agg(F.avg("px").alias("price")))
 
     @cached_property
     def prices_class(self) -> DataFrame:
-        return self.fact.groupBy(F.col("cls").alias("ticker"), "date").agg(F.avg("px").alias("price"))
+        return kept(self.fact.groupBy(F.col("cls").alias("ticker"), "date").agg(F.avg("px").alias("price")))
 
     @cached_property
     def returns(self) -> DataFrame:
-        return clean.simple_returns(self.prices)
+        return kept(clean.simple_returns(self.prices))
 
     @cached_property
     def returns_class(self) -> DataFrame:
-        return clean.simple_returns(self.prices_class)
+        return kept(clean.simple_returns(self.prices_class))
 
     @cached_property
     def returns_table(self) -> DataFrame:
-        """The return panel as a written table, for queries that read it many times."""
-        return stored(self.returns)
+        """The return panel, for queries that read it many times."""
+        return self.returns
 
     @cached_property
     def returns_class_table(self) -> DataFrame:
-        return stored(self.returns_class)
+        return self.returns_class
 
     @cached_property
     def books_class_table(self) -> DataFrame:
-        return stored(self.books_class)
+        return self.books_class
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -163,7 +170,7 @@ class Views:
     @cached_property
     def weights(self) -> DataFrame:
         """One portfolio per customer."""
-        return self.customer_weights()
+        return kept(self.customer_weights())
 
     @staticmethod
     def book_id():
@@ -172,11 +179,11 @@ class Views:
     @cached_property
     def books(self) -> DataFrame:
         """One portfolio per customer nation and market segment."""
-        return self._weights(self.book_id(), F.col("ticker"), self.buyers)
+        return kept(self._weights(self.book_id(), F.col("ticker"), self.buyers))
 
     @cached_property
     def books_class(self) -> DataFrame:
-        return self._weights(self.book_id(), F.col("cls"), self.buyers)
+        return kept(self._weights(self.book_id(), F.col("cls"), self.buyers))
 
     @cached_property
     def macro(self) -> DataFrame:

@@ -1,6 +1,7 @@
 """M family: merging providers, provenance, freshness."""
 from pyspark.sql import functions as F
 
+from ..functions.expr import mod
 from ..operators import merge
 from .ctes import CTES
 from .registry import check
@@ -17,12 +18,12 @@ def by(v, p):
 
 
 check("m01_priority_union", BAR + " provider tag",
-      lambda v: merge.priority_union([by(v, "stooq").withColumn("tag", F.lit("base")), by(v, "tiingo")]),
-      "SELECT *, CASE WHEN provider = 'stooq' THEN 'base' END AS tag FROM t_raw WHERE provider IN ('stooq','tiingo') "
+      lambda v: merge.priority_union([by(v, "stooq").withColumn("tag", F.lit("base")), by(v, "tiingo"), by(v, "yfinance")]),
+      "SELECT *, CASE WHEN provider = 'stooq' THEN 'base' END AS tag FROM t_raw "
       f"QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY {RANK}) = 1")
 
-check("m02_upsert_newest", BAR + " provider", lambda v: merge.upsert_newest(by(v, "stooq"), by(v, "yfinance")),
-      "SELECT * FROM t_raw WHERE provider IN ('stooq','yfinance') "
+check("m02_upsert_newest", BAR + " provider", lambda v: merge.upsert_newest(merge.upsert_newest(by(v, "stooq"), by(v, "tiingo")), by(v, "yfinance")),
+      "SELECT * FROM t_raw "
       f"QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY {RANK} DESC) = 1")
 
 check("m03_union_with_provenance", BAR + " provider provider_map source",
@@ -89,10 +90,10 @@ check("m09_cache_fresh", "ticker age_days# fresh?", lambda v: merge.cache_fresh(
       LEFT JOIN (SELECT ticker, min(date) AS s, max(date) AS e FROM t_raw WHERE provider = 'stooq' GROUP BY 1) m ON r.ticker = m.ticker""")
 
 check("m10_missing_symbols", "ticker", lambda v: merge.missing_symbols(
-      v.listing.select(F.col("symbol").alias("ticker")),
-      v.fact.where("px > 104.5").where(F.dayofmonth("date") <= 2).drop("ticker")
+      v.listing.select(F.when(mod(F.col("ordinal"), 10) == 0, F.concat("symbol", F.lit("-X"))).otherwise(F.col("symbol")).alias("ticker")),
+      v.fact.drop("ticker")
       .join(v.listing.select("ordinal", F.col("symbol").alias("ticker")), F.col("l_suppkey") == F.col("ordinal"))),
-      """SELECT s_name AS ticker FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM t_fact WHERE px > 104.5 AND day(date) <= 2)""")
+      """SELECT CASE WHEN s_suppkey % 10 = 0 THEN s_name || '-X' ELSE s_name END AS ticker FROM supplier WHERE s_suppkey % 10 = 0 OR s_suppkey NOT IN (SELECT l_suppkey FROM t_fact)""")
 
 check("m11_macro_staleness", "series_id last_date@ spacing# max_age# age# stale?",
       lambda v: merge.macro_staleness(v.macro, F.lit("2002-02-25").cast("date"), {"UNRATE": 66}),

@@ -9,16 +9,16 @@ from .registry import check
 from .stats_checks import annual_sql, bench, labels, port, portc, regime_labels
 
 # ---- W ----------------------------------------------------------------------------------------
-check("w01_rolling_risk", "ticker date@ vol~ sharpe~", lambda v: sequence.rolling_risk(v.returns, 63, rf=0.02, min_periods=40),
+check("w01_rolling_risk", "ticker date@ vol~ sharpe~", lambda v: sequence.rolling_risk(v.returns, 252, rf=0.02, min_periods=40),
       """SELECT ticker, date, CASE WHEN c >= 40 THEN v END AS vol, CASE WHEN c >= 40 THEN (m - (1.02::DOUBLE ** (1.0::DOUBLE / 252) - 1)) * 252 / nullif(v, 0) END AS sharpe FROM (
       SELECT ticker, date, count(*) OVER w AS c, stddev_pop(ret) OVER w * sqrt(252) AS v, avg(ret) OVER w AS m FROM t_ret
-      WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))""")
+      WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))""")
 
-check("w02_rolling_drawdown", "ticker date@ maxdd~", lambda v: sequence.rolling_drawdown(v.returns, 40),
+check("w02_rolling_drawdown", "ticker date@ maxdd~", lambda v: sequence.rolling_drawdown(v.returns, 252),
       """WITH c AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM t_allcurve)
-      SELECT e.ticker, e.date, CASE WHEN e.rn >= 40 THEN m END AS maxdd FROM c e JOIN (SELECT ticker, rn, min(dd) AS m FROM (
+      SELECT e.ticker, e.date, CASE WHEN e.rn >= 252 THEN m END AS maxdd FROM c e JOIN (SELECT ticker, rn, min(dd) AS m FROM (
         SELECT e.ticker, e.rn, k.value / max(k.value) OVER (PARTITION BY e.ticker, e.rn ORDER BY k.rn) - 1 AS dd
-        FROM c e JOIN c k ON e.ticker = k.ticker AND k.rn BETWEEN e.rn - 39 AND e.rn) GROUP BY 1, 2) d ON e.ticker = d.ticker AND e.rn = d.rn""")
+        FROM c e JOIN c k ON e.ticker = k.ticker AND k.rn BETWEEN e.rn - 251 AND e.rn) GROUP BY 1, 2) d ON e.ticker = d.ticker AND e.rn = d.rn""")
 
 check("w03_equity_curve", "portfolio_id date@ value~", lambda v: stats.equity_curve(port(v), "portfolio_id"), "SELECT * FROM t_curve")
 check("w04_drawdown_series", "ticker date@ drawdown~", lambda v: stats.drawdown_series(stats.equity_curve(v.returns)),
@@ -31,10 +31,10 @@ def curves(v):
 
 
 CTES["t_curvec"] = "SELECT portfolio_id, date, product(1 + ret) OVER (PARTITION BY portfolio_id ORDER BY date) AS value FROM t_portc"
-check("w05_rebased_history", "series date@ value~", lambda v: sequence.rebased_history(curves(v), 4),
+check("w05_rebased_history", "series date@ value~", lambda v: sequence.rebased_history(curves(v), 20),
       """SELECT series, date, value / first(value) OVER (PARTITION BY series ORDER BY date) * 100 AS value FROM (
         SELECT * FROM (SELECT portfolio_id AS series, date, value FROM t_curvec UNION ALL SELECT ticker, date, price FROM t_prices_class)
-        QUALIFY date >= max(date) OVER (PARTITION BY series) - INTERVAL 4 YEAR)""")
+        QUALIFY date >= max(date) OVER (PARTITION BY series) - INTERVAL 20 YEAR)""")
 
 CTES["t_buy"] = """SELECT *, date = max(date) OVER (PARTITION BY portfolio_id, date_trunc('month', date)) AS buy,
   date = min(date) OVER (PARTITION BY portfolio_id) AS first FROM t_curvec"""
@@ -273,8 +273,8 @@ def asset_receipts_c(v):
 
 
 check("j17_holding_receipts", "portfolio_id rank# ticker weight~ risk_contribution~ provider passed? fail_reason",
-      lambda v: blend.holding_receipts(v.books_class_table, contributions(v), merge.provenance(v.fact.where("cls IN ('EUROPE', 'ASIA')").select(
-          F.col("cls").alias("ticker"), lookup(F.col("l_returnflag"), PROVIDER_OF_FLAG).alias("provider"), "date")), asset_receipts_c(v)),
+      lambda v: blend.holding_receipts(v.books_class_table, contributions(v), merge.provenance(v.fact.select(
+          F.when(F.col("cls").isin("EUROPE", "ASIA"), F.col("cls")).otherwise(F.concat("cls", F.lit(" (old)"))).alias("ticker"), lookup(F.col("l_returnflag"), PROVIDER_OF_FLAG).alias("provider"), "date")), asset_receipts_c(v)),
       """SELECT r.portfolio_id, row_number() OVER (PARTITION BY r.portfolio_id ORDER BY weight DESC, ticker) AS rank, ticker, weight, risk_contribution,
         CASE WHEN ticker IN ('EUROPE', 'ASIA') THEN 'stooq+tiingo+yfinance' ELSE 'Unknown' END AS provider, m >= -0.06 AS passed, CASE WHEN m < -0.06 THEN 'excessive drawdown' END AS fail_reason
       FROM t_rc r LEFT JOIN (SELECT ticker, min(dd) AS m FROM (SELECT *, value / max(value) OVER (PARTITION BY ticker ORDER BY date) - 1 AS dd FROM (

@@ -72,9 +72,9 @@ def aggregate_documents(v):
 
 check("s06_aggregate_documents", BAR, lambda v: landing.aggregate_bars(aggregate_documents(v)), "SELECT * FROM t_ohlcv")
 check("s06_dividend_documents", "ticker ex_dividend_date cash_amount~ currency", lambda v: landing.reference_rows(
-      v.prices.where(F.dayofmonth("date") == 15).select(F.to_json(F.struct(F.array(F.struct(
+      v.prices.select(F.to_json(F.struct(F.array(F.struct(
           C("ticker"), C("date").cast("string").alias("ex_dividend_date"), (C("price") / 100).alias("cash_amount"))).alias("results"))).alias("body")), landing.DIVIDENDS),
-      "SELECT ticker, CAST(date AS VARCHAR) AS ex_dividend_date, price / 100 AS cash_amount, CAST(NULL AS VARCHAR) AS currency FROM t_prices WHERE day(date) = 15")
+      "SELECT ticker, CAST(date AS VARCHAR) AS ex_dividend_date, price / 100 AS cash_amount, CAST(NULL AS VARCHAR) AS currency FROM t_prices")
 
 
 def documents(v):
@@ -210,14 +210,15 @@ check("v03_universe_metrics", "metric label value~", lambda v: universe.universe
 
 def broken(v):
     k = C("ordinal")
-    return v.listing.where("asset_class <> 'bond'").select(
-        F.when(k == 3, "Supplier#000000000").otherwise(C("symbol")).alias("symbol"), F.when(mod(k, 10) == 5, "crypto").otherwise(C("asset_class")).alias("asset_class"),
+    named = F.when(C("asset_class") == "bond", "cash").otherwise(C("asset_class"))
+    return v.listing.select(
+        F.when(k == 3, "Supplier#000000000").otherwise(C("symbol")).alias("symbol"), F.when(mod(k, 10) == 5, "crypto").otherwise(named).alias("asset_class"),
         F.when(mod(k, 11) == 2, "edge").otherwise(C("core_or_satellite")).alias("core_or_satellite"), "max_weight")
 
 
 check("v04_check_universe", "error item", lambda v: universe.check_universe(broken(v)),
-      """WITH b AS (SELECT if(ordinal = 3, 'Supplier#000000000', symbol) AS symbol, if(ordinal % 10 = 5, 'crypto', asset_class) AS asset_class,
-        if(ordinal % 11 = 2, 'edge', core_or_satellite) AS tier, max_weight FROM t_listing WHERE asset_class <> 'bond')
+      """WITH b AS (SELECT if(ordinal = 3, 'Supplier#000000000', symbol) AS symbol, if(ordinal % 10 = 5, 'crypto', if(asset_class = 'bond', 'cash', asset_class)) AS asset_class,
+        if(ordinal % 11 = 2, 'edge', core_or_satellite) AS tier, max_weight FROM t_listing)
       SELECT 'duplicate symbol' AS error, symbol AS item FROM b GROUP BY 2 HAVING count(*) > 1
       UNION ALL SELECT DISTINCT 'invalid asset_class', asset_class FROM b WHERE asset_class = 'crypto'
       UNION ALL SELECT DISTINCT 'invalid core_satellite', tier FROM b WHERE tier = 'edge' UNION ALL SELECT 'invalid max_weight', symbol FROM b WHERE max_weight > 1
@@ -257,13 +258,13 @@ check("v07_asset_filter", "reason passed? n#", lambda v: receipts(v).groupBy(F.s
       "SELECT split_part(fail_reason, ':', 1) AS reason, passed, count(*) AS n FROM t_arec GROUP BY 1, 2")
 check("v08_asset_receipts", "user_id# symbol asset_class core_or_satellite years~ cagr~ volatility~ sharpe~ max_drawdown~ passed? fail_reason", receipts, "SELECT * FROM t_arec")
 check("v09_ordered_universe", "symbol position#", lambda v: universe.ordered_universe(
-      v.prices.select(C("ticker").alias("symbol")), v.catalog.where(mod(C("ordinal"), 3) != 1).select(F.lower("symbol").alias("symbol"), (-C("ordinal")).alias("ordinal"))),
+      v.prices.select(C("ticker").alias("symbol")), v.catalog.select(F.lower(F.when(mod(C("ordinal"), 3) == 1, F.concat("symbol", F.lit("_old"))).otherwise(C("symbol"))).alias("symbol"), (-C("ordinal")).alias("ordinal"))),
       """SELECT s AS symbol, row_number() OVER (ORDER BY o NULLS LAST, s) AS position FROM (SELECT DISTINCT ticker AS s FROM t_prices)
       LEFT JOIN (SELECT symbol, -ordinal AS o FROM t_catalog WHERE ordinal % 3 <> 1) ON symbol = s""")
 
 # ---- Q ----------------------------------------------------------------------------------------
 check("q01_price_gate", "ticker present? nan_ratio~ nan_ok? span_years~ span_ok? has_provenance?", lambda v: gates.price_gate(
-      v.nations.select(C("n_name").alias("ticker")).union(v.nations.select("r_name")), v.prices, merge.provenance(v.prices_raw.where("ticker <> 'NATION_3'")), 0.30),
+      v.nations.select(C("n_name").alias("ticker")).union(v.nations.select("r_name")), v.prices, merge.provenance(v.prices_raw.withColumn("ticker", F.when(C("ticker") == "NATION_3", "NATION_3_old").otherwise(C("ticker")))), 0.30),
       """SELECT q.ticker, c IS NOT NULL AS present, 1 - c / n AS nan_ratio, coalesce(1 - c / n <= 0.30, false) AS nan_ok, y AS span_years, y >= 3 AS span_ok,
         c IS NOT NULL AND q.ticker <> 'NATION_3' AS has_provenance
       FROM (SELECT n_name AS ticker FROM nation UNION SELECT r_name FROM region) q LEFT JOIN (SELECT ticker, count(*)::DOUBLE AS c FROM t_prices GROUP BY 1) g ON g.ticker = q.ticker,

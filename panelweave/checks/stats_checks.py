@@ -194,12 +194,12 @@ def draw_sql(a: str, b: str, n: str) -> str:
 
 CTES["t_seq"] = "SELECT ticker, ret, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM t_ret"
 CTES["t_boot"] = f"""SELECT d.ticker, d.rep, product(1 + ret) AS p, stddev_pop(ret) AS sd, any_value(d.n) AS n FROM (
-  SELECT s.ticker, rep::BIGINT AS rep, s.n, {draw_sql('rep::BIGINT', 's.i + 1', 's.n')} AS pick FROM t_seq s, range(40) r(rep) WHERE s.n >= 126) d
+  SELECT s.ticker, rep::BIGINT AS rep, s.n, {draw_sql('rep::BIGINT', 's.i + 1', 's.n')} AS pick FROM t_seq s, range(1000) r(rep) WHERE s.n >= 126) d
   JOIN t_seq s ON s.ticker = d.ticker AND s.i = d.pick GROUP BY 1, 2"""
-check("a32_bootstrap_growth", "ticker lo~ hi~", lambda v: stats.bootstrap_interval(v.returns, replicates=40, min_rows=126),
+check("a32_bootstrap_growth", "ticker lo~ hi~", lambda v: stats.bootstrap_interval(v.returns, replicates=1000, min_rows=126),
       """SELECT t.ticker, lo, hi FROM (SELECT DISTINCT ticker FROM t_ret) t LEFT JOIN (SELECT ticker, quantile_cont(c, 0.025) AS lo, quantile_cont(c, 0.975) AS hi
       FROM (SELECT ticker, p ** (252.0::DOUBLE / n) - 1 AS c FROM t_boot) GROUP BY 1) b ON t.ticker = b.ticker""")
-check("a32_bootstrap_volatility", "ticker lo~ hi~", lambda v: stats.bootstrap_interval(v.returns, "ann_vol", replicates=40, min_rows=126),
+check("a32_bootstrap_volatility", "ticker lo~ hi~", lambda v: stats.bootstrap_interval(v.returns, "ann_vol", replicates=1000, min_rows=126),
       """SELECT t.ticker, lo, hi FROM (SELECT DISTINCT ticker FROM t_ret) t LEFT JOIN (SELECT ticker, quantile_cont(c, 0.025) AS lo, quantile_cont(c, 0.975) AS hi
       FROM (SELECT ticker, sd * sqrt(252) AS c FROM t_boot) GROUP BY 1) b ON t.ticker = b.ticker""")
 

@@ -38,9 +38,10 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, exponent
         named = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)) if weights else F.create_map()
         target = F.coalesce(named[F.col("source")].cast("double"), F.lit(0.0)) if weights else F.lit(0.0)
     rows = sizes.withColumn("target", target)
-    both = rows.agg(F.sum("target").alias("targets"), F.sum("size").alias("all"))
-    rate = F.when(F.col("targets") > 0, factor * F.col("all") * F.col("target") / F.col("targets") / F.col("size")).otherwise(F.lit(0.0))
-    return rows.join(F.broadcast(both)).select("source", rate.alias("rate"))  # one row
+    whole = rows.agg(F.struct(F.sum("target").alias("targets"), F.sum("size").alias("all")).alias("whole")).scalar()  # one row
+    rows = rows.withColumn("whole", whole)
+    rate = F.when(F.col("whole.targets") > 0, factor * F.col("whole.all") * F.col("target") / F.col("whole.targets") / F.col("size")).otherwise(F.lit(0.0))
+    return rows.select("source", rate.alias("rate"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, factor: float = 1.0, seed: int = 17,

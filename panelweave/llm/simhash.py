@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: banded candidates, compared bit-sliced."""
+"""SimHash near-duplicates: banded candidates, compared bit-sliced; or, by similarity, confirmed by exact Jaccard."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from panelweave.llm.common import Stages, utf8
 from panelweave.llm.components import components
 
 BITS, PARTS = 64, 4  # fingerprint bits; equal parts a fingerprint is cut into
+SHINGLE, SIMILAR = 5, 0.8  # words a shingle and least Jaccard similarity of near-duplicates by similarity
+TABLES, KEY_BITS, WIDE_RADIUS = 80, 13, 34  # their candidates: tables of sampled bits of a 128-bit fingerprint, bits a key, differing bits allowed
 
 
 def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
@@ -201,15 +203,194 @@ def keep_first(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_co
     A null id comes after all others. Of rows that share the smallest id that with the smallest hash of
     its text stays, and one of those that are equal in both.
     """
-    stages, mine = Stages(docs.sparkSession), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mine")
-    tied = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    rows = stages.table(fingerprint_table(tied, "id", "text", "tie"), "fingerprints")
-    roots = print_roots(rows, stages, radius).select("fp", "root")
+    stages = Stages(docs.sparkSession)
+    rows = stages.table(fingerprint_table(tied(docs, id_col, text_col), "id", "text", "tie"), "fingerprints")
+    return first_rows(docs, rows.join(print_roots(rows, stages, radius).select("fp", "root"), "fp"), stages, id_col, text_col)
+
+
+def tied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, tie): the tie is a hash of the text."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame, stages: Stages, id_col: str, text_col: str) -> DataFrame:
+    """The row of each root of ``rooted`` (id, tie, root) that comes first by id and tie."""
+    mine = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mine")
     order = F.struct(F.col("id").isNull(), "id", "tie")
-    first = rows.join(roots, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    first = rooted.groupBy("root").agg(F.min(order).alias("first"))
     first = stages.table(first.select(F.col("first.id").alias("k_id"), F.col("first.tie").alias("k_tie")), "first")
     out = docs.select(mine, F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"))
     out = out.join(first, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie")), "left_semi")
-    if not rows.groupBy("id", "tie").count().where("count > 1").isEmpty():
+    if not rooted.groupBy("id", "tie").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["id", "tie"])
     return out.select("mine.*")
+
+
+def wide_prints(batch: list[np.ndarray]) -> np.ndarray:
+    """(n, 2): fingerprints of 128 bits over sets of hashes; the second half's hashes are the first's, mixed."""
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return h ^ h >> np.uint64(31)
+
+    return np.stack([fingerprints(batch), fingerprints([mixed(h) for h in batch])], 1)
+
+
+def table_keys(prints: np.ndarray) -> np.ndarray:
+    """(n, TABLES): the key of each fingerprint in each table, that is the table's number and its sampled bits."""
+    rng = np.random.default_rng(42)
+    bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, 16), axis=1)
+    keys = np.empty((len(prints), TABLES), np.int64)
+    for t in range(TABLES):
+        at = rng.choice(2 * BITS, KEY_BITS, replace=False)
+        keys[:, t] = (t << KEY_BITS) + bits[:, at].astype(np.int64) @ (1 << np.arange(KEY_BITS))
+    return keys
+
+
+def bucket_pairs(prints: np.ndarray, group: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one group within WIDE_RADIUS; ``group`` is sorted.
+
+    With roots, all pairs of different roots. Without, each row's nearest one before it, or after it if
+    none is before: enough to hold every row that has a pair, and to connect a group of like rows.
+    """
+    n = len(prints)
+    change = np.concatenate([[True], group[1:] != group[:-1]])
+    stop = np.append(np.flatnonzero(change)[1:], n)[np.cumsum(change) - 1]  # end of each row's group
+    near, partner = np.full((2, n), 2 * BITS + 1, np.int16), np.full((2, n), -1)
+    found, i, d = [], np.arange(n), 0
+    while True:
+        d += 1
+        i = i[i + d < stop[i]]
+        if not len(i):
+            break
+        j = i + d
+        apart = np.bitwise_count(prints[i, 0] ^ prints[j, 0]) + np.bitwise_count(prints[i, 1] ^ prints[j, 1])
+        ok = apart <= WIDE_RADIUS
+        if root is not None:
+            ok &= root[i] != root[j]
+            found.append((i[ok], j[ok]))
+            continue
+        for side, (x, y) in enumerate(((j[ok], i[ok]), (i[ok], j[ok]))):  # x once at most
+            closer = apart[ok] < near[side, x]
+            near[side, x[closer]], partner[side, x[closer]] = apart[ok][closer], y[closer]
+    if root is not None:
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
+    best = np.where(partner[0] >= 0, partner[0], partner[1])
+    at = np.flatnonzero(best >= 0)
+    return at, best[at]
+
+
+def wide_pairs(prints: DataFrame, rooted: bool, limit: int = 4096) -> DataFrame:
+    """Distinct (a, b), a < b, of nodes that meet in a table within WIDE_RADIUS; see ``bucket_pairs``.
+
+    ``prints`` is (node, p, q, root). A key with more than ``limit`` rows is dealt on by chunks, like in
+    ``candidate_links``.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                node, p, q, root = (c.to_numpy() for c in batch.slice(at, 1000).columns)
+                keys = table_keys(np.stack([p, q], 1).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, TABLES)) for x in (node, p, q, root))], ["key", "node", "p", "q", "root"])
+
+    rows = prints.select("node", "p", "q", "root").mapInArrow(cut, "key long, node long, p long, q long, root long")
+    heavy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    rows = rows.join(heavy, "key", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") / limit), F.lit(1)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "p", "q", "root")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, lo, hi, node, p, q, root = (c.to_numpy() for c in held.columns)
+            group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+            i, j = bucket_pairs(np.stack([p, q], 1).view(np.uint64), group, root if rooted else None)
+            both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
+            for at in range(0, len(both), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(both[at:at + (1 << 16), 0]), pa.array(both[at:at + (1 << 16), 1])], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held.num_rows > 1 << 16:  # work is cut between groups
+                last = [held.column(c).to_numpy() for c in range(3)]
+                same = np.logical_and.reduce([c == c[-1] for c in last])
+                cut_at = held.num_rows - int(same.sum())
+                if cut_at:
+                    yield from pairs(held.slice(0, cut_at))
+                    held = held.slice(cut_at)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
+
+    found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(compare, "a long, b long")
+    return found.distinct()
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def node_table(rows: DataFrame) -> DataFrame:
+    """(id, tie, node, p, q) of (id, text, tie): texts of the same words are one node, that is a hash of them; p and q are the fingerprint."""
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = list(utf8(batch.column(1)))
+            node = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 42) for t in data], np.uint64).view(np.int64)
+            wide = wide_prints([shingle_set(t) for t in data]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), pa.array(wide[:, 0]), pa.array(wide[:, 1])], ["id", "tie", "node", "p", "q"])
+
+    return rows.select("id", "text", "tie").mapInArrow(prints, "id long, tie long, node long, p long, q long")
+
+
+def shingle_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes): the sorted shingle hashes, as bytes, of a text (id, text, tie) of each of the nodes (node, r_id, r_tie)."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in utf8(batch.column(1))], pa.binary())], ["node", "hashes"])
+
+    mine = rows.join(nodes, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie")))
+    return mine.select("node", "text").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``least``."""
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both / max(1, len(x) + len(y) - both) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def similar_roots(rows: DataFrame, nodes: DataFrame, stages: Stages, least: float) -> DataFrame:
+    """(node, root) of every node tied to another by similar pairs of rows (id, text, tie); ``nodes`` is (id, tie, node, p, q)."""
+    one = nodes.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "tie")).alias("r"), F.first("p").alias("p"), F.first("q").alias("q"))
+    one = stages.table(one.select("node", "p", "q", F.col("r.id").alias("r_id"), F.col("r.tie").alias("r_tie"), F.lit(0).cast("long").alias("root")), "nodes")
+    pairs = stages.table(wide_pairs(one, False), "nearest")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    one = stages.table(one.drop("root").join(met, "node"), "met")
+    sets = stages.table(shingle_sets(rows, one.select("node", "r_id", "r_tie")), "sets")
+    links = stages.table(confirmed(pairs, sets, least), "links")
+    roots = components(links, stages)
+    # the other pairs: only those not connected yet have to be looked at
+    left = one.join(roots.withColumnRenamed("root", "known"), "node", "left").select("node", "p", "q", F.coalesce("known", "node").alias("root"))
+    more = stages.table(confirmed(wide_pairs(left, True), sets, least), "more-links")
+    return components(links.union(more), stages)
+
+
+def keep_first_similar(docs: DataFrame, least: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each group of texts tied by a Jaccard similarity of ``least`` or more: that ``keep_first`` keeps.
+
+    Similarity is that of the sets of 5-word shingles (words as in ``shingle_hashes``; a shorter text is one
+    shingle, texts without words are alike), compared by 64-bit hashes. A pair is looked at if it meets in
+    one of TABLES tables and lies within WIDE_RADIUS of 128 bits, and linked only if its exact similarity suffices.
+    """
+    stages, rows = Stages(docs.sparkSession), tied(docs, id_col, text_col)
+    nodes = stages.table(node_table(rows), "fingerprints")
+    roots = stages.table(similar_roots(rows, nodes, stages, least), "roots").withColumnRenamed("root", "known")
+    rooted = nodes.join(roots, "node", "left").select("id", "tie", F.coalesce("known", "node").alias("root"))
+    return first_rows(docs, rooted, stages, id_col, text_col)

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import Stages, text_key
 
 
+SIZES = 8  # of pieces: each but the last is meant to be half of that before it
+
+
 def differencing(partials: Sequence[Sequence[int]], k: int) -> list[list[int]]:
     """Bin of each part of each partial partition.
 
@@ -62,26 +65,28 @@ def differencing(partials: Sequence[Sequence[int]], k: int) -> list[list[int]]:
     return out
 
 
-def assign_groups(groups: DataFrame, k: int, chunk: int = 40_000) -> DataFrame:
-    """(key, part, bin) of (key, weight): differencing inside each task, over chunks of bounded size.
+def assign_groups(groups: DataFrame, unit: int) -> DataFrame:
+    """(key, part, piece, weight) of (key, weight): a task's groups of up to ``unit`` are dealt into pieces of less than two units, a heavier one is a piece of its own (a negative number).
 
-    A chunk's partition is laid on the task's running one oppositely ordered, so a task ends with one
-    partial partition of ``k`` sums whatever the number of its groups.
+    Pieces are meant to weigh a unit, a half, a quarter and so on, again and again: small ones level what large ones leave. They stay unbalanced for the differencing over all tasks: a partition levelled inside a task could not offset a heavy group of another.
     """
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total = TaskContext.get().partitionId(), np.zeros(k, np.int64)
+        part, filled, alone = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, chunk):
-                piece = batch.slice(at, chunk)
-                weights = piece.column(1).to_numpy()
-                bins = np.array([b[0] for b in differencing([[w] for w in weights.tolist()], k)], np.int64)
-                sums = np.bincount(bins, weights, k).astype(np.int64)
-                lay = np.empty(k, np.int64)
-                lay[np.argsort(sums, kind="stable")] = np.argsort(-total, kind="stable")
-                total[lay] += sums
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(bins), part, np.int32)), pa.array(lay[bins].astype(np.int32)), piece.column(1)], ["key", "part", "bin", "weight"])
+            weights = batch.column(1).to_numpy()
+            heavy = weights > unit
+            sums, own = filled + np.cumsum(np.where(heavy, 0, weights)), alone + np.cumsum(heavy)
+            piece = np.where(heavy, -own, SIZES * (sums // (2 * unit)) + np.minimum(-np.log2(1 - sums % (2 * unit) / (2 * unit)), SIZES - 1).astype(np.int64))
+            if len(weights):
+                filled, alone = int(sums[-1]), int(own[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(piece), part, np.int32)), pa.array(piece.astype(np.int64)), batch.column(1)], ["key", "part", "piece", "weight"])
+
+    return groups.select("key", "weight").mapInArrow(assign, "key binary, part int, piece long, weight long")
+
 
-    return groups.select("key", "weight").mapInArrow(assign, "key binary, part int, bin int, weight long")
+def piece_unit(total: int, k: int) -> int:
+    """Weight of the largest pieces: 1/128 of a mean shard, more where that made over 4096 of them in all, but never over 1/8."""
+    return max(1, total // (k * max(8, min(128, 4096 // k))))
 
 
 def number_slots(rows: DataFrame, stages: Stages, shard: str = "shard") -> DataFrame:
@@ -114,20 +119,18 @@ def shard_by_bytes(docs: DataFrame, k: int = 16, id_col: str = "doc_id", text_co
     """(id, size, text_crc32, shard, slot) with near equal sums of size; equal texts stay together.
 
     Size is the UTF-8 bytes of the text plus 1. Texts are compared by a 128-bit key; a null text is an
-    empty one. The group table keeps one row a distinct text. Tasks difference their own groups; then the
-    tasks' partial partitions, ``k`` sums a task, are differenced by the driver. Null and repeated ids
-    keep a row each; an empty table gives none; other columns play no part.
+    empty one. The group table keeps one row a distinct text. Tasks deal light groups into small pieces;
+    these and the heavy groups, whose number ``piece_unit`` bounds, are differenced together by the driver.
+    Null and repeated ids keep a row each; an empty table gives none; other columns play no part.
     """
     spark = docs.sparkSession
     stages = Stages(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = stages.table(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text_key(F.col(text_col)).alias("key")), "sizes")
-    groups = stages.table(assign_groups(base.groupBy("key").agg(F.sum("size").alias("weight")), k), "groups")
-    sums: dict[int, list[int]] = {}
-    for r in groups.groupBy("part", "bin").agg(F.sum("weight").alias("w")).collect():
-        sums.setdefault(r.part, [0] * k)[r.bin] = r.w
-    parts = sorted(sums)
-    placed = differencing([sums[p] for p in parts], k)
-    places = spark.createDataFrame([(p, b, s) for p, row in zip(parts, placed, strict=True) for b, s in enumerate(row)], "part int, bin int, shard int")
-    rows = base.join(groups.select("key", "part", "bin"), "key").join(F.broadcast(places), ["part", "bin"]).select("id", "size", "text_crc32", "shard")
+    unit = piece_unit(base.agg(F.sum("size")).first()[0] or 0, k)
+    groups = stages.table(assign_groups(base.groupBy("key").agg(F.sum("size").alias("weight")), unit), "groups")
+    pieces = sorted(map(tuple, groups.groupBy("part", "piece").agg(F.sum("weight").alias("w")).collect()))
+    placed = differencing([[w] for *_, w in pieces], k)
+    places = spark.createDataFrame([(p, n, s) for (p, n, _), (s,) in zip(pieces, placed, strict=True)], "part int, piece long, shard int")
+    rows = base.join(groups.select("key", "part", "piece"), "key").join(F.broadcast(places), ["part", "piece"]).select("id", "size", "text_crc32", "shard")
     return number_slots(rows, stages).withColumnRenamed("id", id_col)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from panelweave.llm import simhash
+from panelweave.llm import sharding, simhash
 
 
 def plain_similar(texts, least=0.8):
@@ -75,3 +75,22 @@ def test_large_buckets_of_wide_candidates_are_dealt_out(spark):
     while grown != reach:
         grown, reach = reach, reach | {x for p in one if set(p) & reach for x in p}
     assert one <= all_pairs and reach == set(range(80))
+
+
+def test_shards_offset_heavy_groups(spark):
+    rng = random.Random(3)
+    light = [(i, f"{i} " + "x" * rng.randrange(20, 400)) for i in range(20_000)]
+    total = sum(len(t) + 1 for _, t in light)
+    copies = int(0.9 * total / 15 / 101)  # about 0.9 of a mean shard
+    docs = [*light, *((10**6 + i, "y" * 100) for i in range(copies)), (2 * 10**6, "z" * (total // 40))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(12)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sharding.shard_by_bytes(df, 16).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sums, heavy = np.zeros(16, np.int64), set()
+    for r in got:
+        sums[r.shard] += r.size
+        heavy |= {r.shard} if 10**6 <= r.doc_id < 2 * 10**6 else set()
+    assert len(got) == len(docs) and len(heavy) == 1 and sums.max() - sums.min() < 0.001 * sums.mean()

@@ -81,16 +81,16 @@ def codes() -> Memo:
 
 
 def item_windows(text: str, size: int, memo: Memo) -> list[tuple[int, bool, int, int, list[str]]]:
-    """(window size, literal, hash, start, slot values) of an item; tokens themselves where the template has too few words to go by."""
+    """(window size, literal, hash, start, slot values) of an item; by the tokens themselves every window over a token that no template window with few enough slots covers."""
     t = Template(text, memo)
     size = min(size, len(t))
     if not size:
         return []
-    for literal in (False, True):
-        h, usable = t.windows(size, literal)
-        if usable.any():
-            return [(size, literal, int(h[i].view(np.int64)), i, [] if literal else t.slot_values(i, size)) for i in np.flatnonzero(usable).tolist()]
-    return []
+    h, usable = t.windows(size)
+    rows = [(size, False, int(h[i].view(np.int64)), i, t.slot_values(i, size)) for i in np.flatnonzero(usable).tolist()]
+    bare = np.convolve(usable, np.ones(size, int)) == 0  # tokens outside all usable windows
+    own, _ = t.windows(size, True)
+    return rows + [(size, True, int(own[i].view(np.int64)), i, []) for i in np.flatnonzero(np.convolve(bare, np.ones(size, int), "valid")).tolist()]
 
 
 def benchmark_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -188,8 +188,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: f
     Windows of ``size`` template tokens are joined by hash; an item is found where at least ``least`` of its
     tokens lie under matching windows with consistent slots. ``items`` lists the found item ids, ascending,
     ``reparameterised`` tells that a slot's value differs in one of them. Shorter items are one window of
-    their own length; items without words are never found; items that are mostly slots are matched by
-    their tokens themselves.
+    their own length; items without words are never found; stretches that are mostly slots (runs of numbers
+    or names) are matched by their tokens themselves, so that a verbatim copy always covers the whole item.
 
     A null text has no tokens; null and repeated ids keep a row each, judged by their own text; an empty
     table gives none, an empty benchmark marks nothing; other columns play no part. The benchmark's window

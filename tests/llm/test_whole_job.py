@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from panelweave.llm import sharding, simhash
+from panelweave.llm import sharding, simhash, templates
 
 
 def plain_similar(texts, least=0.8):
@@ -94,3 +94,15 @@ def test_shards_offset_heavy_groups(spark):
         sums[r.shard] += r.size
         heavy |= {r.shard} if 10**6 <= r.doc_id < 2 * 10**6 else set()
     assert len(got) == len(docs) and len(heavy) == 1 and sums.max() - sums.min() < 0.001 * sums.mean()
+
+
+def test_verbatim_runs_of_numbers_and_names(spark):
+    items = ["Compute the sum of the following list of numbers: 3 4 5 6 7 8 9 10 11 12 13 14 15",
+             "Which of these cities lies farthest north when seen from the equator: Oslo, Rome, Paris, Madrid, Berlin, Vienna, Athens, Lisbon, Dublin or Prague",
+             "12 13 14 15 16 17 18 19 20 21 say which of the numbers before this is even and why you think so",
+             "Berlin 1 2 3", "one plain question about how many apples are left in the basket"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"some words before. {t} and some after") for i, t in enumerate(items)] + [(9, items[0].replace("8 9", "80 90"))], "doc_id long, text string")
+    got = {r.doc_id: (r.items, r.reparameterised) for r in templates.decontaminate(docs, bench).collect()}
+    assert got == {**{i: (str(i), False) for i in range(len(items))}, 9: ("", False)}
+    assert [r.doc_id for r in templates.keep_clean(docs, bench).collect()] == [9]

@@ -40,6 +40,11 @@ def base_rules(docs: DataFrame, text: Column) -> DataFrame:
     return rows.drop("words", "__text", "__lines").withColumn("base_failed", failed)
 
 
+def normal(line: Column) -> Column:
+    """A line in lower case with single spaces."""
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """(host, key, line, n, total): hash and words of every normalised line with a word, and the words of its text."""
     lines = F.filter(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE, " "))), lambda x: x != "")
@@ -62,11 +67,11 @@ def frequent_lines(docs: DataFrame, stages: Stages, least: int, share: float) ->
 
 
 def lost_words(docs: DataFrame, stages: Stages, least: int, share: float) -> DataFrame:
-    """(host, key, n_frequent_words, total) of the texts that hold frequent lines."""
+    """(host, key, n_frequent_words, total, gone) of the texts that hold frequent lines; ``gone`` are the hashes of these."""
     frequent = frequent_lines(docs, stages, least, share)
-    lost = line_rows(docs).join(frequent, ["host", "line"]).groupBy("host", "key").agg(F.sum("n").alias("n"), F.max("total").alias("total"))
+    lost = line_rows(docs).join(frequent, ["host", "line"]).groupBy("host", "key").agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.collect_set("line").alias("gone"))
     copies = docs.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies"))  # each copy has added the same words
-    lost = lost.join(copies, ["host", "key"]).select("host", "key", (F.col("n") / F.col("copies")).cast("long").alias("n_frequent_words"), F.col("total").cast("long").alias("total"))
+    lost = lost.join(copies, ["host", "key"]).select("host", "key", (F.col("n") / F.col("copies")).cast("long").alias("n_frequent_words"), F.col("total").cast("long").alias("total"), "gone")
     return stages.table(lost, "lost-words")
 
 
@@ -76,13 +81,19 @@ def keyed(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
     return docs.select(mine, F.coalesce(F.col(host_col), F.lit("")).alias("host"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose normalised form has a hash in ``gone``; the same text where that is null."""
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(normal(x)))), "\n")
+    return F.when(gone.isNull(), text).otherwise(left)
+
+
 def enough_left(words: Column, lost: Column, left_percent: int) -> Column:
     return 100 * (words - lost) >= left_percent * words
 
 
 def quality_rules(docs: DataFrame, least: int = 20, share: float = 0.1, left_percent: int = 30,
-                  id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", stages: Stages | None = None) -> DataFrame:
-    """One row per document: (id, base figures, base_failed, kept, n_frequent_words).
+                  id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", stages: Stages | None = None, with_text: bool = False) -> DataFrame:
+    """One row per document: (id, base figures, base_failed, kept, n_frequent_words), and ``with_text`` the text left.
 
     A line is frequent if more than max(``least``, ``share`` of the host's documents) contain it. Frequent
     lines are removed; a document is depleted, and not kept, if less than ``left_percent`` of its words
@@ -92,23 +103,29 @@ def quality_rules(docs: DataFrame, least: int = 20, share: float = 0.1, left_per
     """
     stages = stages or Stages(docs.sparkSession)
     rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), "text", "host")
-    lost = lost_words(rows.select("host", "key", "text"), stages, least, share).drop("total")
-    rows = base_rules(rows.select(F.col("mine.id").alias(id_col), "host", "key", F.col("text").alias("raw")), F.col("raw")).drop("raw")
+    lost = lost_words(rows.select("host", "key", "text"), stages, least, share).drop("total", *([] if with_text else ["gone"]))
+    rows = base_rules(rows.select(F.col("mine.id").alias(id_col), "host", "key", F.col("text").alias("raw")), F.col("raw"))
+    rows = rows if with_text else rows.drop("raw")
     rows = rows.join(lost, ["host", "key"], "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
     kept = ~F.col("base_failed") & enough_left(F.col("n_words"), F.col("n_frequent_words"), left_percent)
-    return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_frequent_words")
+    return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_frequent_words", *([without_lines(F.col("raw"), F.col("gone")).alias(text_col)] if with_text else []))
 
 
 def keep_documents(docs: DataFrame, least: int = 20, share: float = 0.1, left_percent: int = 30, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows, with all their columns, that ``quality_rules`` keeps. Texts are filtered where they are read; only the keys of depleted ones are joined."""
+    """The rows, with all their columns, that ``quality_rules`` keeps, their texts without frequent lines.
+
+    Texts are filtered where they are read; only keys of texts with frequent lines are joined.
+    """
     stages = Stages(docs.sparkSession)
     rows = keyed(docs, text_col, host_col)
     lost = lost_words(rows.select("host", "key", "text"), stages, least, share)
-    depleted = stages.table(lost.where(~enough_left(F.col("total"), F.col("n_frequent_words"), left_percent)).select("host", "key"), "depleted")
+    lines = lost.select("host", "key", "gone", enough_left(F.col("total"), F.col("n_frequent_words"), left_percent).alias("enough"))
     # the task's number holds the filter above the figures; below them it would work them out anew for each mention
     figures = base_rules(rows.select("mine", "host", "key"), F.col("mine").getField(text_col)).withColumn("task", F.spark_partition_id())
     passed = figures.where(~F.col("base_failed") & (F.col("task") >= 0)).select("mine", "host", "key")
-    return passed.join(depleted, ["host", "key"], "left_anti").select("mine.*")
+    left = passed.join(lines, ["host", "key"], "left").where(F.coalesce("enough", F.lit(True)))
+    text = without_lines(F.col("mine").getField(text_col), F.col("gone")).alias(text_col)
+    return left.select(*(text if c == text_col else F.col("mine").getField(c).alias(c) for c in docs.columns))
 
 
 SQL = r"""

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from panelweave.llm import sharding, simhash, templates
+from panelweave.llm import quality, sharding, simhash, templates
 
 
 def plain_similar(texts, least=0.8):
@@ -106,3 +106,16 @@ def test_verbatim_runs_of_numbers_and_names(spark):
     got = {r.doc_id: (r.items, r.reparameterised) for r in templates.decontaminate(docs, bench).collect()}
     assert got == {**{i: (str(i), False) for i in range(len(items))}, 9: ("", False)}
     assert [r.doc_id for r in templates.keep_clean(docs, bench).collect()] == [9]
+
+
+def test_frequent_lines_leave_the_text(spark):
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    docs = [(i, f"Home  About\n{(a := own(60))}\n\nHOME about \n{(b := own(9))}", "a", f"{a}\n\n{b}") for i in range(30)]
+    docs += [(100, f"home about\n{(a := own(70))}", "b", f"home about\n{a}"), (101, docs[0][1], "a", docs[0][3]), (102, a, None, a)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, want string").selectExpr("want", "text", "source", "doc_id", "1 AS gone", "2 AS enough")
+    kept = quality.keep_documents(df)
+    assert kept.columns == df.columns and kept.count() == len(docs) and all(r.text == r.want for r in kept.collect())
+    got = quality.quality_rules(df, with_text=True)
+    assert got.columns == [*quality.quality_rules(df).columns, "text"] and {(r.doc_id, r.text) for r in got.collect()} == {(i, w) for i, _, _, w in docs}
+    assert {(r.doc_id, r.text) for r in quality.quality_rules(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").selectExpr("*", "'a' AS source"), with_text=True).collect()} == {(1, None), (2, "")}

@@ -208,11 +208,11 @@ CTES["t_grp"] = """SELECT g, nm, date, ret FROM (SELECT split_part(portfolio_id,
 CTES["t_grk"] = """SELECT *, row_number() OVER (PARTITION BY g ORDER BY like_ DESC, nm) AS rk FROM (
   SELECT g, nm, avg(ret) AS mean, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), -1e9) AS like_, count(*) AS n FROM t_grp GROUP BY 1, 2)"""
 CTES["t_gseq"] = """SELECT p.g, rk, ret, row_number() OVER (PARTITION BY p.g, p.nm ORDER BY date) - 1 AS i, n FROM t_grp p JOIN t_grk k ON p.g = k.g AND p.nm = k.nm WHERE n >= 60"""
-CTES["t_gboot"] = f"""SELECT d.g, d.rk, d.rep, avg(ret) AS m FROM (SELECT g, rk, rep::BIGINT AS rep, {draw_sql('rep::BIGINT', 's.i + 1', 's.n')} AS pick FROM t_gseq s, range(20) r(rep)) d
+CTES["t_gboot"] = f"""SELECT d.g, d.rk, d.rep, avg(ret) AS m FROM (SELECT g, rk, rep::BIGINT AS rep, {draw_sql('rep::BIGINT', 's.i + 1', 's.n')} AS pick FROM t_gseq s, range(2000) r(rep)) d
   JOIN t_gseq s ON s.g = d.g AND s.rk = d.rk AND s.i = d.pick GROUP BY 1, 2, 3"""
 check("a33_bootstrap_winner", "group_id winner mean~ p_value~",
       lambda v: stats.bootstrap_winner(portc(v).select(F.split("portfolio_id", r"\|")[0].alias("group_id"),
-                                                       F.split("portfolio_id", r"\|")[1].alias("name"), "date", "ret"), replicates=20),
+                                                       F.split("portfolio_id", r"\|")[1].alias("name"), "date", "ret"), replicates=2000),
       """SELECT k.g AS group_id, nm AS winner, mean, p_value FROM t_grk k LEFT JOIN (SELECT o.g, avg((w.m - o.m <= 0)::INT::DOUBLE) AS p_value
         FROM t_gboot w JOIN t_gboot o ON w.g = o.g AND w.rep = o.rep WHERE w.rk = 1 AND o.rk > 1 GROUP BY 1) p ON k.g = p.g WHERE rk = 1""")
 check("a34_normal_interval", "ticker lo~ hi~", lambda v: stats.normal_interval(v.returns),

@@ -343,7 +343,7 @@ check("p25_stats", "user_id# total_candidates# strict_passes# recommended# fallb
       """SELECT r.user_id, coalesce(total, 0) AS total_candidates, coalesce(strict, 0) AS strict_passes, recommended, fallback_count, hard_fallback_count, stage_used FROM (
         SELECT user_id, count(*) AS recommended, count(*) FILTER (fallback_level > 1) AS fallback_count, count(*) FILTER (hard_fallback) AS hard_fallback_count, max(fallback_level) AS stage_used FROM t_rrec GROUP BY 1) r
       LEFT JOIN (SELECT user_id, 4 * count(*) AS total, 4 * count(*) FILTER (strict) AS strict FROM t_rst GROUP BY 1) c ON c.user_id = r.user_id""")
-check("p25_all_methods", RECS, lambda v: recommend.build_recommendations(profiles(v), v.returns_class, v.catalog_class, cfg=RUN, samples=64).recommended)
+check("p25_all_methods", RECS, lambda v: recommend.build_recommendations(profiles(v), v.returns_class, v.catalog_class, cfg=RUN).recommended)
 
 
 def small_objectives(v):

@@ -142,7 +142,7 @@ def scenario_files(v):
     regions = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     h = stats.horizon_metrics(portc(v))
     m = stats.annualized_metrics(portc(v), "portfolio_id")
-    sinks.write_scenario(m, v.books_class, h, regions, ["1y", "3y"], root)
+    sinks.write_scenario(m, v.books_class, h, regions, list(stats.HORIZONS), root)
     read = lambda n: v.spark.read.option("header", True).csv(f"{root}/{n}")
     w = read("weights").select("portfolio_id", *[C(f"`{r}`").cast("double").alias(r) for r in regions])
     w = w.select("portfolio_id", sum([C(f"`{r}`") for r in regions[1:]], C("AFRICA")).alias("total"), C("ASIA").alias("asia"))

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import mixing, quality
+from panelweave.llm import conversations, mixing, quality
+from panelweave.llm.conversations import repair_conversations
 from panelweave.llm.lines import dedup_lines
 from panelweave.llm.sharding import shard_by_bytes
 from panelweave.llm.simhash import near_duplicates
@@ -64,7 +65,12 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc.doc_id", "doc.source", "copy", "order_key")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_token_output, op3_warc_splittable, op4_differencing_shards, op5_suffix_ranks, op6_token_counts, op7_template_decontamination, op8_simhash, op9_quality_rules, op10_poisson_mixing)
+    f.__name__: f for f in (op1_line_dedup, op2_token_output, op3_warc_splittable, op4_differencing_shards, op5_suffix_ranks, op6_token_counts, op7_template_decontamination, op8_simhash, op9_quality_rules, op10_poisson_mixing,
+                               op13_conversation_repair)
 }
-SQL: dict[str, str] = {"op9_quality_rules": quality.SQL, "op10_poisson_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op9_quality_rules": quality.SQL, "op10_poisson_mixing": mixing.SQL, "op13_conversation_repair": conversations.SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import conversations, mixing, phrases, quality
+from panelweave.llm import conversations, embeddings, mixing, phrases, quality
 from panelweave.llm.conversations import repair_conversations
 from panelweave.llm.lines import dedup_lines
 from panelweave.llm.sharding import shard_by_bytes
@@ -65,6 +65,10 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc.doc_id", "doc.source", "copy", "order_key")
 
 
+def op11_itq_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
 
@@ -75,6 +79,6 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_token_output, op3_warc_splittable, op4_differencing_shards, op5_suffix_ranks, op6_token_counts, op7_template_decontamination, op8_simhash, op9_quality_rules, op10_poisson_mixing,
-                               op12_phrase_collocations, op13_conversation_repair)
+                               op11_itq_embeddings, op12_phrase_collocations, op13_conversation_repair)
 }
-SQL: dict[str, str] = {"op9_quality_rules": quality.SQL, "op10_poisson_mixing": mixing.SQL, "op12_phrase_collocations": phrases.SQL, "op13_conversation_repair": conversations.SQL}
+SQL: dict[str, str] = {"op9_quality_rules": quality.SQL, "op10_poisson_mixing": mixing.SQL, "op11_itq_embeddings": embeddings.SQL, "op12_phrase_collocations": phrases.SQL, "op13_conversation_repair": conversations.SQL}

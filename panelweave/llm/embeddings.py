@@ -183,6 +183,7 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.98) -> DataFr
     coded = stages.table(open_.mapInArrow(coder(fitted(spark, open_, width * tables), width, tables), "vec_id long, label long, unit binary, codes array<int>"), "coded")
     slots = coded.select("vec_id", "label", F.posexplode("codes").alias("slot", "code"))
     heavy = slots.groupBy("label", "slot", "code").count().where(F.col("count") > CHUNK).withColumn("groups", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count")
+    heavy = stages.table(heavy, "heavy")  # its size is known now, so vectors are not shuffled for the join where it is small
     dealt = coded.select("*", F.posexplode("codes").alias("slot", "code")).join(heavy, ["label", "slot", "code"], "left")
     dealt = dealt.withColumn("group", F.coalesce(F.pmod(F.xxhash64("vec_id", F.lit(1)), "groups"), F.lit(0)).cast("int"))
     others = F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)

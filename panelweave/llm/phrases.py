@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 from panelweave.llm.common import Stages, utf8
 
 CHUNK, HELD = 4 << 20, 4 << 20  # bytes of text worked on at once; n-grams a task holds before it sends them on
-PART_BYTES, MAX_BITS = 64 << 20, 29  # text a hash partition stands for; log2 of the bits of a bitmap at most (64 MB)
+PART_BYTES, MAX_BITS = 16 << 20, 29  # text a hash partition stands for; log2 of the bits of a bitmap at most (64 MB)
 END = b"\xff"  # never in UTF-8: ends a piece
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + END * 10)
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -223,22 +224,68 @@ def summaries(least: int, log_parts: int, log_bits: int) -> object:
     return task
 
 
-def exact_counts(longest: int, shared) -> object:
-    """Task: (lang, length, phrase, count) of the n-grams that pass all bitmaps; length 0 carries the words of a language."""
-    schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+def exact_counts(longest: int, log_parts: int, shared) -> object:
+    """Task: (hash partition, lang, phrases, counts) of the n-grams that pass all bitmaps, combined; the empty phrase carries the words of a language."""
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
+
+    def sent(totals: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, found in totals.items():
+            by: dict[int, tuple[list[bytes], list[int]]] = defaultdict(lambda: ([], []))
+            for phrase, n in found.items():
+                row = by[xxhash.xxh64_intdigest(phrase) >> (64 - log_parts)]
+                row[0].append(phrase)
+                row[1].append(n)
+            columns = [list(by), [lang] * len(by), [r[0] for r in by.values()], [r[1] for r in by.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     def task(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = {k: np.frombuffer(b, np.uint8) for k, b in shared.value.items()}
+        totals: dict[str, dict[bytes, int]] = {}
         for lang, words, ids, hashes in read(part):
-            yield pa.RecordBatch.from_pylist([{"lang": lang, "length": 0, "phrase": "", "a": int(np.count_nonzero(ids))}], schema)
+            found = totals.setdefault(lang, defaultdict(int))
+            found[b""] += int(np.count_nonzero(ids))
             for k, at, h in grams(ids, hashes, longest, maps):
                 if k > 1:
                     passed = marked(maps[min(k, 3)], h)
                     at, h = at[passed], h[passed]
                 _, first, n = np.unique(h, return_index=True, return_counts=True)
-                phrases = [b" ".join(words[i:i + k]) for i in at[first].tolist()]
-                columns = [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                for i, more in zip(at[first].tolist(), n.tolist(), strict=True):
+                    found[b" ".join(words[i:i + k])] += more
+            if sum(map(len, totals.values())) > HELD // 4:
+                yield from sent(totals)
+                totals = {}
+        yield from sent(totals)
+
+    return task
+
+
+def summed(least: int) -> object:
+    """Task: (lang, phrase, a) of a sorted partition, those counted ``least`` times or more and the words of a language."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int64())])
+
+    def merged(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("phrase").aggregate([("a", "sum")]).rename_columns(["phrase", "a"])
+
+    def closed(lang: str, held: list[pa.Table]) -> list[pa.RecordBatch]:
+        t = merged(held)
+        t = t.filter(pc.or_(pc.greater_equal(t["a"], least), pc.equal(t["phrase"], b"")))
+        return pa.table([pa.array([lang] * len(t), pa.string()), t["phrase"].cast(pa.string()), t["a"]], schema=schema).to_batches()
+
+    def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        for batch in rows:
+            for part, lang, phrases, counts in zip(batch.column("part").to_pylist(), batch.column("lang").to_pylist(), batch.column("phrases"), batch.column("counts"), strict=True):
+                if (part, lang) != now:
+                    if now is not None:
+                        yield from closed(now[1], held)
+                    now, held, size = (part, lang), [], 0
+                held.append(pa.table({"phrase": phrases.values, "a": counts.values}))
+                size += len(counts)
+                if size > HELD // 4:
+                    held = [merged(held)]
+                    size = len(held[0]) // 2
+        if now is not None:
+            yield from closed(now[1], held)
 
     return task
 
@@ -266,9 +313,10 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, stages: Stages)
             whole[r.part] = np.frombuffer(r.bits, np.uint8)
         maps[level] = whole.tobytes()
         shared.unpersist()
-    counts = docs.mapInArrow(exact_counts(longest, spark.sparkContext.broadcast(maps)), "lang string, length int, phrase string, a long")
-    sums = counts.groupBy("lang", "length", "phrase").agg(F.sum("a").alias("a"))
-    return stages.table(sums.where((F.col("length") == 0) | (F.col("a") >= least)), "phrases")
+    counts = docs.mapInArrow(exact_counts(longest, log_parts, spark.sparkContext.broadcast(maps)), "part int, lang string, phrases array<binary>, counts array<long>")
+    sums = counts.repartition(parts, "part").sortWithinPartitions("part", "lang").mapInArrow(summed(least), "lang string, phrase string, a long")
+    length = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return stages.table(sums.select("lang", length.alias("length"), "phrase", "a"), "phrases")
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:

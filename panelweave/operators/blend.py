@@ -5,21 +5,20 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
 from ..functions.expr import col, div, keys_of, lookup
-from . import stats
+from . import panels, stats
 
 # ---- portfolio returns ------------------------------------------------------------------------
 
 def portfolio_returns(rets: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted sum per portfolio and date; a missing asset contributes nothing."""
-    return weights.join(rets, "ticker").groupBy("portfolio_id", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
+    return panels.daily_sums(weights, rets).select("portfolio_id", "date", "ret")
 
 
 def renormalised_returns(rets: DataFrame, weights: DataFrame) -> DataFrame:
     """Weights clipped at zero and spread each date over the assets present."""
-    w = F.greatest(F.lit(0.0), F.coalesce("weight", F.lit(0.0)))
-    g = weights.withColumn("weight", w).join(rets.where("ret is not null"), "ticker").groupBy("portfolio_id", "date").agg(
-        F.sum(F.col("weight") * F.col("ret")).alias("_r"), F.sum("weight").alias("_w"))
-    return g.select("portfolio_id", "date", F.coalesce(div("_r", "_w"), F.lit(0.0)).alias("ret"))
+    long_only = weights.withColumn("weight", F.greatest(F.lit(0.0), F.coalesce("weight", F.lit(0.0))))
+    sums = panels.daily_sums(long_only, rets).where("n > 0")
+    return sums.select("portfolio_id", "date", F.coalesce(div("ret", "held"), F.lit(0.0)).alias("ret"))
 
 
 def on_every_date(port_rets: DataFrame, portfolios: DataFrame, dates: DataFrame) -> DataFrame:
@@ -39,39 +38,35 @@ def portfolio_curve(panel: DataFrame, weights: DataFrame, rets: DataFrame) -> Da
 
 
 def portfolio_metrics(weights: DataFrame, rets: DataFrame, rf: float = 0.015) -> DataFrame:
-    """Quality metrics on each portfolio's complete dates, diversification ratio and holdings."""
+    """Quality metrics on each portfolio's complete dates, diversification ratio and holdings.
+
+    One pass over blocks of the panel keeps a few numbers a portfolio: no row a date leaves it.
+    """
     held = weights.join(rets.select("ticker").distinct(), "ticker", "left_semi")
-    whole = W.partitionBy("portfolio_id")
-    held = held.withColumn("_w", F.col("weight") / F.sum("weight").over(whole)).withColumn("_k", F.count("*").over(whole))
-    j = held.join(rets.where("ret is not null"), "ticker").withColumn("_have", F.count("*").over(W.partitionBy("portfolio_id", "date")))
-    j = j.where("_have = _k")
-    q = stats.quality_metrics(j.groupBy("portfolio_id", "date").agg(F.sum(F.col("_w") * F.col("ret")).alias("ret")), "portfolio_id", rf)
-    vols = j.groupBy("portfolio_id", "ticker", "_w").agg((F.stddev_samp("ret") * stats.ROOT).alias("_v"))
-    v = vols.groupBy("portfolio_id").agg(F.sum(F.col("_w") * F.col("_v")).alias("_wv"))
-    n = held.groupBy("portfolio_id").agg(F.count_if(F.col("_w") > 1e-4).alias("num_holdings"))
-    out = n.join(q, "portfolio_id", "left").join(v, "portfolio_id", "left")
+    whole = F.sum("weight").over(W.partitionBy("portfolio_id"))
+    held = held.select("portfolio_id", "ticker", (F.col("weight") / whole).alias("weight"))
+    facts = panels.complete_facts(held, rets)
+    q = stats.quality_of_facts(facts.withColumn("_wv", F.col("weighted_vol")), ["portfolio_id", "_wv"], rf)
+    n = held.groupBy("portfolio_id").agg(F.count_if(F.col("weight") > 1e-4).alias("num_holdings"))
+    out = n.join(q, "portfolio_id", "left")
     return out.select(
         "portfolio_id", F.coalesce("valid", F.lit(False)).alias("valid"), F.when(F.col("valid").isNull(), "insufficient returns data")
         .otherwise(F.col("reason")).alias("reason"), "cagr", "volatility", "sharpe", "max_drawdown", "total_return",
         F.when(F.col("valid"), F.coalesce(div("_wv", "volatility"), F.lit(1.0))).alias("diversification_ratio"), "num_holdings")
 
 
-def risk_contributions(weights: DataFrame, cov_rows: DataFrame, annual_factor: float = 1.0) -> DataFrame:
+def risk_contributions(weights: DataFrame, cov: DataFrame, annual_factor: float = 1.0) -> DataFrame:
     """w * (Cov w) / sigma per holding; the parts add up to the portfolio's volatility.
 
-    ``cov_rows`` holds one matrix row per ticker as a map, so a portfolio of h assets costs h joined
-    rows, each with an inner product, instead of h x h rows. ``annual_factor`` scales a daily matrix
-    to the time scale of the volatility it is compared with.
+    ``cov`` is a matrix in long form (i, j, value), or one map a row (i, row). It meets the portfolios in blocks, so
+    a holding carries one number, not its matrix row. ``annual_factor`` scales a daily matrix to the time scale
+    of the volatility it is compared with.
     """
-    j = weights.join(cov_rows, F.col("ticker") == F.col("i"))
-    book = j.groupBy("portfolio_id").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "weight"))).alias("_b"))
-    dot = F.aggregate(F.map_entries("_b"), F.lit(0.0),
-                      lambda a, e: a + e["value"] * F.coalesce(F.try_element_at(F.col("row"), e["key"]), F.lit(0.0)))
-    m = j.join(book, "portfolio_id").select("portfolio_id", "ticker", "weight", (F.col("weight") * dot * annual_factor).alias("_c"))
-    var = F.sum("_c").over(W.partitionBy("portfolio_id"))
-    return m.withColumn("_v", var).select(
-        "portfolio_id", "ticker", "weight", F.when(F.col("_v") > 0, F.col("_c") / F.sqrt("_v")).otherwise(0.0).alias("risk_contribution"),
-        F.when(F.col("_v") > 0, F.sqrt("_v")).otherwise(0.0).alias("portfolio_volatility"))
+    long = cov.select("i", F.explode("row").alias("j", "value")) if "row" in cov.columns else cov
+    var = F.col("variance") * annual_factor
+    return panels.matrix_shares(weights, long).select(
+        "portfolio_id", "ticker", "weight", F.when(var > 0, F.col("share") * annual_factor / F.sqrt(var)).otherwise(0.0).alias("risk_contribution"),
+        F.when(var > 0, F.sqrt(var)).otherwise(0.0).alias("portfolio_volatility"))
 
 
 # ---- classes ----------------------------------------------------------------------------------

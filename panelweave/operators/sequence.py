@@ -24,19 +24,23 @@ def rolling_risk(rets: DataFrame, window: int = 252, rf: float = 0.0, min_period
 def rolling_drawdown(rets: DataFrame, window: int = 252, min_periods: int | None = None, key="ticker") -> DataFrame:
     """Worst fall inside each trailing window; the peak starts afresh with the window.
 
-    The frame's curve points are folded per row, so the cost is rows x window; the frame bounds
-    both the memory and the fold.
+    Each series is cut into blocks of ``window`` rows. A window is the end of one block and the start of
+    the next, and falls combine: the least of both parts' own and of the later part's low under the earlier part's
+    high. Starts and ends of blocks are running sums of their rows in either order, so the work is constant a row.
     """
-    w, need = _frame(key, window), min_periods or window
-    c = stats.equity_curve(rets, key).withColumn("_v", F.collect_list("value").over(w))
-    zero = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
-
-    def step(a: Column, v: Column) -> Column:
-        peak = F.greatest(a["peak"], v)
-        return F.struct(peak.alias("peak"), F.least(a["dd"], v / peak - 1).alias("dd"))
-
-    dd = F.aggregate("_v", zero, step)["dd"]
-    return c.withColumn("maxdd", F.when(F.size("_v") >= need, dd)).drop("_v", "value")
+    k, need = keys_of(key), min_periods or window
+    series = W.partitionBy(*k).orderBy("date")
+    c = stats.equity_curve(rets, key).withColumn("_n", F.row_number().over(series)).withColumn("_b", F.floor((F.col("_n") - 1) / window))
+    ahead = W.partitionBy(*k, "_b").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy(*k, "_b").orderBy(F.desc("date")).rowsBetween(W.unboundedPreceding, 0)
+    c = c.withColumns({"_low": F.min("value").over(ahead), "_fall": div("value", F.max("value").over(ahead)) - 1})
+    c = c.withColumn("_start", F.least(F.lit(0.0), F.min("_fall").over(ahead)))  # of the block's first rows
+    c = c.withColumns({"_high": F.max("value").over(back), "_drop": div(F.min("value").over(back), "value") - 1})
+    c = c.withColumn("_end", F.min("_drop").over(back))  # of the block's last rows
+    old = lambda name: F.lag(name, window - 1).over(series)
+    across = F.least("_start", old("_end"), div("_low", old("_high")) - 1)
+    dd = F.when((F.col("_n") <= window) | (F.col("_n") % window == 0), F.col("_start")).otherwise(across)
+    return c.withColumn("maxdd", F.when(F.least("_n", F.lit(window)) >= need, dd)).drop("value", "_n", "_b", "_low", "_fall", "_start", "_high", "_drop", "_end")
 
 
 def rebased_history(curves: DataFrame, years: int = 20, key="series") -> DataFrame:

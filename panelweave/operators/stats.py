@@ -61,7 +61,11 @@ def annualized_metrics(rets: DataFrame, key="ticker", rf: float = 0.0) -> DataFr
 
 def quality_metrics(rets: DataFrame, key="ticker", rf: float = 0.015) -> DataFrame:
     """Metrics used by the filters: growth from the first curve point, validity and reason."""
-    f = curve_facts(rets, key)
+    return quality_of_facts(curve_facts(rets, key), key, rf)
+
+
+def quality_of_facts(f: DataFrame, key, rf: float = 0.015) -> DataFrame:
+    """``quality_metrics`` from n, first_value, final, sd and max_dd of each curve."""
     reason = F.when(F.col("n") < 2, "insufficient data").when(
         (F.col("first_value") <= 0) | (F.col("final") <= 0), "invalid equity curve")
     f = f.withColumn("reason", reason).withColumn("valid", reason.isNull()).withColumn("volatility", F.col("sd") * ROOT)

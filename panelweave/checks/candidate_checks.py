@@ -37,7 +37,7 @@ CTES["t_smps"] = """SELECT *, (ret - 0.015) / vol AS sharpe FROM (SELECT a.sampl
   JOIN t_shrunk ON i = a.ticker AND j = b.ticker JOIN (SELECT sample, sum(weight * m) AS ret FROM t_smpw JOIN (
     SELECT ticker, product(1 + ret) ** (252.0::DOUBLE / count(*)) - 1 AS m FROM t_retc GROUP BY 1) USING (ticker) GROUP BY 1) r ON r.sample = a.sample GROUP BY 1)"""
 check("p05_searched_weights", "portfolio_id optimizer sample# ticker weight~ ret~ vol~ sharpe~", lambda v: cand.searched_weights(
-      v.books_class_table, stored(matrix.as_rows(matrix.shrunk_covariance(v.returns_class_table))), stats.geometric_return(v.returns_class_table), 256, target_vol=0.14),
+      v.books_class_table, stored(matrix.shrunk_covariance(v.returns_class_table)), stats.geometric_return(v.returns_class_table), 256, target_vol=0.14),
       """SELECT portfolio_id, optimizer, s.sample, ticker, weight, ret, vol, sharpe FROM (
         SELECT 'min_var' AS optimizer, arg_min(sample, vol) AS sample FROM t_smps UNION ALL SELECT 'max_sharpe', arg_max(sample, sharpe) FROM t_smps
         UNION ALL SELECT 'efficient_risk', arg_max(sample, CASE WHEN vol <= 0.14 THEN ret ELSE -vol - 1000 END) FROM t_smps) s
@@ -185,7 +185,7 @@ CTES["t_st"] = f"""SELECT *, why IS NULL AS passed, why AS fail_reason, sharpe -
 def user_candidates(v):
     rets, books = v.returns_class_table, v.books_class_table
     m = blend.portfolio_metrics(books, rets)
-    rc = blend.risk_contributions(books, matrix.as_rows(matrix.covariance(rets, annual=False)), 252.0).groupBy("portfolio_id").agg(F.max("risk_contribution").alias("_rc"))
+    rc = blend.risk_contributions(books, matrix.covariance(rets, annual=False), 252.0).groupBy("portfolio_id").agg(F.max("risk_contribution").alias("_rc"))
     part = F.split("portfolio_id", r"\|")
     m = m.join(rc, "portfolio_id", "left").withColumns({"max_rc": C("_rc") / C("volatility"), "nation_key": part[0].cast("long"), "name": part[1]}).drop("_rc")
     return profiles(v).join(stored(m), "nation_key")
@@ -343,6 +343,22 @@ check("p25_stats", "user_id# total_candidates# strict_passes# recommended# fallb
       """SELECT r.user_id, coalesce(total, 0) AS total_candidates, coalesce(strict, 0) AS strict_passes, recommended, fallback_count, hard_fallback_count, stage_used FROM (
         SELECT user_id, count(*) AS recommended, count(*) FILTER (fallback_level > 1) AS fallback_count, count(*) FILTER (hard_fallback) AS hard_fallback_count, max(fallback_level) AS stage_used FROM t_rrec GROUP BY 1) r
       LEFT JOIN (SELECT user_id, 4 * count(*) AS total, 4 * count(*) FILTER (strict) AS strict FROM t_rst GROUP BY 1) c ON c.user_id = r.user_id""")
+check("p25_recommended_holdings", "user_id# rank# name ticker weight~ risk_contribution~ asset_class", lambda v: run(v).recommended_weights,
+      """SELECT r.user_id, rank, name, c.ticker, w AS weight, rc AS risk_contribution, asset_class FROM t_rrec r JOIN t_mine m ON m.user_id = r.user_id JOIN t_cwt c ON c.u = m.u AND name LIKE c.o || ' - %'
+      JOIN (SELECT u, o, ticker, c / sqrt(sum(c) OVER (PARTITION BY u, o)) AS rc FROM (SELECT a.u, a.o, a.ticker, sum(a.w * b.w * value) * 252 AS c FROM t_cwt a JOIN t_cwt b ON a.u = b.u AND a.o = b.o
+        JOIN t_cov ON i = a.ticker AND j = b.ticker GROUP BY 1, 2, 3)) x ON x.u = c.u AND x.o = c.o AND x.ticker = c.ticker JOIN t_catalog_class ON symbol = c.ticker WHERE NOT hard_fallback
+      UNION ALL SELECT user_id, rank, name, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY user_id), NULL, asset_class FROM (SELECT r.user_id, rank, name, unnest(coalesce(string_split(u, '|'),
+        (SELECT list(ticker ORDER BY ticker)[:3] FROM (SELECT DISTINCT ticker FROM t_retc)))) AS ticker FROM t_rrec r LEFT JOIN t_mine m ON m.user_id = r.user_id WHERE hard_fallback) JOIN t_catalog_class ON symbol = ticker""")
+check("p25_emergency_portfolios", "user_id# optimizer sat_cap~ cagr~ volatility~ sharpe~ max_drawdown~ num_holdings#",
+      lambda v: run(v).recommended.where("hard_fallback"),
+      f"""WITH h AS (SELECT r.user_id, unnest(coalesce(string_split(u, '|'), (SELECT list(ticker ORDER BY ticker)[:3] FROM (SELECT DISTINCT ticker FROM t_retc)))) AS ticker
+        FROM t_rrec r LEFT JOIN t_mine m ON m.user_id = r.user_id WHERE hard_fallback),
+      s AS (SELECT user_id, string_agg(ticker, '|' ORDER BY ticker) AS u, count(*) AS k FROM h GROUP BY 1),
+      e AS (SELECT u, any_value(k) AS k, unnest(string_split(u, '|')) AS ticker FROM s GROUP BY u),
+      p AS (SELECT u, date, avg(ret) AS ret FROM e JOIN t_retc USING (ticker) GROUP BY u, date, k HAVING count(*) = k),
+      f AS ({facts_sql('p', 'u')})
+      SELECT user_id, 'equal_weight' AS optimizer, 1.0::DOUBLE / k AS sat_cap, (v1 / v0) ** (252.0::DOUBLE / n) - 1 AS cagr, sd * sqrt(252) AS volatility,
+        ((v1 / v0) ** (252.0::DOUBLE / n) - 1 - 0.015) / (sd * sqrt(252)) AS sharpe, max_dd AS max_drawdown, k AS num_holdings FROM s JOIN f USING (u)""")
 check("p25_all_methods", RECS, lambda v: recommend.build_recommendations(profiles(v), v.returns_class, v.catalog_class, cfg=RUN).recommended)
 
 

@@ -144,7 +144,7 @@ CTES["t_rc"] = """SELECT portfolio_id, ticker, weight, c / sqrt(sum(c) OVER (PAR
 
 
 def cov_rows(v):
-    return matrix.as_rows(matrix.covariance(v.returns_class, annual=False))
+    return matrix.covariance(v.returns_class, annual=False)
 
 
 def contributions(v):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
 from ..functions.expr import clamp, div, keys_of, ordinals, pct, scatter
-from . import investors
+from . import investors, panels
 from .blend import class_flags
 
 C = F.col
@@ -55,56 +55,21 @@ def diversified(holdings: DataFrame, vols: DataFrame, key="portfolio_id", on=("t
     return w.withColumn("weight", C("weight") * 0.5 + F.lit(0.5) / F.count("*").over(_part(key)))
 
 
-def bounded_shares(rows: DataFrame, size: str, bounds: tuple[float, float], key) -> DataFrame:
-    """``weight``: shares in proportion to ``size`` that sum to one and keep the bounds.
-
-    Every name has its low; the rest is shared out by size, and what would pass the high goes to the
-    names below it. Sorted by size the names at the high come first: a name is below it if its share
-    of what they leave is. Groups too small (or lows too large) for the bounds get equal shares.
-    """
-    lo, hi = bounds
-    ordered = _part(key).orderBy(F.desc(size), "ticker")
-    rows = rows.withColumns({"_n": F.count("*").over(_part(key)), "_r": F.row_number().over(ordered),
-                             "_rest": F.sum(size).over(ordered.rowsBetween(0, W.unboundedFollowing))})
-    rows = rows.withColumn("_free", F.lit(1.0) - C("_n") * lo)  # what is shared out; a name's room is hi - lo
-    fits = C(size) * (C("_free") - (C("_r") - 1) * (hi - lo)) <= (hi - lo) * C("_rest")
-    rows = rows.withColumn("_k", F.count(F.when(~fits, 1)).over(_part(key)))
-    rows = rows.withColumn("_below", F.sum(F.when(C("_r") > C("_k"), C(size))).over(_part(key)))
-    share = F.when(C("_r") <= C("_k"), F.lit(hi)).otherwise(F.lit(lo) + C(size) * (C("_free") - C("_k") * (hi - lo)) / C("_below"))
-    weight = F.when((C("_n") * hi < 1) | (C("_free") < 0), F.lit(1.0) / C("_n")).otherwise(share)
-    return rows.withColumn("weight", weight).drop("_n", "_r", "_rest", "_free", "_k", "_below")
-
-
-def searched_weights(holdings: DataFrame, cov_rows: DataFrame, mu: DataFrame, samples: int = 256, rf: float = 0.015,
+def searched_weights(holdings: DataFrame, cov: DataFrame, mu: DataFrame, samples: int = 256, rf: float = 0.015,
                      target_vol: float = 0.12, bounds: tuple[float, float] = (0.0, 0.30), key="portfolio_id", seed: int = 42) -> DataFrame:
     """Best sampled long-only portfolios per group: least volatility, highest Sharpe, most return at
     the target volatility.
 
-    Each sample is a repeatable random vector, brought inside the bounds by ``bounded_shares``. The
-    matrix is joined as one map row per ticker, so a sample of n tickers costs n rows. The result is
-    the best of the samples, not a solver's optimum.
+    Each sample is a repeatable random vector brought inside the bounds: every name has its low, the rest is
+    shared out by size, and what would pass the high goes to the names below it. The samples of a group are one
+    matrix, whose quadratic forms add up over blocks of ``cov`` (long form, or one map a row); neither sample nor
+    matrix rows are shuffled. The result is the best of the samples, not a solver's optimum.
     """
     k = keys_of(key)
-    o = holdings.select(*k, "ticker").join(ordinals(holdings, "ticker"), "ticker").withColumn(
-        "sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    raw = o.withColumn("_x", (scatter(C("sample"), C("ord"), seed) % 1000 + 1) / 1000.0)
-    raw = raw.withColumn("_x", C("_x") * C("_x"))
-    w = bounded_shares(raw, "_x", bounds, [*k, "sample"]).select(*k, "sample", "ticker", "weight")
-    j = w.join(cov_rows.select(C("i").alias("ticker"), "row"), "ticker").join(mu.select("ticker", "ann_return"), "ticker")
-    book = j.groupBy(*k, "sample").agg(
-        F.collect_list(F.struct("ticker", "weight", "row")).alias("_h"), F.sum(C("weight") * C("ann_return")).alias("ret"))
-    inner = lambda row: F.aggregate("_h", F.lit(0.0), lambda a, e: a + e["weight"] * F.coalesce(F.try_element_at(row, e["ticker"]), F.lit(0.0)))
-    var = F.aggregate("_h", F.lit(0.0), lambda a, e: a + e["weight"] * inner(e["row"]))
-    s = book.select(*k, "sample", "ret", F.sqrt(F.greatest(var, F.lit(0.0))).alias("vol")).withColumn("sharpe", div(C("ret") - rf, "vol"))
-    pick = s.groupBy(*k).agg(
-        F.min_by("sample", F.struct("vol", "sample")).alias("min_var"),
-        F.max_by("sample", F.struct(C("sharpe"), -C("sample"))).alias("max_sharpe"),
-        F.max_by("sample", F.struct(F.when(C("vol") <= target_vol, C("ret")).otherwise(-C("vol") - 1000), -C("sample"))).alias("efficient_risk"))
-    best = pick.unpivot(k, ["min_var", "max_sharpe", "efficient_risk"], "optimizer", "sample")
-    return best.join(w, [*k, "sample"]).join(s.select(*k, "sample", "ret", "vol", "sharpe"), [*k, "sample"]).select(
-        *k, "optimizer", "sample", "ticker", "weight", "ret", "vol", "sharpe")
-
-
+    long = cov.select("i", F.explode("row").alias("j", "value")) if "row" in cov.columns else cov
+    rows = holdings.select(*k, "ticker").join(ordinals(holdings, "ticker"), "ticker").select(F.struct(*k).alias("portfolio_id"), "ticker", "ord")
+    found = panels.searched(rows, long, mu, samples, rf, target_vol, bounds, seed)
+    return found.select("portfolio_id.*", "optimizer", "sample", "ticker", "weight", "ret", "vol", "sharpe")
 
 
 def sampled_subsets(holdings: DataFrame, variants: list[str], key="portfolio_id", seed: int = 42, min_symbols: int = 8) -> DataFrame:
@@ -393,23 +358,28 @@ def conflicts(weights: DataFrame, group="group_id", name="name", threshold: floa
 def drop_near_duplicates(candidates: DataFrame, by, name="name", score="score") -> DataFrame:
     """Walk each group by score and keep a candidate unless it conflicts with one already kept.
 
-    Needs ``conflicts`` per row. The fold runs over one group's names.
+    Needs ``conflicts`` per row. A group's rows travel as one array, bounded by its grid, and what is kept is
+    taken from it: no join back.
     """
     k = keys_of(by)
+    names = candidates.columns
     order = F.row_number().over(_part(k).orderBy(F.desc_nulls_last(score), name))
-    g = candidates.withColumn("_o", order).groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("_o", C(name).alias("name"), F.coalesce(
-        "conflicts", F.array().cast("array<string>")).alias("c")))).alias("_g"))
-    kept = F.aggregate("_g", F.array().cast("array<string>"),
-                       lambda a, x: F.when(F.arrays_overlap(a, x["c"]), a).otherwise(F.concat(a, F.array(x["name"]))))
-    names = g.select(*k, F.explode(kept).alias(name))
-    return candidates.join(names, [*k, name], "left_semi")
+    g = candidates.withColumn("_o", order).groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("_o", F.struct(*names).alias("r")))).alias("_g"))
+    empty = F.filter("_g", lambda x: F.lit(False))
+    clear = lambda a, x: ~F.coalesce(F.arrays_overlap(F.transform(a, lambda y: y["r"][name]), x["r"]["conflicts"]), F.lit(False))
+    kept = F.aggregate("_g", empty, lambda a, x: F.when(clear(a, x), F.concat(a, F.array(x))).otherwise(a))
+    return g.select(F.explode(kept).alias("_x")).select("_x.r.*")
+
+
+EMERGENCY_FACTS = ("optimizer", "sat_cap", "cagr", "volatility", "sharpe", "max_drawdown", "diversification_ratio", "num_holdings", "portfolio_id")
 
 
-def fallback_ladder(candidates: DataFrame, emergency: DataFrame, n: int = 8, by="user_id") -> DataFrame:
+def fallback_ladder(candidates: DataFrame, emergency: DataFrame, n: int = 8, by="user_id", carry=()) -> DataFrame:
     """Strict passes, else relaxed ones, else softly viable ones, else the emergency portfolio.
 
     Needs ``strict`` and ``relaxed`` flags, metrics, composite_score and conflicts per row;
-    ``emergency`` holds one row per user with the name of the equal-weight portfolio.
+    ``emergency`` holds one row per user with the name of the equal-weight portfolio. ``carry`` names further
+    columns of both, which the result keeps.
     """
     k = keys_of(by)
     soft = (C("cagr") > 0) & (C("sharpe") > 0) & (C("max_drawdown") > -0.80)
@@ -417,14 +387,15 @@ def fallback_ladder(candidates: DataFrame, emergency: DataFrame, n: int = 8, by=
     c = candidates.withColumn("_s", stage).withColumn("_min", F.min("_s").over(_part(k)))
     # stage 3 judges every candidate by the soft test; below it only the first stage reached counts
     c = c.where(C("_s") == C("_min"))
-    c = drop_near_duplicates(c, k, score="composite_score")
+    c = drop_near_duplicates(c.select(*k, "name", "composite_score", "conflicts", "_s", "fail_reason", *carry), k, score="composite_score")
     rank = F.row_number().over(_part(k).orderBy(F.desc("composite_score"), "name"))
     c = c.withColumn("rank", rank).where(C("rank") <= n).select(
         *k, "rank", "name", "composite_score", C("_s").alias("fallback_level"), F.lit(True).alias("passed"), F.lit(False).alias("hard_fallback"),
-        F.when(C("_s") > 1, C("fail_reason")).alias("original_fail_reason"))
-    last = emergency.join(c.select(*k).distinct(), k, "left_anti").select(
+        F.when(C("_s") > 1, C("fail_reason")).alias("original_fail_reason"), *carry)
+    reached = candidates.where(stage.isNotNull()).select(*k).distinct()
+    last = emergency.join(reached, k, "left_anti").select(
         *k, F.lit(1).alias("rank"), "name", F.lit(0.0).alias("composite_score"), F.lit(4).alias("fallback_level"), F.lit(False).alias("passed"),
-        F.lit(True).alias("hard_fallback"), F.lit("stage_4_emergency").alias("original_fail_reason"))
+        F.lit(True).alias("hard_fallback"), F.lit("stage_4_emergency").alias("original_fail_reason"), *carry)
     return c.unionByName(last)
 
 

@@ -204,8 +204,8 @@ def overlap_preclean(panel: DataFrame, k_days: int = 1260, min_obs: int = 126, m
     """Which tickers to keep so that enough dates are shared by all of them.
 
     Tickers are ranked by coverage. For a kept set of the best n, a date is shared when its first
-    missing rank is above n and touched when its first present rank is at most n, so one pass over
-    the panel scores every n at once.
+    missing rank is above n and touched when its first present rank is at most n, so two events a date
+    and running sums over n score every n at once.
     """
     window = trailing_dates(panel, k_days)
     counts = window.groupBy("ticker").agg(F.count("price").alias("n_obs"))
@@ -218,10 +218,13 @@ def overlap_preclean(panel: DataFrame, k_days: int = 1260, min_obs: int = 126, m
     per_date = seen.groupBy("date").agg(
         F.min("rank").alias("first_present"),
         (F.sum((F.col("rank") == F.col("_rn")).cast("int")) + 1).cast("int").alias("first_missing"))
-    scores = per_date.withColumn("n_all", n_all).select(
-        "first_missing", F.explode(F.sequence("first_present", "n_all")).alias("n"))
-    scores = scores.groupBy("n").agg(F.count("*").alias("any_dates"),
-                                     F.sum((F.col("first_missing") > F.col("n")).cast("int")).alias("all_dates"))
+    # sweep over n: a date is touched from its first present rank on, shared from there up to its first missing one
+    whole = (F.col("first_missing") > F.col("first_present")).cast("int")
+    events = per_date.select(F.explode(F.array(F.struct(F.col("first_present").alias("n"), F.lit(1).alias("any"), whole.alias("all")),
+                                               F.struct(F.col("first_missing").alias("n"), F.lit(0).alias("any"), (-whole).alias("all")))).alias("e")).select("e.*")
+    steps = ranks.select(F.col("rank").alias("n")).join(events.groupBy("n").agg(F.sum("any").alias("any"), F.sum("all").alias("all")), "n", "left").na.fill(0)
+    upto = W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)  # one row per ticker
+    scores = steps.select("n", F.sum("any").over(upto).alias("any_dates"), F.sum("all").over(upto).alias("all_dates"))
     scores = scores.withColumn("ratio", div("all_dates", "any_dates"))
     best = scores.where((F.col("n") >= 3) & (F.col("ratio") >= min_overlap)).agg(F.max("n")).scalar()
     take = F.when(n_all <= 3, n_all).otherwise(F.coalesce(best, n_all))

@@ -6,6 +6,8 @@ bounded block (numpy) and emits its partial sums, which Spark then adds up per p
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -64,7 +66,7 @@ def _mirror(pairs: DataFrame) -> DataFrame:
 
 
 def _cov():
-    return div(F.col("sij") - F.col("si") * F.col("sj") / F.col("n"), F.col("n") - 1)
+    return div(F.col("sij") - div(F.col("si") * F.col("sj"), "n"), F.col("n") - 1)
 
 
 def covariance(rets: DataFrame, annual: bool = True, tiles: int | None = None) -> DataFrame:
@@ -72,6 +74,23 @@ def covariance(rets: DataFrame, annual: bool = True, tiles: int | None = None) -
     return _mirror(pair_sums(rets, tiles).select("i", "j", (_cov() * (TRADING_DAYS if annual else 1)).alias("value")))
 
 
+def lookback_covariance(aged: DataFrame, lookbacks: list[int], tiles: int | None = None) -> DataFrame:
+    """(lookback, i, j, value): annual pairwise covariance over each of the look-backs, from one pass.
+
+    ``aged`` carries ``_age``, the panel's dates counted from the last (1). Dates fall into bands between
+    the look-backs; a pair's sums are taken once a band and added up, so a look-back is a prefix of bands.
+    """
+    ends = sorted(lookbacks)
+    band = F.coalesce(*[F.when(F.col("_age") <= n, i) for i, n in enumerate(ends)])
+    parts = [pair_sums(aged.where(band == i), tiles).withColumn("band", F.lit(i)) for i in range(len(ends))]
+    sums = reduce(lambda a, b: a.unionByName(b), parts)
+    upto = F.explode(F.sequence("band", F.lit(len(ends) - 1))).alias("upto")
+    total = sums.select("i", "j", upto, *_SUMS).groupBy("upto", "i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    total = total.withColumn("lookback", F.get(F.array(*map(F.lit, ends)), F.col("upto")))
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return total.select("lookback", F.explode(both).alias("_p"), (_cov() * TRADING_DAYS).alias("value")).select("lookback", "_p.i", "_p.j", "value")
+
+
 def correlation(rets: DataFrame, tiles: int | None = None) -> DataFrame:
     """Upper triangle of the pairwise correlation."""
     n = F.col("n")

@@ -35,11 +35,11 @@ def matrix_tiles(cov: DataFrame, tickers: Column) -> DataFrame:
     return cells.select("block", F.col("_c.j").alias("names"), F.col("_c.i").alias("keys"), F.col("_c.value").alias("values"))
 
 
-def streamed(weights: DataFrame, tiles: DataFrame, tickers: Column, work: type, schema: str) -> DataFrame:
-    """Rows of ``work`` over every chunk of portfolios; tiles reach a chunk in order of their block."""
+def streamed(weights: DataFrame, tiles: DataFrame, tickers: Column, work, schema: str, chunk: Column | None = None) -> DataFrame:
+    """Rows of ``work`` over every chunk of portfolios (of about ``chunk``); tiles reach a chunk in order of their block."""
     id_type, key_type = weights.schema["portfolio_id"].dataType, tiles.schema["keys"].dataType
     books = weights.groupBy("portfolio_id").agg(F.collect_list(F.struct("ticker", F.coalesce("weight", F.lit(0.0)).alias("weight"))).alias("_h"))
-    chunks = weights.agg(F.greatest(F.ceil(F.count_distinct("portfolio_id") / F.greatest(F.lit(CHUNK), tickers * 4)), F.lit(1)).cast("int")).scalar()
+    chunks = weights.agg(F.greatest(F.ceil(F.count_distinct("portfolio_id") / (F.greatest(F.lit(CHUNK), tickers * 4) if chunk is None else chunk)), F.lit(1)).cast("int")).scalar()
     heads = books.select(F.pmod(F.xxhash64("portfolio_id"), chunks).cast("int").alias("chunk"), F.lit(0).alias("kind"), F.lit(0).alias("block"), "portfolio_id",
                          F.col("_h.ticker").alias("names"), F.lit(None).cast(key_type).alias("keys"), F.col("_h.weight").alias("values"))
     body = tiles.select(F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(1).alias("kind"), "block", F.lit(None).cast(id_type).alias("portfolio_id"), "names", "keys", "values")
@@ -207,6 +207,95 @@ class Shares:
                                          names=["portfolio_id", "ticker", "weight", "share", "variance"])
 
 
+def scatter(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """The draws of ``functions.expr.scatter``, in 64-bit arithmetic."""
+    m = 4294967296
+    x = (a * 2654435761 + b * 2246822519 + seed) % m
+    for shift, factor in ((16, 569420461), (15, 1935289751)):
+        x = ((x ^ (x >> shift)) * factor) % m
+    return x ^ (x >> 15)
+
+
+def bounded_shares(x: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Shares of each row's sizes that sum to one inside the bounds; equal ones where the bounds cannot hold.
+
+    Sizes are sorted down: those at the high come first, and one is below it if its share of what they leave is.
+    """
+    n = x.shape[1]
+    free = 1.0 - n * lo
+    if n * hi < 1 or free < 0:
+        return np.full(x.shape, 1.0 / n)
+    order = np.argsort(-x, axis=1, kind="stable")
+    size = np.take_along_axis(x, order, 1)
+    rest = np.cumsum(size[:, ::-1], axis=1)[:, ::-1]
+    at_high = (size * (free - np.arange(n) * (hi - lo)) > (hi - lo) * rest).sum(1, keepdims=True)
+    below = np.arange(n) >= at_high
+    left = np.where(below, size, 0.0).sum(1, keepdims=True)
+    share = np.where(below, lo + size * (free - at_high * (hi - lo)) / np.where(left > 0, left, 1.0), hi)
+    out = np.empty_like(share)
+    np.put_along_axis(out, order, share, 1)
+    return out
+
+
+class Search:
+    """Best of repeatable random portfolios a group: (portfolio_id, optimizer, sample, ticker, weight, ret, vol, sharpe).
+
+    All samples of a group are one matrix; each tile of the covariance adds its part of their quadratic forms. The
+    tile's key null holds expected returns. A holding's number among all tickers comes as its weight.
+    """
+
+    def __init__(self, books: Books, samples: int, rf: float, target: float, bounds: tuple[float, float], seed: int):
+        self.b, self.rf, self.target = books, rf, target
+        self.var, self.ret = np.zeros((len(books.ids), samples)), np.zeros((len(books.ids), samples))
+        self.w = []
+        for lo, hi in zip(books.starts[:-1], books.starts[1:], strict=True):
+            order = np.argsort(books.weights[lo:hi], kind="stable")  # ties of size go by ticker
+            x = (scatter(np.arange(samples)[:, None], books.weights[lo:hi][order].astype(np.int64)[None, :], seed) % 1000 + 1) / 1000.0
+            w = np.empty(x.shape)
+            w[:, order] = bounded_shares(x * x, *bounds)
+            self.w.append(w)
+
+    def tile(self, names: pa.Array, keys: pa.Array, values: pa.Array) -> Iterator[pa.RecordBatch]:
+        names, rows, x, _ = grid(names, keys, values)
+        gain = [i for i, r in enumerate(rows.to_pylist()) if r is None]
+        columns, mine = self.b.columns(names), self.b.columns(rows)
+        for g, (lo, hi) in enumerate(zip(self.b.starts[:-1], self.b.starts[1:], strict=True)):
+            c, k = columns[lo:hi], mine[lo:hi]
+            w = self.w[g][:, c >= 0]
+            if gain:
+                self.ret[g] += w @ x[c[c >= 0], gain[0]]
+            self.var[g] += ((w @ x[np.ix_(c[c >= 0], k[k >= 0])]) * self.w[g][:, k >= 0]).sum(1)
+        return iter(())
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        vol = np.sqrt(np.maximum(self.var, 0.0))
+        with np.errstate(all="ignore"):
+            sharpe = np.where(vol > 0, (self.ret - self.rf) / vol, np.nan)
+        best = {"min_var": vol.argmin(1), "max_sharpe": np.where(np.isnan(sharpe), -np.inf, sharpe).argmax(1),
+                "efficient_risk": np.where(vol <= self.target, self.ret, -vol - 1000).argmax(1)}
+        for name, at in best.items():
+            row = self.b.rows
+            pick = at[row]
+            s = sharpe[row, pick]
+            yield pa.RecordBatch.from_arrays([
+                self.b.ids.take(pa.array(row)), pa.array([name] * len(row)), pa.array(pick.astype(np.int64)), self.b.names.take(pa.array(self.b.codes)),
+                pa.array(np.concatenate([w[i] for w, i in zip(self.w, at, strict=True)])), pa.array(self.ret[row, pick]), pa.array(vol[row, pick]), pa.array(s, mask=np.isnan(s))],
+                names=["portfolio_id", "optimizer", "sample", "ticker", "weight", "ret", "vol", "sharpe"])
+
+
+def searched(holdings: DataFrame, cov: DataFrame, mu: DataFrame, samples: int, rf: float, target: float, bounds: tuple[float, float], seed: int) -> DataFrame:
+    """``Search`` over holdings (portfolio_id, ticker, ord), a matrix (i, j, value) and expected returns (ticker, ann_return).
+
+    A chunk's samples stay near 64 MB, at one group at least.
+    """
+    tickers = _tickers(cov, "i")
+    both = cov.select("i", "j", "value").unionByName(mu.select(F.lit(None).cast("string").alias("i"), F.col("ticker").alias("j"), F.col("ann_return").alias("value")))
+    chunk = F.greatest(F.lit(1), F.floor(F.lit(8 << 20) / (tickers * samples)))
+    weights = holdings.select("portfolio_id", "ticker", F.col("ord").cast("double").alias("weight"))
+    return streamed(weights, matrix_tiles(both, tickers), tickers, lambda books: Search(books, samples, rf, target, bounds, seed),
+                    f"{_id(weights)}, optimizer string, sample long, ticker string, weight double, ret double, vol double, sharpe double", chunk)
+
+
 def _id(weights: DataFrame) -> str:
     return f"portfolio_id {weights.schema['portfolio_id'].dataType.simpleString()}"
 

@@ -134,17 +134,22 @@ def asset_fail_reason(cfg: dict | None = None, max_vol: Column | None = None) ->
                   f("excessive drawdown: %.1f%% < %.1f%%", C("max_drawdown") * 100, F.lit(c["max_asset_drawdown"] * 100))))
 
 
+def asset_facts(requested: DataFrame, quality: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row per requested symbol: class, tier and quality metrics, null where unknown."""
+    a = requested.select(F.upper("symbol").alias("symbol")).distinct()
+    a = a.join(catalog.select("symbol", "asset_class", "core_or_satellite"), "symbol", "left")
+    a = a.withColumns({"asset_class": F.coalesce("asset_class", known_symbol_class(C("symbol")), F.lit("unknown")),
+                       "core_or_satellite": F.coalesce("core_or_satellite", F.lit("satellite"))})
+    return a.join(quality.withColumnRenamed("ticker", "symbol"), "symbol", "left")
+
+
 def asset_receipts(requested: DataFrame, quality: DataFrame, catalog: DataFrame, users: DataFrame, cfg: dict | None = None) -> DataFrame:
     """Filter result of every requested symbol for every user, absent symbols included.
 
     The asset side is one row per symbol; it is packed once into an array, so the users table is
-    expanded in place and never shuffled.
+    expanded in place and never shuffled. For the symbols that pass alone, see ``volatility_universes``.
     """
-    a = requested.select(F.upper("symbol").alias("symbol")).distinct()
-    a = a.join(catalog.select("symbol", "asset_class", "core_or_satellite"), "symbol", "left")
-    a = a.withColumns({"asset_class": F.coalesce("asset_class", known_symbol_class(C("symbol")), F.lit("unknown")),
-                       "core_or_satellite": F.coalesce("core_or_satellite", F.lit("satellite"))})
-    a = a.join(quality.withColumnRenamed("ticker", "symbol"), "symbol", "left")
+    a = asset_facts(requested, quality, catalog)
     packed = a.agg(F.collect_list(F.struct(*a.columns))).scalar()
     j = users.select("user_id", "vol_max").withColumn("_a", packed).select("user_id", "vol_max", F.explode("_a").alias("a")).select("user_id", "vol_max", "a.*")
     why = asset_fail_reason(cfg)
@@ -152,6 +157,41 @@ def asset_receipts(requested: DataFrame, quality: DataFrame, catalog: DataFrame,
                     "sharpe", "max_drawdown", why.isNull().alias("passed"), why.alias("fail_reason"))
 
 
+def eligible_assets(requested: DataFrame, quality: DataFrame, catalog: DataFrame, cfg: dict | None = None) -> DataFrame:
+    """(symbol, volatility) of the symbols that pass every test but the user's volatility limit."""
+    a = asset_facts(requested, quality, catalog)
+    return a.where(asset_fail_reason(cfg, F.lit(float("inf"))).isNull()).select("symbol", "volatility")
+
+
+def volatility_universes(eligible: DataFrame) -> DataFrame:
+    """(step, symbols): the universe of every volatility step, a sorted array.
+
+    A user's limit decides by volatility alone, so there are as many universes as distinct volatilities, and one
+    of those below all (step 0, symbols without a volatility). Step k holds the k lowest volatilities.
+    """
+    step = F.coalesce(F.dense_rank().over(W.orderBy(C("volatility").asc_nulls_first())) - F.max(C("volatility").isNull().cast("int")).over(W.partitionBy()), F.lit(0))
+    so_far = W.orderBy("step").rangeBetween(W.unboundedPreceding, 0)  # eligible symbols of the catalog
+    return eligible.withColumn("step", step).withColumn("symbols", F.sort_array(F.collect_list("symbol").over(so_far))).select("step", "symbols").distinct()
+
+
+def with_volatility_step(users: DataFrame, eligible: DataFrame, limit: Column) -> DataFrame:
+    """Users with the ``step`` of their volatility limit: how many distinct volatilities do not exceed it; all, where there is no limit.
+
+    A binary search in the sorted breakpoints, one number a symbol of the catalog; users are not shuffled.
+    """
+    breaks = eligible.agg(F.sort_array(F.collect_set("volatility"))).scalar()
+    ends = F.struct(F.lit(0).alias("lo"), F.size("_breaks").alias("hi"))  # the answer lies in [lo, hi]
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"] + 1, 1)
+        fits = F.coalesce(F.get("_breaks", middle - 1) <= C("_limit"), F.lit(True))
+        return F.struct(F.when(fits, middle).otherwise(s["lo"]).alias("lo"), F.when(fits, s["hi"]).otherwise(F.greatest(middle - 1, s["lo"])).alias("hi"))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_breaks") + 1.0)).cast("int"))
+    df = users.withColumns({"_breaks": breaks, "_limit": limit})
+    return df.withColumn("step", F.aggregate(rounds, ends, halve)["lo"]).drop("_breaks", "_limit")
+
+
 def ordered_universe(available: DataFrame, listed: DataFrame) -> DataFrame:
     """Configured order first, then whatever else is available, by symbol."""
     o = listed.groupBy(F.upper("symbol").alias("_s")).agg(F.min("ordinal").alias("_o"))

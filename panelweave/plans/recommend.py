@@ -19,7 +19,7 @@ from ..session import stored
 C = F.col
 EMERGENCY = "EMERGENCY_FALLBACK - Equal Weight"
 SEARCHED = ("max_sharpe", "min_var", "efficient_risk")
-GRID_METHODS = ("risk_parity", "max_diversification", "equal_weight")  # of candidate_run
+GRID_METHODS = ("max_sharpe", "min_var", "risk_parity", "max_diversification", "equal_weight")  # of candidate_run
 
 
 @dataclass
@@ -30,6 +30,7 @@ class Recommendation:
     portfolio_receipts: DataFrame
     candidate_weights: DataFrame
     stats: DataFrame
+    recommended_weights: DataFrame
 
 
 def weights_by_method(holdings: DataFrame, rets: DataFrame, methods: list[str], key, samples: int = 256, rf: float = 0.015,
@@ -44,8 +45,7 @@ def weights_by_method(holdings: DataFrame, rets: DataFrame, methods: list[str],
     parts = [simple[m]().select(*k, F.lit(m).alias("optimizer"), "ticker", "weight") for m in methods if m in simple]
     searched = [m for m in methods if m in SEARCHED]
     if searched:
-        rows = stored(matrix.as_rows(matrix.shrunk_covariance(rets)))
-        found = cand.searched_weights(holdings, rows, stats.geometric_return(rets), samples, rf, key=k)
+        found = cand.searched_weights(holdings, stored(matrix.shrunk_covariance(rets)), stats.geometric_return(rets), samples, rf, key=k)
         parts.append(found.where(C("optimizer").isin(searched)).select(*k, "optimizer", "ticker", "weight"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -55,47 +55,76 @@ def build_recommendations(profiles: DataFrame, rets: DataFrame, catalog: DataFra
                           rf: float = 0.015, samples: int = 256, min_assets: int = 3) -> Recommendation:
     """Asset filter, candidates per universe, portfolio filter, score and fallback for every user.
 
-    ``allowed`` (objective, symbol) narrows the universe of each user's objective.
+    ``allowed`` (objective, symbol) narrows the universe of each user's objective. A user's universe follows from
+    the volatility limit by one range lookup; users meet universes and their candidates by two joins to tables of
+    universe size. Who gets no candidate gets the emergency portfolio at equal weights: of the own universe if that
+    holds ``min_assets`` symbols, else of the first three requested ones, by symbol; nothing where there are no two.
+    ``recommended_weights`` has the holdings of every recommended row with risk contribution (none for an
+    emergency portfolio) and asset class.
     """
     rets = stored(rets)
     asked = rets.select(C("ticker").alias("symbol")).distinct() if requested is None else requested
-    receipts = universe.asset_receipts(asked, stored(stats.quality_metrics(rets, rf=rf)), catalog, profiles, cfg)
+    quality = stored(stats.quality_metrics(rets, rf=rf))
+    receipts = universe.asset_receipts(asked, quality, catalog, profiles, cfg)
+    group = [] if allowed is None else ["objective"]
+    listed = asked.select(F.upper("symbol").alias("symbol")).distinct()
     if allowed is not None:
         mine = profiles.select("user_id", "objective").join(allowed.select("objective", "symbol"), "objective")
         receipts = receipts.join(mine.select("user_id", "symbol"), ["user_id", "symbol"], "left_semi")
-    mine = receipts.where("passed").groupBy("user_id").agg(F.sort_array(F.collect_set("symbol")).alias("_s"))  # one universe
-    mine = stored(mine.where(F.size("_s") >= min_assets).select("user_id", F.array_join("_s", "|").alias("universe_id")))
-    holdings = mine.select("universe_id").distinct().withColumn("ticker", F.explode(F.split("universe_id", r"\|")))
+        listed = listed.join(allowed.select("objective", "symbol").distinct(), "symbol")
+    eligible = universe.eligible_assets(asked, quality, catalog, cfg)
+    limit = C("vol_max") * {**fixed.ASSET_FILTER, **(cfg or {})}["max_asset_vol_multiplier"]
+    placed = universe.with_volatility_step(profiles, eligible, limit)
+    steps = universe.volatility_universes(eligible)
+    if allowed is not None:
+        narrowed = allowed.groupBy("objective").agg(F.collect_set("symbol").alias("_a"))
+        steps = placed.select("step", "objective").distinct().join(steps, "step").join(narrowed, "objective").withColumn("symbols", F.sort_array(F.array_intersect("symbols", "_a")))
+    steps = steps.where(F.size("symbols") >= min_assets).select("step", *group, F.md5(F.array_join("symbols", "|")).alias("universe_id"), "symbols")
+    universes = stored(steps)
+    holdings = universes.select("universe_id", F.explode("symbols").alias("ticker")).distinct()
     base = weights_by_method(holdings, rets, list(methods), "universe_id", samples, rf)
-    base = stored(base.withColumn("portfolio_id", F.concat_ws("#", "universe_id", "optimizer")))
-    metrics = blend.portfolio_metrics(base.select("portfolio_id", "ticker", "weight"), rets, rf)
-    cov = stored(matrix.as_rows(matrix.covariance(rets, annual=False)))
-    rc = blend.risk_contributions(base.select("portfolio_id", "ticker", "weight"), cov, float(stats.ANNUAL))
+    base = base.withColumn("portfolio_id", F.concat_ws("#", "universe_id", "optimizer"))
+    # emergency portfolios: one a universe, one of the first three requested symbols
+    first = listed.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy("symbol"))).where("_r <= 3") if group else listed.orderBy("symbol").limit(3)
+    first = first.select(F.concat_ws("!", F.lit("first"), *group).alias("universe_id"), C("symbol").alias("ticker"))
+    two = first.groupBy("universe_id").agg(F.count("*").alias("_n")).where("_n >= 2").select("universe_id")
+    rescue = cand.equal_weight(holdings.unionByName(first.join(two, "universe_id", "left_semi")), "universe_id")
+    rescue = rescue.select("universe_id", F.lit("emergency").alias("optimizer"), "ticker", "weight", F.concat_ws("#", "universe_id", F.lit("emergency")).alias("portfolio_id"))
+    base = stored(base.unionByName(rescue))
+    held = base.select("portfolio_id", "ticker", "weight")
+    rc = stored(blend.risk_contributions(held, matrix.covariance(rets, annual=False), float(stats.ANNUAL)))
     top = rc.groupBy("portfolio_id").agg(F.max("risk_contribution").alias("_rc"))
-    metrics = metrics.join(top, "portfolio_id", "left").withColumn("max_rc", F.col("_rc") / C("volatility")).drop("_rc")
-    ids = base.select("universe_id", "optimizer", "portfolio_id").distinct()
+    metrics = stored(blend.portfolio_metrics(held, rets, rf).join(top, "portfolio_id", "left").withColumn("max_rc", F.col("_rc") / C("volatility")).drop("_rc"))
+    ids = base.where("optimizer <> 'emergency'").select("universe_id", "optimizer", "portfolio_id").distinct()
     grid = cand.variant_grid(ids.select("universe_id", "portfolio_id", C("optimizer").alias("_o")), ("x",), caps).drop("optimizer", "shock", "name")
     grid = grid.withColumn("name", F.concat(F.upper("_o"), F.lit(" - Sat "), F.round(C("sat_cap") * 100, 0).cast("int").cast("string"), F.lit("%")))
     named = grid.withColumnRenamed("_o", "optimizer")
-    weights = named.join(base.select("portfolio_id", "ticker", "weight"), "portfolio_id")
+    weights = named.join(held, "portfolio_id")
     clash = cand.conflicts(weights, "universe_id", "name", inclusive=False)
     book = stored(named.join(metrics.where("valid"), "portfolio_id").join(clash, ["universe_id", "name"]))
 
-    rows = profiles.join(mine, "user_id").join(book, "universe_id")
+    own = placed.join(universes.select("step", *group, "universe_id"), ["step", *group], "left")
+    rows = own.drop("step").join(book, "universe_id")
     strict = cand.filter_portfolios(cand.strict_thresholds(rows, cfg), cfg).withColumn("composite_score", cand.composite_score())
     drop = ["min_cagr", "min_sharpe", "max_dd_limit", "vol_lower", "vol_upper"]
     both = cand.adaptive_thresholds(strict.drop(*drop), cfg).withColumn("relaxed", cand.fail_reason(cfg).isNull()).withColumn("strict", C("passed")).drop(*drop)
-    both = stored(both)
-    recommended = cand.fallback_ladder(both, profiles.select("user_id", F.lit(EMERGENCY).alias("name")), n)
-    short = profiles.select("user_id").join(mine.select("user_id", F.lit(True).alias("_ok")), "user_id", "left")
-    recommended = recommended.join(short, "user_id").withColumn("original_fail_reason", F.when(
-        C("_ok").isNull(), "hard_fallback_insufficient_assets").otherwise(C("original_fail_reason"))).drop("_ok")
+    plain = metrics.where(C("portfolio_id").endswith("#emergency")).join(base.groupBy("portfolio_id").agg(F.first("weight").alias("sat_cap")), "portfolio_id")
+    plain = plain.withColumns({"optimizer": F.lit("equal_weight"), "name": F.lit(EMERGENCY)}).select(*cand.EMERGENCY_FACTS, "name")
+    spare = own.select("user_id", "universe_id", F.concat_ws("#", F.coalesce("universe_id", F.concat_ws("!", F.lit("first"), *group)), F.lit("emergency")).alias("portfolio_id"))
+    spare = spare.join(plain, "portfolio_id").withColumn("short", C("universe_id").isNull())
+    recommended = cand.fallback_ladder(both.withColumn("short", F.lit(False)), spare, n, carry=(*cand.EMERGENCY_FACTS, "short"))
+    recommended = recommended.withColumn("original_fail_reason", F.when(C("short"), "hard_fallback_insufficient_assets").otherwise(C("original_fail_reason"))).drop("short")
     shown = ["user_id", "name", "optimizer", "sat_cap", "cagr", "volatility", "sharpe", "max_drawdown", "diversification_ratio", "num_holdings",
              "composite_score", "passed", "fail_reason", "soft_band"]
     made = both.groupBy("user_id").agg(F.count("*").alias("total_candidates"), F.count_if("strict").alias("strict_passes"))
     got = recommended.groupBy("user_id").agg(F.count("*").alias("recommended"), F.count_if(C("fallback_level") > 1).alias("fallback_count"),
                                              F.count_if("hard_fallback").alias("hard_fallback_count"), F.max("fallback_level").alias("stage_used"))
-    return Recommendation(recommended, both, receipts, both.select(*shown), weights, got.join(made, "user_id", "left").na.fill(0))
+    parts = held.join(rc.select("portfolio_id", "ticker", "risk_contribution"), ["portfolio_id", "ticker"], "left").join(
+        catalog.select(C("symbol").alias("ticker"), "asset_class"), "ticker", "left")
+    parts = parts.withColumn("asset_class", F.coalesce("asset_class", blend.known_symbol_class(C("ticker")), F.lit("unknown")))
+    holds = recommended.select("user_id", "rank", "name", "hard_fallback", "portfolio_id").join(parts, "portfolio_id").select(
+        "user_id", "rank", "name", "ticker", "weight", F.when(~C("hard_fallback"), C("risk_contribution")).alias("risk_contribution"), "asset_class")
+    return Recommendation(recommended, both, receipts, both.select(*shown), weights, got.join(made, "user_id", "left").na.fill(0), holds)
 
 
 def build_recommendations_for_objectives(profiles: DataFrame, rets: DataFrame, catalog: DataFrame, objectives: DataFrame, bands: DataFrame,
@@ -117,7 +146,7 @@ def build_recommendations_for_objectives(profiles: DataFrame, rets: DataFrame, c
     by_objective = mine.select("universe_id", "name", "objective").distinct().join(held, ["universe_id", "name"])
     by_objective = stored(by_objective)
     verdict = cand.class_band_check(by_objective, bands, ["universe_id", "name"]).select("universe_id", "name", "objective", C("passed").alias("in_bands"))
-    checked = run.recommended.join(mine, ["user_id", "name"], "left").join(verdict, ["universe_id", "name", "objective"], "left")
+    checked = run.recommended.select(*[c for c in run.recommended.columns if c not in cand.EMERGENCY_FACTS]).join(mine, ["user_id", "name"], "left").join(verdict, ["universe_id", "name", "objective"], "left")
     ok = F.coalesce("in_bands", F.lit(False))
     any_ok = F.max(ok.cast("int")).over(W.partitionBy("user_id"))
     # without any portfolio in the bands the unfiltered list stands
@@ -165,12 +194,13 @@ def single_portfolios(holdings: DataFrame, rets: DataFrame, classes: DataFrame,
 OBJECTIVE_BOUNDS = {"income": (0.70, 0.05), "growth": (0.65, 0.07), "balanced": (0.70, 0.06), "preserve": (0.80, 0.04)}  # core minimum, single cap
 
 
-def candidate_run(rets: DataFrame, classes: DataFrame, regimes: DataFrame, *, objectives=tuple(OBJECTIVE_BOUNDS), methods=("risk_parity", "max_diversification", "equal_weight"),
+def candidate_run(rets: DataFrame, classes: DataFrame, regimes: DataFrame, *, objectives=tuple(OBJECTIVE_BOUNDS), methods=GRID_METHODS,
                   caps=tuple(cand.SAT_CAPS), class_caps: dict[str, float] | None = None, regime: str | None = None, n: int = 8,
-                  seed: int = 42) -> tuple[DataFrame, DataFrame]:
+                  seed: int = 42, samples: int = 256, rf: float = 0.015) -> tuple[DataFrame, DataFrame]:
     """(ranked distinct candidates, weights) per objective over the optimizer x cap grid.
 
-    Subset and look-back per variant, method, regime tilt, core/satellite and class caps, metrics,
+    Subset and look-back per variant, method (max_sharpe and min_var: the best of ``samples`` sampled portfolios, by
+    the covariance and growth of the variant's own look-back), regime tilt, core/satellite and class caps, metrics,
     diversity score, near-duplicate removal, one relaxed second grid for thin groups, top n.
     """
     if unknown := set(methods) - set(GRID_METHODS):
@@ -195,7 +225,17 @@ def candidate_run(rets: DataFrame, classes: DataFrame, regimes: DataFrame, *, ob
         part = W.partitionBy(*kg)
         inv = (F.lit(1.0) / C("ann_vol")) / F.sum(F.lit(1.0) / C("ann_vol")).over(part)
         eq = F.lit(1.0) / F.count("*").over(part)
-        w = j.withColumn("weight", F.when(C("optimizer") == "equal_weight", eq).when(C("optimizer") == "max_diversification", (inv + eq) / 2).otherwise(inv))
+        w = j.where(~C("optimizer").isin(*SEARCHED)).withColumn("weight", F.when(C("optimizer") == "equal_weight", eq).when(C("optimizer") == "max_diversification", (inv + eq) / 2).otherwise(inv))
+        if set(methods) & set(SEARCHED):
+            # a ticker of a look-back is a name of its own, so one matrix serves the variants of all look-backs
+            named = lambda c: F.concat_ws("|", "lookback", c)
+            looked = sorted({*fixed.LOOKBACKS, 100000})
+            cov = matrix.lookback_covariance(aged, looked).select(named("i").alias("i"), named("j").alias("j"), "value")
+            mu = stats.geometric_return(aged.withColumn("lookback", F.explode(F.filter(looks, lambda x: x >= C("_age")))), ["lookback", "ticker"])
+            mine = j.where(C("optimizer").isin(*SEARCHED))
+            found = cand.searched_weights(mine.select(*kg, named("ticker").alias("ticker")), stored(cov), mu.select(named("ticker").alias("ticker"), "ann_return"), samples, rf, key=kg, seed=seed)
+            best = found.select(*kg, "optimizer", F.split("ticker", r"\|", 2)[1].alias("ticker"), "weight")
+            w = w.unionByName(mine.join(best, [*kg, "optimizer", "ticker"]).select(*w.columns))
         w = w.withColumn("portfolio_id", F.concat_ws("#", *kg)).drop("asset_class", "tier").join(tiers, "ticker", "left").na.fill("other", ["tier"])
         if regime is not None:
             t = F.greatest(F.lit(0.0), C("weight") * (F.lit(1.0) + blend.regime_tilt(C("asset_class"), F.lit(regime))))

@@ -207,9 +207,12 @@ CTES["t_grp"] = """SELECT g, nm, date, ret FROM (SELECT split_part(portfolio_id,
   QUALIFY count(*) OVER (PARTITION BY g, date) = len(list(DISTINCT nm) OVER (PARTITION BY g))"""
 CTES["t_grk"] = """SELECT *, row_number() OVER (PARTITION BY g ORDER BY like_ DESC, nm) AS rk FROM (
   SELECT g, nm, avg(ret) AS mean, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), -1e9) AS like_, count(*) AS n FROM t_grp GROUP BY 1, 2)"""
-CTES["t_gseq"] = """SELECT p.g, rk, ret, row_number() OVER (PARTITION BY p.g, p.nm ORDER BY date) - 1 AS i, n FROM t_grp p JOIN t_grk k ON p.g = k.g AND p.nm = k.nm WHERE n >= 60"""
-CTES["t_gboot"] = f"""SELECT d.g, d.rk, d.rep, avg(ret) AS m FROM (SELECT g, rk, rep::BIGINT AS rep, {draw_sql('rep::BIGINT', 's.i + 1', 's.n')} AS pick FROM t_gseq s, range(2000) r(rep)) d
-  JOIN t_gseq s ON s.g = d.g AND s.rk = d.rk AND s.i = d.pick GROUP BY 1, 2, 3"""
+CTES["t_gseq"] = """SELECT p.g, rk, list(ret ORDER BY date) AS r, any_value(n) AS n FROM t_grp p JOIN t_grk k ON p.g = k.g AND p.nm = k.nm WHERE n >= 60 GROUP BY p.g, rk"""
+# how often a replicate draws each day: once per number of days, shared by all series of that length
+CTES["t_gdraw"] = f"""SELECT n, rep, list(coalesce(c, 0)::DOUBLE ORDER BY i) AS drawn FROM (SELECT n, unnest(range(n)) AS i, rep FROM (SELECT DISTINCT n FROM t_gseq), range(2000) t(rep))
+  LEFT JOIN (SELECT n, rep, pick AS i, count(*) AS c FROM (SELECT n, rep, {draw_sql('rep::BIGINT', 'i + 1', 'n')} AS pick FROM (SELECT n, unnest(range(n)) AS i, rep FROM (SELECT DISTINCT n FROM t_gseq), range(2000) t(rep)))
+    GROUP BY 1, 2, 3) USING (n, rep, i) GROUP BY 1, 2"""
+CTES["t_gboot"] = "SELECT g, rk, rep, list_inner_product(drawn, r) AS m FROM t_gseq JOIN t_gdraw USING (n)"
 check("a33_bootstrap_winner", "group_id winner mean~ p_value~",
       lambda v: stats.bootstrap_winner(portc(v).select(F.split("portfolio_id", r"\|")[0].alias("group_id"),
                                                        F.split("portfolio_id", r"\|")[1].alias("name"), "date", "ret"), replicates=2000),

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.expr import TRADING_DAYS, clamp, div, keys_of, years_between
-from . import clean
+from . import clean, panels
 
 ANNUAL = float(TRADING_DAYS)
 ROOT = ANNUAL ** 0.5
@@ -326,8 +326,6 @@ def _resampled(stat: str, seed: int):
                 x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(0xFFFFFFFF)
             x ^= x >> np.uint64(15)
             s = r[(x % np.uint64(n)).astype(np.int64)]
-            if stat == "mean":
-                return s.mean(axis=1)
             if stat == "ann_vol":
                 return s.std(axis=1) * ROOT
             end = np.prod(1.0 + s, axis=1)
@@ -358,20 +356,44 @@ def bootstrap_interval(rets: DataFrame, stat: str = "cagr", replicates: int = 10
     return rets.select(*k).distinct().join(hit, k, "left").select(*k, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
+def _beaten(seed: int):
+    """How often, in ``count`` replicates, another series of a group has at least the mean of its first one.
+
+    A replicate is a vector of how often each day is drawn, which the whole group shares: the means of all
+    are one matrix product.
+    """
+    def one(group: list, a: int, c: int) -> tuple[int, int]:
+        r = np.array([np.asarray(x, dtype=float) for x in group])
+        n = r.shape[1]
+        drawn = panels.scatter(np.arange(a, a + c)[:, None], np.arange(1, n + 1)[None, :], seed) % n
+        counts = np.bincount((drawn + n * np.arange(c)[:, None]).ravel(), minlength=c * n).reshape(c, n).astype(float)
+        means = counts @ r.T
+        return int((means[:, :1] - means[:, 1:] <= 0).sum()), c * (len(r) - 1)
+
+    @F.pandas_udf("struct<hits: long, total: long>")
+    def run(series: pd.Series, first: pd.Series, count: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*t) for t in zip(series, first, count)], columns=["hits", "total"])
+
+    return run
+
+
 def bootstrap_winner(rets: DataFrame, group="group_id", name="name", replicates: int = 2000, seed: int = 42,
-                     min_rows: int = 60) -> DataFrame:
+                     min_rows: int = 60, chunk: int = 250) -> DataFrame:
     """Candidate with the best mean/deviation per group and the chance that another is as good.
 
-    All candidates of a group are cut to their common dates and share the draws of a replicate.
+    All candidates of a group are cut to their common dates and share the draws of a replicate. A group is one
+    row of series, bounded by its grid and the calendar; its replicates are cut into chunks, of which two
+    counts come back.
     """
     common = clean.complete_case(rets.withColumnRenamed(name, "ticker"), group=[group]).withColumnRenamed("ticker", name)
     like = common.groupBy(group, name).agg(
-        F.avg("ret").alias("mean"), F.coalesce(div(F.avg("ret"), F.stddev_samp("ret")), F.lit(-1e9)).alias("_like"))
+        F.avg("ret").alias("mean"), F.coalesce(div(F.avg("ret"), F.stddev_samp("ret")), F.lit(-1e9)).alias("_like"),
+        F.transform(F.sort_array(F.collect_list(F.struct("date", "ret"))), lambda x: x["ret"]).alias("_r"))
     ranked = like.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc("_like"), name)))
-    means = _replicates(common, [group, name], "mean", replicates, seed, min_rows).join(ranked.select(group, name, "rank"), [group, name])
-    lead = F.max(F.when(F.col("rank") == 1, F.col("value"))).over(W.partitionBy(group, "rep"))
-    p = means.withColumn("_w", lead).where("rank > 1").groupBy(group).agg(
-        F.avg((F.col("_w") - F.col("value") <= 0).cast("double")).alias("p_value"))
+    packed = ranked.where(F.size("_r") >= min_rows).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", "_r"))).alias("_g"))
+    parts = packed.select(group, F.transform("_g", lambda x: x["_r"]).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(chunk))).alias("_a"))
+    size = F.least(F.lit(chunk), F.lit(replicates) - F.col("_a"))
+    p = parts.select(group, _beaten(seed)("_s", "_a", size).alias("_b")).groupBy(group).agg(div(F.sum("_b.hits"), F.sum("_b.total")).alias("p_value"))
     return ranked.where("rank = 1").select(group, F.col(name).alias("winner"), "mean").join(p, group, "left")
 
 

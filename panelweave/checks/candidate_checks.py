@@ -259,7 +259,7 @@ def ladder(v):
     # a third of the users see no viable candidate at all
     c = c.withColumn("cagr", F.when(mod(C("user_id"), 3) == 0, F.lit(-0.1)).otherwise(C("cagr")))
     c = c.withColumns({x: C(x) & (mod(C("user_id"), 3) != 0) for x in ("strict", "relaxed")})
-    return cand.fallback_ladder(c, profiles(v).select("user_id", F.lit(recommend.EMERGENCY).alias("name")), n=3)
+    return cand.fallback_ladder(c, profiles(v).select("user_id", F.lit(recommend.EMERGENCY).alias("name")))
 
 
 RELAX = {"s": "min_sharpe", "v": "vol_lower", "d": "max_dd_limit", "c": "min_cagr"}
@@ -269,11 +269,11 @@ CTES["t_lad"] = f"""SELECT s.user_id, s.name, composite_score, fail_reason, CASE
     SELECT user_id AS uid, min_sharpe, vol_lower, max_dd_limit, min_cagr FROM t_adapt) ON uid = user_id)) r ON r.user_id = s.user_id AND r.name = s.name"""
 check("p19_fallback_ladder", "user_id# rank# name composite_score~ fallback_level# passed? hard_fallback? original_fail_reason", ladder,
       """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY composite_score DESC, name) AS rank, name, composite_score, stage AS fallback_level, true AS passed, false AS hard_fallback,
-        CASE WHEN stage > 1 THEN fail_reason END AS original_fail_reason FROM (SELECT *, min(stage) OVER (PARTITION BY user_id) AS m FROM t_lad) WHERE stage = m QUALIFY rank <= 3
+        CASE WHEN stage > 1 THEN fail_reason END AS original_fail_reason FROM (SELECT *, min(stage) OVER (PARTITION BY user_id) AS m FROM t_lad) WHERE stage = m QUALIFY rank <= 8
       UNION ALL SELECT user_id, 1, 'EMERGENCY_FALLBACK - Equal Weight', 0, 4, false, true, 'stage_4_emergency' FROM t_prof WHERE user_id NOT IN (SELECT user_id FROM t_lad WHERE stage IS NOT NULL)""")
 check("a37_stage_counts", "stage count#", lambda v: stats.stage_counts(ladder(v)),
       """SELECT 'Stage ' || stage AS stage, count(*) AS count FROM (SELECT *, min(stage) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id, stage ORDER BY composite_score DESC, name) AS r FROM t_lad)
-        WHERE stage = m AND r <= 3 GROUP BY 1
+        WHERE stage = m AND r <= 8 GROUP BY 1
       UNION ALL SELECT 'Stage 4', count(*) FROM t_prof WHERE user_id NOT IN (SELECT user_id FROM t_lad WHERE stage IS NOT NULL) HAVING count(*) > 0""")
 
 CTES["t_sel"] = """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cagr, name) AS rank FROM (SELECT *, count(*) FILTER (g <= 0.02) OVER (PARTITION BY user_id) AS k FROM (

@@ -358,7 +358,7 @@ check("p25_emergency_portfolios", "user_id# optimizer sat_cap~ cagr~ volatility~
       p AS (SELECT u, date, avg(ret) AS ret FROM e JOIN t_retc USING (ticker) GROUP BY u, date, k HAVING count(*) = k),
       f AS ({facts_sql('p', 'u')})
       SELECT user_id, 'equal_weight' AS optimizer, 1.0::DOUBLE / k AS sat_cap, (v1 / v0) ** (252.0::DOUBLE / n) - 1 AS cagr, sd * sqrt(252) AS volatility,
-        ((v1 / v0) ** (252.0::DOUBLE / n) - 1 - 0.015) / (sd * sqrt(252)) AS sharpe, max_dd AS max_drawdown, k AS num_holdings FROM s JOIN f USING (u)""")
+        ((v1 / v0) ** (252.0::DOUBLE / n) - 1 - 0.015) / (sd * sqrt(252)) AS sharpe, max_dd AS max_drawdown, k AS num_holdings FROM s LEFT JOIN (FROM f WHERE n >= 2) USING (u)""")
 check("p25_all_methods", RECS, lambda v: recommend.build_recommendations(profiles(v), v.returns_class, v.catalog_class, cfg=RUN).recommended)
 
 

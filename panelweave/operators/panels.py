@@ -241,12 +241,13 @@ class Search:
     """Best of repeatable random portfolios a group: (portfolio_id, optimizer, sample, ticker, weight, ret, vol, sharpe).
 
     All samples of a group are one matrix; each tile of the covariance adds its part of their quadratic forms. The
-    tile's key null holds expected returns. A holding's number among all tickers comes as its weight.
+    tile's key null holds expected returns, zero where missing. A holding without a matrix row adds nothing; a group of
+    such holdings alone gives no rows. A holding's number among all tickers comes as its weight.
     """
 
     def __init__(self, books: Books, samples: int, rf: float, target: float, bounds: tuple[float, float], seed: int):
         self.b, self.rf, self.target = books, rf, target
-        self.var, self.ret = np.zeros((len(books.ids), samples)), np.zeros((len(books.ids), samples))
+        self.var, self.gain, self.known = np.zeros((len(books.ids), samples)), np.zeros(len(books.codes)), np.zeros(len(books.codes), bool)
         self.w = []
         for lo, hi in zip(books.starts[:-1], books.starts[1:], strict=True):
             order = np.argsort(books.weights[lo:hi], kind="stable")  # ties of size go by ticker
@@ -259,28 +260,31 @@ class Search:
         names, rows, x, _ = grid(names, keys, values)
         gain = [i for i, r in enumerate(rows.to_pylist()) if r is None]
         columns, mine = self.b.columns(names), self.b.columns(rows)
+        self.known |= mine >= 0
+        if gain:
+            self.gain[columns >= 0] = x[columns[columns >= 0], gain[0]]
         for g, (lo, hi) in enumerate(zip(self.b.starts[:-1], self.b.starts[1:], strict=True)):
             c, k = columns[lo:hi], mine[lo:hi]
             w = self.w[g][:, c >= 0]
-            if gain:
-                self.ret[g] += w @ x[c[c >= 0], gain[0]]
             self.var[g] += ((w @ x[np.ix_(c[c >= 0], k[k >= 0])]) * self.w[g][:, k >= 0]).sum(1)
         return iter(())
 
     def end(self) -> Iterator[pa.RecordBatch]:
-        vol = np.sqrt(np.maximum(self.var, 0.0))
+        vol, gain = np.sqrt(np.maximum(self.var, 0.0)), np.where(self.known, self.gain, 0.0)
+        ret = np.array([w @ gain[lo:hi] for w, lo, hi in zip(self.w, self.b.starts[:-1], self.b.starts[1:], strict=True)])
+        some = np.bincount(self.b.rows, self.known, minlength=len(self.b.ids))[self.b.rows] > 0
         with np.errstate(all="ignore"):
-            sharpe = np.where(vol > 0, (self.ret - self.rf) / vol, np.nan)
+            sharpe = np.where(vol > 0, (ret - self.rf) / vol, np.nan)
         best = {"min_var": vol.argmin(1), "max_sharpe": np.where(np.isnan(sharpe), -np.inf, sharpe).argmax(1),
-                "efficient_risk": np.where(vol <= self.target, self.ret, -vol - 1000).argmax(1)}
+                "efficient_risk": np.where(vol <= self.target, ret, -vol - 1000).argmax(1)}
         for name, at in best.items():
             row = self.b.rows
             pick = at[row]
             s = sharpe[row, pick]
             yield pa.RecordBatch.from_arrays([
                 self.b.ids.take(pa.array(row)), pa.array([name] * len(row)), pa.array(pick.astype(np.int64)), self.b.names.take(pa.array(self.b.codes)),
-                pa.array(np.concatenate([w[i] for w, i in zip(self.w, at, strict=True)])), pa.array(self.ret[row, pick]), pa.array(vol[row, pick]), pa.array(s, mask=np.isnan(s))],
-                names=["portfolio_id", "optimizer", "sample", "ticker", "weight", "ret", "vol", "sharpe"])
+                pa.array(np.concatenate([w[i] for w, i in zip(self.w, at, strict=True)])), pa.array(ret[row, pick]), pa.array(vol[row, pick]), pa.array(s, mask=np.isnan(s))],
+                names=["portfolio_id", "optimizer", "sample", "ticker", "weight", "ret", "vol", "sharpe"]).filter(pa.array(some))
 
 
 def searched(holdings: DataFrame, cov: DataFrame, mu: DataFrame, samples: int, rf: float, target: float, bounds: tuple[float, float], seed: int) -> DataFrame:

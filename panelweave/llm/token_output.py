@@ -3,11 +3,13 @@
 A file holds blocks, each with a grammar of its own, and ends with an index of its blocks. All numbers
 are little-endian:
 
-    file    b"RPTK0001", blocks, index, index length u64, b"RPTK0001"
+    file    b"RPTK0002", blocks, index, index length u64, b"RPTK0002"
     index   per block: offset u64, bytes u64, documents u64, tokens u64
-    block   documents u64, rules u64, symbols u64, first rule id u32, bytes of a symbol u32,
+    block   documents u64, rules u64, symbols of all right-hand sides u64, symbols u64, first rule id u64,
             doc ids i64, 1 where the id is null u8, token counts u64,
-            left and right symbol of each rule, expansion length of each rule u32, symbols
+            length of each right-hand side u32, expansion length of each rule u32,
+            right-hand sides and symbols: first the lower 16 bits of all u16, then the upper ones, 8 bits u8 (32 where
+            an id passes 24)
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,17 @@ from panelweave.llm.common import Stages, filesystem, texts
 from panelweave.llm.pretokens import Apart, Memo, Splitter
 from panelweave.llm.repair import Grammar, compress
 
-MAGIC = b"RPTK0001"
-HEAD = struct.Struct("<QQQII")
+MAGIC = b"RPTK0002"
+HEAD = struct.Struct("<QQQQQ")
 INDEX = struct.Struct("<QQQQ")
 
 
+@lru_cache(maxsize=4)
 def encoder(path: str):
-    """Function from a text to its ids as bytes, and their type. A task remembers a bounded number of words."""
+    """Function from a text to its ids as bytes, and their type.
+
+    A bounded number of words is remembered, by the worker process: its next task finds them.
+    """
     split = Splitter(path)
     kind = np.dtype("<u2" if split.tokenizer.get_vocab_size() <= 0x10000 else "<u4")
     packed = lambda ids: array("H" if kind.itemsize == 2 else "I", ids).tobytes()
@@ -61,13 +68,17 @@ def encoder(path: str):
     return encode, kind, split.tokenizer.get_vocab_size()
 
 
+def upper_kind(top: int) -> str:
+    """Type of an id's bits above the lower 16, where ``top`` is the largest id."""
+    return "u1" if top < 1 << 24 else "<u4"
+
+
 def block_bytes(ids: np.ndarray, doc_ids: list, counts: list[int], vocabulary: int, end: int) -> bytes:
     g = compress(ids, vocabulary, end)
-    kind = "<u2" if g.first + len(g.left) <= 0x10000 else "<u4"
-    parts = [HEAD.pack(len(doc_ids), len(g.left), len(g.symbols), g.first, np.dtype(kind).itemsize),
-             np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.array(counts, "<u8"),
-             g.left.astype(kind), g.right.astype(kind), g.lengths.astype("<u4"), g.symbols.astype(kind)]
-    return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
+    both = np.concatenate([g.right, g.symbols])
+    parts = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.array(counts, "<u8"),
+             g.sizes.astype("<u4"), g.lengths.astype("<u4"), (both & 0xFFFF).astype("<u2"), (both >> 16).astype(upper_kind(g.first + len(g.sizes)))]
+    return HEAD.pack(len(doc_ids), len(g.sizes), len(g.right), len(g.symbols), g.first) + b"".join(p.tobytes() for p in parts)
 
 
 def file_end(index: list[tuple[int, int, int, int]]) -> bytes:
@@ -77,13 +88,15 @@ def file_end(index: list[tuple[int, int, int, int]]) -> bytes:
 
 def read_block(data: bytes) -> tuple[list, np.ndarray, Grammar]:
     """Document ids, token counts and grammar of a block."""
-    n, rules, symbols, first, width = HEAD.unpack_from(data)
+    n, rules, inner, symbols, first = HEAD.unpack_from(data)
     at, out = HEAD.size, []
-    for kind, size in (("<i8", n), ("u1", n), ("<u8", n), (f"<u{width}", rules), (f"<u{width}", rules), ("<u4", rules), (f"<u{width}", symbols)):
+    for kind, size in (("<i8", n), ("u1", n), ("<u8", n), ("<u4", rules), ("<u4", rules), ("<u2", inner + symbols), (upper_kind(first + rules), inner + symbols)):
         out.append(np.frombuffer(data, kind, size, at))
         at += size * np.dtype(kind).itemsize
-    ids, null, counts, left, right, lengths, seq = out
-    return [None if e else int(i) for i, e in zip(ids, null, strict=True)], counts.astype(np.int64), Grammar(first, left, right, lengths, seq)
+    ids, null, counts, sizes, lengths, lower, upper = out
+    both = upper.astype(np.int64) << 16 | lower
+    grammar = Grammar(first, sizes, both[:inner], lengths, both[inner:])
+    return [None if e else int(i) for i, e in zip(ids, null, strict=True)], counts.astype(np.int64), grammar
 
 
 def read_document(uri: str, number: int) -> np.ndarray:

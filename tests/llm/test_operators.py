@@ -133,12 +133,51 @@ def test_random_access(spark, messy, corpus):
 
 def test_grammar_round_trip():
     rng = np.random.default_rng(1)
-    for ids in (np.empty(0, int), np.array([3]), np.full(1000, 7), np.tile([1, 2, 1, 2, 3, 0], 500), rng.integers(0, 12, 5000), rng.zipf(1.5, 4000) % 900):
-        g = repair.compress(ids, 1000, 0, least=4)
-        assert (g.decode() == ids).all() and not (g.left == 0).any() and not (g.right == 0).any()
+    for ids in (np.empty(0, int), np.array([3]), np.full(1000, 7), np.full(999, 0), np.tile([1, 2, 1, 2, 3, 0], 500), rng.integers(0, 12, 5000), rng.integers(1, 3, 3000), rng.zipf(1.5, 4000) % 900):
+        g = repair.compress(ids, 1000, 0)
+        assert (g.decode() == ids).all() and not (g.right == 0).any() and g.sizes.sum() == len(g.right)
         for a, b in rng.integers(0, len(ids) + 1, (20, 2)):
             assert (g.decode(a, b) == ids[a:b]).all()
-    assert len(repair.compress(np.tile([1, 2, 3, 4], 500), 1000, 0, least=4).symbols) < 700
+        _, counts, read = token_output.read_block(token_output.block_bytes(ids, [5], [len(ids)], 1 << 24, 0))
+        assert counts.tolist() == [len(ids)] and (read.decode() == ids).all()
+
+
+def plain_repair(ids, end, first):
+    """Length of the sequence and number of rules of Re-Pair, one most frequent pair at a time."""
+    seq, rules = list(ids), 0
+    while True:
+        counts, last = collections.Counter(), {}
+        for i, pair in enumerate(zip(seq, seq[1:], strict=False)):
+            if end not in pair and not (pair[0] == pair[1] and last.get(pair) == i - 1):
+                counts[pair] += 1
+                last[pair] = i
+        pair, n = max(counts.items(), key=lambda x: (x[1], x[0]), default=(None, 0))
+        if n < 2:
+            return len(seq), rules
+        out, i = [], 0
+        while i < len(seq):
+            hit = tuple(seq[i:i + 2]) == pair
+            out.append(first + rules if hit else seq[i])
+            i += 1 + hit
+        seq, rules = out, rules + 1
+
+
+def test_grammar_size():
+    size = lambda g: len(g.symbols) + len(g.right) + repair.RULE_COST * len(g.sizes)
+    rng = np.random.default_rng(3)
+    text = np.append(rng.integers(1, 900, 2000), 0)
+    for times in (2, 20):
+        assert size(repair.compress(np.tile(text, times), 1000, 0)) <= len(text) + 3 * times
+    words = [rng.integers(1, 900, rng.integers(1, 6)) for _ in range(300)]
+    for ids in (rng.zipf(1.3, 3000) % 500 + 1, np.concatenate([words[w] for w in rng.zipf(1.2, 1500) % 300]), np.tile(text[:100], 30)):
+        whole = repair.Sequence(ids, 0, 2)
+        rules, used, share = 0, 0, 8
+        while used != 2 or len(pairs):
+            pairs, used = whole.round(1000 + rules, share)
+            rules, share = rules + len(pairs), share if len(pairs) else share * 4
+        length, plain_rules = plain_repair(ids.tolist(), 0, 1000)
+        assert len(whole.symbols) + 2 * rules <= 1.05 * (length + 2 * plain_rules)
+        assert size(repair.compress(ids, 1000, 0)) <= 1.05 * (length + (2 + repair.RULE_COST) * plain_rules)
 
 
 # ---------------------------------------------------------------- 3

@@ -280,30 +280,53 @@ def bucket_pairs(prints: np.ndarray, group: np.ndarray, root: np.ndarray | None)
     return at, best[at]
 
 
-def wide_pairs(prints: DataFrame, rooted: bool, limit: int = 4096) -> DataFrame:
+def crowded_keys(prints: DataFrame, stages: Stages, limit: int) -> DataFrame:
+    """(key, chunks) of the keys with more than ``limit`` rows; at most one row a key, whose number the key bits fix.
+
+    A task counts its own keys and hands on those with at least ``limit`` / 256 rows, so hardly a row
+    is shuffled; a key may hold that many rows a task more before it counts as crowded.
+    """
+    local = max(1, limit // 256)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TABLES << KEY_BITS, np.int64)
+        for batch in batches:
+            keys = table_keys(np.stack([c.to_numpy() for c in batch.columns], 1).view(np.uint64))
+            total += np.bincount(keys.ravel(), minlength=len(total))
+        at = np.flatnonzero(total >= local)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "n"])
+
+    counts = prints.select("p", "q").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    return stages.table(counts.select("key", F.ceil(F.col("n") / limit).cast("int").alias("chunks")), "crowded")
+
+
+def wide_pairs(prints: DataFrame, rooted: bool, stages: Stages, limit: int = 4096) -> DataFrame:
     """Distinct (a, b), a < b, of nodes that meet in a table within WIDE_RADIUS; see ``bucket_pairs``.
 
-    ``prints`` is (node, p, q, root). A key with more than ``limit`` rows is dealt on by chunks, like in
-    ``candidate_links``.
+    ``prints`` is a stored (node, p, q, root). A key with more than ``limit`` rows is dealt on by chunks, like in
+    ``candidate_links``. The copies are shuffled once, by key and pair of chunks.
     """
+    kept = ["node", "p", "q", *(["root"] if rooted else [])]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                node, p, q, root = (c.to_numpy() for c in batch.slice(at, 1000).columns)
-                keys = table_keys(np.stack([p, q], 1).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, TABLES)) for x in (node, p, q, root))], ["key", "node", "p", "q", "root"])
-
-    rows = prints.select("node", "p", "q", "root").mapInArrow(cut, "key long, node long, p long, q long, root long")
-    heavy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    rows = rows.join(heavy, "key", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") / limit), F.lit(1)).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "p", "q", "root")
+                columns = [c.to_numpy() for c in batch.slice(at, 1000).columns]
+                keys = table_keys(np.stack(columns[1:3], 1).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, TABLES)) for x in columns)], ["key", *kept])
+
+    rows = prints.select(*kept).mapInArrow(cut, "key long, " + ", ".join(f"{c} long" for c in kept))
+    crowded, bucket = crowded_keys(prints, stages, limit), F.shiftleft(F.col("key"), 40)
+    if not crowded.isEmpty():
+        rows = rows.join(F.broadcast(crowded), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        bucket = bucket + F.shiftleft(F.least("own", "other").cast("long"), 20) + F.greatest("own", "other")
+    rows = rows.select(bucket.alias("bucket"), *kept)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(held: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, lo, hi, node, p, q, root = (c.to_numpy() for c in held.columns)
-            group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-            i, j = bucket_pairs(np.stack([p, q], 1).view(np.uint64), group, root if rooted else None)
+            bucket, node, p, q, *root = (c.to_numpy() for c in held.columns)
+            i, j = bucket_pairs(np.stack([p, q], 1).view(np.uint64), bucket, root[0] if rooted else None)
             both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
             for at in range(0, len(both), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(both[at:at + (1 << 16), 0]), pa.array(both[at:at + (1 << 16), 1])], ["a", "b"])
@@ -312,16 +335,15 @@ def wide_pairs(prints: DataFrame, rooted: bool, limit: int = 4096) -> DataFrame:
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if held.num_rows > 1 << 16:  # work is cut between groups
-                last = [held.column(c).to_numpy() for c in range(3)]
-                same = np.logical_and.reduce([c == c[-1] for c in last])
-                cut_at = held.num_rows - int(same.sum())
+                bucket = held.column(0).to_numpy()
+                cut_at = int(np.searchsorted(bucket, bucket[-1]))
                 if cut_at:
                     yield from pairs(held.slice(0, cut_at))
                     held = held.slice(cut_at)
         if held is not None and held.num_rows:
             yield from pairs(held)
 
-    found = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(compare, "a long, b long")
+    found = rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(compare, "a long, b long")
     return found.distinct()
 
 
@@ -370,7 +392,7 @@ def similar_roots(rows: DataFrame, nodes: DataFrame, stages: Stages, least: floa
     """(node, root) of every node tied to another by similar pairs of rows (id, text, tie); ``nodes`` is (id, tie, node, p, q)."""
     one = nodes.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "tie")).alias("r"), F.first("p").alias("p"), F.first("q").alias("q"))
     one = stages.table(one.select("node", "p", "q", F.col("r.id").alias("r_id"), F.col("r.tie").alias("r_tie"), F.lit(0).cast("long").alias("root")), "nodes")
-    pairs = stages.table(wide_pairs(one, False), "nearest")
+    pairs = stages.table(wide_pairs(one, False, stages), "nearest")
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     one = stages.table(one.drop("root").join(met, "node"), "met")
     sets = stages.table(shingle_sets(rows, one.select("node", "r_id", "r_tie")), "sets")
@@ -378,7 +400,7 @@ def similar_roots(rows: DataFrame, nodes: DataFrame, stages: Stages, least: floa
     roots = components(links, stages)
     # the other pairs: only those not connected yet have to be looked at
     left = one.join(roots.withColumnRenamed("root", "known"), "node", "left").select("node", "p", "q", F.coalesce("known", "node").alias("root"))
-    more = stages.table(confirmed(wide_pairs(left, True), sets, least), "more-links")
+    more = stages.table(confirmed(wide_pairs(stages.table(left, "left"), True, stages), sets, least), "more-links")
     return components(links.union(more), stages)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from panelweave.llm import quality, sharding, simhash, templates
+from panelweave.llm.common import Stages
 
 
 def plain_similar(texts, least=0.8):
@@ -69,8 +70,8 @@ def test_large_buckets_of_wide_candidates_are_dealt_out(spark):
     prints = [(k, *(int(x) ^ (1 << int(rng.integers(60))) for x in base), k % 3) for k in range(80)]
     df = spark.createDataFrame(prints, "node long, p long, q long, root long")
     all_pairs = {(a, b) for a in range(80) for b in range(a + 1, 80)}
-    assert {tuple(r) for r in simhash.wide_pairs(df, True, limit=16).collect()} == {(a, b) for a, b in all_pairs if a % 3 != b % 3}
-    one = {tuple(r) for r in simhash.wide_pairs(df, False, limit=16).collect()}
+    assert {tuple(r) for r in simhash.wide_pairs(df, True, Stages(spark), limit=16).collect()} == {(a, b) for a, b in all_pairs if a % 3 != b % 3}
+    one = {tuple(r) for r in simhash.wide_pairs(df, False, Stages(spark), limit=16).collect()}
     reach, grown = {0}, None
     while grown != reach:
         grown, reach = reach, reach | {x for p in one if set(p) & reach for x in p}

@@ -15,6 +15,7 @@ from panelweave.llm.components import components
 
 BITS, PARTS = 64, 4  # fingerprint bits; equal parts a fingerprint is cut into
 SHINGLE, SIMILAR = 5, 0.8  # words a shingle and least Jaccard similarity of near-duplicates by similarity
+BROADCAST_ROWS = 1 << 20  # of two or three numbers each
 TABLES, KEY_BITS, WIDE_RADIUS = 80, 13, 34  # their candidates: tables of sampled bits of a 128-bit fingerprint, bits a key, differing bits allowed
 
 
@@ -213,14 +214,23 @@ def tied(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
 
 
+def sized(side: DataFrame) -> DataFrame:
+    """A stored side of a join, sent to the tasks where it has at most BROADCAST_ROWS rows; a larger one is left to a shuffle."""
+    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+
+
 def first_rows(docs: DataFrame, rooted: DataFrame, stages: Stages, id_col: str, text_col: str) -> DataFrame:
-    """The row of each root of ``rooted`` (id, tie, root) that comes first by id and tie."""
+    """The row of each root of ``rooted`` (id, tie, root) that comes first by id and tie.
+
+    Only what goes is looked up: the keys that are not first in their group.
+    """
     mine = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mine")
     order = F.struct(F.col("id").isNull(), "id", "tie")
-    first = rooted.groupBy("root").agg(F.min(order).alias("first"))
-    first = stages.table(first.select(F.col("first.id").alias("k_id"), F.col("first.tie").alias("k_tie")), "first")
+    keys = rooted.select("id", "tie", "root").distinct()
+    first = keys.groupBy("root").agg(F.min(order).alias("first"))
+    gone = keys.join(first, "root").where(order != F.col("first")).select(F.col("id").alias("k_id"), F.col("tie").alias("k_tie"))
     out = docs.select(mine, F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"))
-    out = out.join(first, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie")), "left_semi")
+    out = out.join(sized(stages.table(gone, "gone")), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie")), "left_anti")
     if not rooted.groupBy("id", "tie").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["id", "tie"])
     return out.select("mine.*")
@@ -369,7 +379,7 @@ def shingle_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in utf8(batch.column(1))], pa.binary())], ["node", "hashes"])
 
-    mine = rows.join(nodes, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie")))
+    mine = rows.join(sized(nodes), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie")))
     return mine.select("node", "text").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
 
 

@@ -3,14 +3,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import mod
-from ..operators import blend, candidates as cand, gates, matrix, stats
+from ..operators import blend, candidates as cand, gates, macro, matrix, stats
 from ..plans import recommend
-from ..session import stored
+from ..session import shared_folder, stored
 from ..sources.catalog import objective_tables
 from .ctes import CTES
 from .investor_checks import profiles
 from .registry import check
-from .sequence_checks import SCENARIOS, regime_labels
+from .sequence_checks import SCENARIOS, daily, regime_labels, tilt_classes
 from .stats_checks import annual_sql, draw_sql, facts_sql, port, portc, scatter_sql
 
 C = F.col
@@ -375,14 +375,54 @@ CTES["t_shk"] = """SELECT scenario_id, ticker, date, ret * CASE WHEN date = (SEL
       WHEN 'hike' THEN CASE WHEN class IN ('treasury_long','corporate_bond') THEN 1 - 7 * 0.01 ELSE 1 END
       ELSE CASE WHEN class IN ('treasury_long','corporate_bond') THEN 1 + 7 * 0.01 WHEN class LIKE 'public_equity%' THEN 1.03 * 0.98 ELSE 1 END END ELSE 1 END::DOUBLE AS ret
   FROM t_ret JOIN t_catalog ON ticker = symbol, (VALUES ('crash'), ('hike'), ('mixed')) s(scenario_id)"""
-CTES["t_shw"] = """SELECT scenario_id, 'equal_weight' AS o, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY scenario_id) AS w FROM (SELECT DISTINCT scenario_id, ticker FROM t_shk) UNION ALL
-  SELECT scenario_id, 'risk_parity', ticker, (1 / v) / sum(1 / v) OVER (PARTITION BY scenario_id) FROM (SELECT scenario_id, ticker, stddev_samp(ret) AS v FROM t_shk GROUP BY 1, 2)"""
+CTES["t_shv"] = "SELECT scenario_id, ticker, 1 / stddev_samp(ret) AS i FROM t_shk GROUP BY 1, 2"
+CTES["t_now"] = "SELECT regime FROM (SELECT regime FROM t_reg ORDER BY date DESC LIMIT 30) GROUP BY 1 ORDER BY count(*) DESC, regime LIMIT 1"
+CTES["t_shw"] = """SELECT scenario_id, o, ticker, t / sum(t) OVER (PARTITION BY scenario_id, o) AS w FROM (
+  SELECT scenario_id, o, ticker, CASE o WHEN 'equal_weight' THEN e WHEN 'risk_parity' THEN p ELSE (e + p) / 2 END * (1::DOUBLE + CASE asset_class
+    WHEN 'equity' THEN CASE regime WHEN 'Risk-on' THEN 0.05 WHEN 'Recessionary' THEN -0.05 ELSE 0 END
+    WHEN 'bond' THEN CASE regime WHEN 'Recessionary' THEN 0.05 WHEN 'Risk-on' THEN -0.05 WHEN 'Tightening' THEN -0.02 ELSE 0 END
+    WHEN 'commodity' THEN CASE regime WHEN 'Recessionary' THEN 0.02 ELSE 0 END WHEN 'cash' THEN CASE regime WHEN 'Tightening' THEN 0.02 ELSE 0 END ELSE 0 END) AS t
+  FROM (SELECT scenario_id, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY scenario_id) AS e, i / sum(i) OVER (PARTITION BY scenario_id) AS p FROM t_shv)
+    JOIN t_catalog ON symbol = ticker, t_now, (SELECT unnest(['equal_weight', 'risk_parity', 'max_diversification']) AS o))"""
 CTES["t_shp"] = "SELECT scenario_id || '#' || o AS portfolio_id, date, sum(w * ret) AS ret FROM t_shw JOIN t_shk USING (scenario_id, ticker) GROUP BY 1, 2"
 CTES["t_shm"] = annual_sql("t_shp", "portfolio_id")
-check("p27_scenario_candidates", "scenario_id portfolio_id cagr~ sharpe~ max_dd~ score~ rank# shortlist?",
-      lambda v: recommend.scenario_candidates(v.returns, v.catalog.select("symbol", "class"), SCENARIOS)[0],
-      """SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY score DESC, portfolio_id) AS rank, rank = 1 AS shortlist FROM (
-      SELECT split_part(portfolio_id, '#', 1) AS scenario_id, portfolio_id, cagr, sharpe, max_dd, sharpe - 0.2 * abs(max_dd) AS score FROM t_shm)""")
+# three candidates a scenario: the best stays, the others unless too similar to one that stays
+CTES["t_shr"] = """SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY score DESC, portfolio_id) AS r FROM (
+  SELECT split_part(portfolio_id, '#', 1) AS scenario_id, split_part(portfolio_id, '#', 2) AS o, portfolio_id, cagr, sharpe, max_dd, sharpe - 0.2 * abs(max_dd) AS score FROM t_shm)"""
+CTES["t_shs"] = """SELECT scenario_id, max(sim) FILTER (x.r = 1 AND y.r = 2) >= 0.995 AS s12, max(sim) FILTER (x.r = 1 AND y.r = 3) >= 0.995 AS s13, max(sim) FILTER (x.r = 2 AND y.r = 3) >= 0.995 AS s23 FROM (
+    SELECT scenario_id, a.o AS oa, b.o AS ob, sum(a.w * b.w) / sqrt(sum(a.w * a.w) * sum(b.w * b.w)) AS sim FROM t_shw a JOIN t_shw b USING (scenario_id, ticker) GROUP BY 1, 2, 3)
+  JOIN t_shr x USING (scenario_id) JOIN t_shr y USING (scenario_id) WHERE x.o = oa AND y.o = ob GROUP BY 1"""
+CTES["t_sht"] = """SELECT scenario_id, o, portfolio_id, cagr, sharpe, max_dd, score, row_number() OVER (PARTITION BY scenario_id ORDER BY r) AS rank FROM t_shr JOIN t_shs USING (scenario_id)
+  WHERE r = 1 OR (r = 2 AND NOT s12) OR (r = 3 AND NOT s13 AND (s12 OR NOT s23))"""
+CTES["t_shh"] = """SELECT portfolio_id, horizon, date, ret FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY date DESC) AS rn FROM t_shp JOIN t_sht USING (portfolio_id))
+  JOIN (VALUES ('1y', 252), ('3y', 756), ('5y', 1260), ('10y', 2520)) h(horizon, days) ON rn <= days"""
+
+
+def scenario_classes(v):
+    return v.catalog.select("symbol", "class").join(tilt_classes(v), "symbol")
+
+
+def scenario_tables(v):
+    return recommend.scenario_candidates(v.returns, scenario_classes(v), SCENARIOS, regime=macro.current_regime(regime_labels(v)).scalar())
+
+
+def scenario_receipts(v):
+    root = shared_folder(v.spark)
+    _, w, _, receipts = recommend.scenario_run(v.prices, daily(v), scenario_classes(v), SCENARIOS, root)
+    files = v.spark.read.option("header", True).csv(f"{root}/weights")
+    names = [c for c in files.columns if c != "portfolio_id"]
+    total = files.select(F.explode(F.array(*[F.struct(F.lit(c).alias("ticker"), C(f"`{c}`").cast("double").alias("w")) for c in names])).alias("x"))
+    return receipts.join(total.groupBy("x.ticker").agg(F.sum("x.w").alias("weight")), "ticker")
+
+
+check("p27_scenario_candidates", "scenario_id portfolio_id cagr~ sharpe~ max_dd~ score~ rank# shortlist?", lambda v: scenario_tables(v)[0],
+      "SELECT *, rank = 1 AS shortlist FROM t_sht")
+check("p27_scenario_weights", "scenario_id portfolio_id optimizer ticker weight~", lambda v: scenario_tables(v)[1],
+      "SELECT scenario_id, portfolio_id, o AS optimizer, ticker, w AS weight FROM t_shw JOIN t_sht USING (scenario_id, o)")
+check("p27_scenario_horizons", "portfolio_id horizon n# cagr~ volatility~ sharpe~ max_dd~", lambda v: scenario_tables(v)[2], annual_sql("t_shh", "portfolio_id, horizon"))
+check("p27_scenario_receipts", "ticker first@ last@ nan_rate~ weight~", scenario_receipts,
+      """SELECT * FROM (SELECT ticker, min(date) AS first, max(date) AS last, round(1 - count(price) / any_value(n)::DOUBLE, 4) AS nan_rate FROM t_prices, (SELECT count(DISTINCT date) AS n FROM t_prices) WHERE price IS NOT NULL GROUP BY 1)
+      JOIN (SELECT ticker, sum(w) AS weight FROM t_shw JOIN t_sht USING (scenario_id, o) GROUP BY 1) USING (ticker)""")
 
 CTES["t_wz"] = """SELECT ticker, date, greatest(max(CASE WHEN rn = k + 1 THEN ret END) OVER w, least(max(CASE WHEN rn = n - k THEN ret END) OVER w, ret)) AS ret
   FROM (SELECT *, floor(n * 0.005) AS k FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ret, date) AS rn, count(*) OVER (PARTITION BY ticker) AS n FROM t_ret)) WINDOW w AS (PARTITION BY ticker)"""

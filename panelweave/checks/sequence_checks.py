@@ -283,7 +283,15 @@ check("j17_holding_receipts", "portfolio_id rank# ticker weight~ risk_contributi
 # ---- R ----------------------------------------------------------------------------------------
 check("r01_regime_features", "date@ " + " ".join(f"{c}~" for c in _F), lambda v: macro.regime_features(daily(v)), "SELECT * FROM t_feat")
 check("r02_rule_labels", "date@ regime", regime_labels, "SELECT * FROM t_reg")
-check("r03_cluster_labels", "date@ regime", lambda v: macro.cluster_regimes(macro.regime_features(daily(v))))
+_APART = " + ".join(f"(f.{c} - r.{c}) ** 2" for c in _F)
+_MEANS = ", ".join(f"avg(f.{c}) AS {c}" for c in _F)
+CTES["t_lloyd"] = f"""SELECT * FROM (WITH RECURSIVE days AS MATERIALIZED (SELECT *, ntile(4) OVER (ORDER BY cpi_yoy, date) AS run FROM t_feat WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _F)}),
+  rounds AS (SELECT 0 AS step, run AS c, {_MEANS} FROM days f GROUP BY run UNION ALL
+    SELECT a.step, a.c, {_MEANS} FROM (SELECT f.date, max(r.step) + 1 AS step, arg_min(r.c, {_APART}) AS c FROM days f, rounds r WHERE r.step < 100 GROUP BY f.date) a JOIN days f USING (date) GROUP BY 1, 2)
+  SELECT * FROM rounds WHERE step = 100)"""
+check("r03_cluster_labels", "date@ regime", lambda v: macro.cluster_regimes(macro.regime_features(daily(v))),
+      f"""SELECT date, CASE WHEN u > 0.3 THEN 'Recessionary' WHEN d > 0.3 AND y > 0.3 THEN 'Tightening' WHEN y < -0.3 THEN 'Disinflation' ELSE 'Risk-on' END AS regime FROM (
+      SELECT f.date, arg_min(r.unrate_6m_chg, {_APART}) AS u, arg_min(r.dgs10_6m_chg, {_APART}) AS d, arg_min(r.cpi_yoy, {_APART}) AS y FROM t_feat f, t_lloyd r GROUP BY f.date)""")
 check("r04_current_regime", "regime", lambda v: macro.current_regime(regime_labels(v)),
       "SELECT regime FROM (SELECT regime FROM t_reg ORDER BY date DESC LIMIT 30) GROUP BY 1 ORDER BY count(*) DESC, regime LIMIT 1")
 CTES["t_centred"] = "SELECT series_id, date, CASE WHEN series_id = 'T10Y2Y' THEN value - 49.5 ELSE value END AS value FROM t_macro"

@@ -144,6 +144,28 @@ def apply_shocks(rets: DataFrame, scenarios: dict[str, list[str]], classes: Data
                                                      .otherwise(1.0)).alias("ret"))
 
 
+def shocked_day(rets: DataFrame, scenarios: dict[str, list[str]], classes: DataFrame) -> DataFrame:
+    """What ``apply_shocks`` changes: the first panel date's returns under every scenario, one row a scenario and ticker."""
+    first = rets.agg(F.min("date")).scalar()
+    x = rets.where(F.col("date") == first).withColumn("scenario_id", F.explode(F.array(*map(F.lit, scenarios))))
+    x = x.join(_shocks(classes, scenarios), ["scenario_id", "ticker"], "left")
+    return x.select("scenario_id", "ticker", "date", (F.col("ret") * F.coalesce("factor", F.lit(1.0))).alias("ret"))
+
+
+def shocked_volatility(rets: DataFrame, day: DataFrame, scenarios: dict[str, list[str]]) -> DataFrame:
+    """Annual volatility of every ticker under every scenario, without the panel's copies.
+
+    The moments of a ticker's other dates are summed once; each scenario adds its one changed return (``day``, from
+    ``shocked_day``) to them. Null where fewer than two returns are left, like a sample deviation.
+    """
+    later = F.when(F.col("date") > rets.agg(F.min("date")).scalar(), F.col("ret"))
+    base = rets.groupBy("ticker").agg(F.count(later).alias("_n"), F.avg(later).alias("_m"), (F.var_pop(later) * F.count(later)).alias("_q"))
+    j = base.withColumn("scenario_id", F.explode(F.array(*map(F.lit, scenarios)))).join(day.select("scenario_id", "ticker", F.col("ret").alias("_x")), ["scenario_id", "ticker"], "left")
+    gap = F.col("_x") - F.col("_m")
+    var = F.when(F.col("_x").isNull(), div("_q", F.col("_n") - 1)).otherwise(div(F.col("_q") + div(gap * gap * F.col("_n"), F.col("_n") + 1), F.col("_n")))
+    return j.select("scenario_id", "ticker", (F.sqrt(var) * stats.ROOT).alias("ann_vol"))
+
+
 def regime_tilt(asset_class: Column, regime: Column) -> Column:
     """Small allocation tilt of a class under risk_on, tightening or recessionary."""
     on, tight, down = [F.when(regime == r, 1.0).otherwise(0.0) for r in ("risk_on", "tightening", "recessionary")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.expr import clamp, div
+from ..session import stored
 from . import sequence
 
 FEATURES = ["dgs10_level", "dgs10_6m_chg", "cpi_yoy", "unrate_6m_chg", "fedfunds_level"]
@@ -37,24 +38,42 @@ def label_regimes(features: DataFrame) -> DataFrame:
     return features.select("date", label.alias("regime"))
 
 
-def cluster_regimes(features: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
-    """K-means clusters named by their centroids."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def cluster_regimes(features: DataFrame, k: int = 4, rounds: int = 100) -> DataFrame:
+    """K-means clusters named by their centroids.
 
-    x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features)
-    model = KMeans(k=k, seed=seed, maxIter=100).fit(x)
-    at = {c: i for i, c in enumerate(FEATURES)}
+    Lloyd rounds over the stored days, from centres the data define: the means of ``k`` equal runs in the order of
+    inflation, then date. So labels are repeatable. A day belongs to its nearest centre (the earlier run on
+    a tie), a centre without days goes, and rounds end when no centre moves. Only the ``k`` centres reach the driver.
+    Days that lack a feature have no label; an empty table gives none.
+    """
+    runs = F.ntile(k).over(W.orderBy("cpi_yoy", "date"))  # calendar only
+    days = stored(features.select("date", *FEATURES).na.drop(subset=FEATURES).withColumn("run", runs))
+
+    def means(cluster: Column) -> dict[int, list[float]]:
+        rows = days.groupBy(cluster.alias("c")).agg(*[F.avg(c).alias(c) for c in FEATURES]).collect()  # k rows
+        return {r["c"]: [r[c] for c in FEATURES] for r in sorted(rows)}
 
-    def name(c) -> str:
-        if c[at["unrate_6m_chg"]] > 0.3:
+    def nearest(centres: dict[int, list[float]]) -> Column:
+        apart = lambda x: sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(FEATURES, x, strict=True)), F.lit(0.0))
+        return F.array_min(F.array(*[F.struct(apart(x).alias("d"), F.lit(c).alias("c")) for c, x in centres.items()]))["c"]
+
+    def name(x: list[float]) -> str:
+        at = dict(zip(FEATURES, x, strict=True))
+        if at["unrate_6m_chg"] > 0.3:
             return "Recessionary"
-        if c[at["dgs10_6m_chg"]] > 0.3 and c[at["cpi_yoy"]] > 0.3:
+        if at["dgs10_6m_chg"] > 0.3 and at["cpi_yoy"] > 0.3:
             return "Tightening"
-        return "Disinflation" if c[at["cpi_yoy"]] < -0.3 else "Risk-on"
-
-    names = F.array(*[F.lit(name(c)) for c in model.clusterCenters()])  # k centroids
-    return model.transform(x).select("date", F.get(names, F.col("prediction")).alias("regime"))
+        return "Disinflation" if at["cpi_yoy"] < -0.3 else "Risk-on"
+
+    centres = means(F.col("run"))
+    if not centres:
+        return days.select("date", F.lit(None).cast("string").alias("regime"))
+    for _ in range(rounds):
+        last, centres = centres, means(nearest(centres))
+        if last.keys() == centres.keys() and all(abs(x - y) < 1e-12 for c in last for x, y in zip(last[c], centres[c], strict=True)):
+            break
+    names = F.coalesce(*[F.when(F.col("c") == c, name(x)) for c, x in centres.items()])
+    return days.select("date", nearest(centres).alias("c")).select("date", names.alias("regime"))
 
 
 def current_regime(regimes: DataFrame, lookback: int = 30) -> DataFrame:

@@ -10,14 +10,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
-from ..operators import blend, candidates as cand, clean, investors, matrix, stats, universe
+from ..operators import blend, candidates as cand, clean, investors, macro, matrix, stats, universe
 from ..session import stored
+from ..sources import sinks
 
 C = F.col
 EMERGENCY = "EMERGENCY_FALLBACK - Equal Weight"
+SIMPLE = ("equal_weight", "risk_parity", "max_diversification")
 SEARCHED = ("max_sharpe", "min_var", "efficient_risk")
 GRID_METHODS = ("max_sharpe", "min_var", "risk_parity", "max_diversification", "equal_weight")  # of candidate_run
 
@@ -157,17 +159,53 @@ def build_recommendations_for_objectives(profiles: DataFrame, rets: DataFrame, c
     return out.withColumn("stretch", F.when(C("fit") == "match", investors.stretch_objective())), run
 
 
-def scenario_candidates(rets: DataFrame, classes: DataFrame, scenarios: dict[str, list[str]], methods=("equal_weight", "risk_parity"),
-                        n: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(ranked candidates, weights, horizon metrics) under every shock scenario."""
-    shocked = blend.apply_shocks(rets, scenarios, classes)
-    holdings = shocked.select("scenario_id", "ticker").distinct()
-    w = weights_by_method(holdings, shocked, list(methods), "scenario_id", on=("scenario_id", "ticker"))
+def scenario_candidates(rets: DataFrame, classes: DataFrame, scenarios: dict[str, list[str]], methods=SIMPLE, n: int = 8,
+                        regime: Column | None = None, threshold: float = 0.995) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranked distinct candidates, their weights, their horizon metrics) under every shock scenario.
+
+    A scenario changes the first panel date only, so the panel is never copied for it: volatilities take the
+    changed return into moments summed once, and portfolio returns are block products of the one panel plus the
+    changed date. With a ``regime`` (a label of ``macro.label_regimes``), weights are tilted by asset class, for which
+    ``classes`` has ``asset_class`` beside ``symbol`` and ``class``. Candidates are scored by Sharpe less a fifth of the
+    drawdown; of those with a cosine of ``threshold`` or more in a scenario the better one stays. An empty panel gives none.
+    """
+    if unknown := set(methods) - set(SIMPLE):
+        raise ValueError(f"scenario_candidates has no method {sorted(unknown)}")
+    first = rets.agg(F.min("date")).scalar()
+    day = blend.shocked_day(rets, scenarios, classes)
+    vols = blend.shocked_volatility(rets, day, scenarios)
+    w = weights_by_method(vols.select("scenario_id", "ticker"), rets, list(methods), "scenario_id", vols=vols, on=("scenario_id", "ticker"))
     w = w.withColumn("portfolio_id", F.concat_ws("#", "scenario_id", "optimizer"))
-    port = w.join(shocked, ["scenario_id", "ticker"]).groupBy("portfolio_id", "date").agg(F.sum(C("weight") * C("ret")).alias("ret"))
+    if regime is not None:
+        tilted = blend.tilt_weights(w, classes, F.replace(F.lower(regime), F.lit("-"), F.lit("_")))
+        w = w.drop("weight").join(tilted, ["portfolio_id", "ticker"])
+    w = stored(w.select("scenario_id", "portfolio_id", "optimizer", "ticker", "weight"))
+    changed = w.join(day, ["scenario_id", "ticker"]).groupBy("portfolio_id", "date").agg(F.sum(C("weight") * C("ret")).alias("ret"))
+    port = stored(blend.portfolio_returns(rets.where(C("date") > first), w).unionByName(changed))
     m = stats.annualized_metrics(port, "portfolio_id").withColumn("score", C("sharpe") - F.abs("max_dd") * 0.2)
-    m = m.withColumn("scenario_id", F.split("portfolio_id", "#")[0])
-    return cand.top_candidates(m, n, "scenario_id", name="portfolio_id"), w, stats.horizon_metrics(port)
+    m = m.join(cand.conflicts(w, "scenario_id", "portfolio_id", threshold), "portfolio_id")
+    kept = cand.top_candidates(cand.drop_near_duplicates(m, "scenario_id", "portfolio_id").drop("conflicts"), n, "scenario_id", name="portfolio_id")
+    mine = kept.select("portfolio_id")
+    return kept, w.join(mine, "portfolio_id", "left_semi"), stats.horizon_metrics(port.join(mine, "portfolio_id", "left_semi"))
+
+
+def scenario_run(prices: DataFrame, macro_series: DataFrame, classes: DataFrame, scenarios: dict[str, list[str]], path: str,
+                 methods=SIMPLE, n: int = 8, regime: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Prices to scenario files: returns, current regime (or the given one), shocks, candidates, horizons, receipts.
+
+    Candidates go to ``path`` as JSON lines, weights and horizon metrics as wide CSV tables, receipts (span and share of
+    missing prices per ticker) as Parquet. Returns (candidates, weights, horizon metrics, receipts). The columns of the
+    weight table are the tickers of ``classes``.
+    """
+    label = F.lit(regime) if regime else macro.current_regime(macro.label_regimes(macro.regime_features(macro_series))).scalar()
+    found, w, horizons = scenario_candidates(clean.simple_returns(prices), classes, scenarios, methods, n, label)
+    days = prices.agg(F.countDistinct("date")).scalar()
+    receipts = prices.where("price is not null").groupBy("ticker").agg(F.min("date").alias("first"), F.max("date").alias("last"),
+                                                                       F.round(F.lit(1.0) - F.count("*") / days, 4).alias("nan_rate"))
+    names = [r[0] for r in classes.select("symbol").distinct().sort("symbol").collect()]  # the catalog, columns of a CSV
+    sinks.write_scenario(found, w, horizons, names, list(stats.HORIZONS), path)
+    receipts.write.mode("overwrite").parquet(f"{path}/receipts")
+    return found, w, horizons, found.sparkSession.read.parquet(f"{path}/receipts")
 
 
 def single_portfolios(holdings: DataFrame, rets: DataFrame, classes: DataFrame, method: str = "risk_parity", core_min: float = 0.65,

@@ -193,9 +193,23 @@ def test_current_regime_tie_is_alphabetical(spark):
     assert one(macro.current_regime(spark.createDataFrame(rows, "date date, regime string")))["regime"] == "Disinflation"
 
 
-def test_cluster_labels_are_regimes(spark):
+def test_cluster_labels_equal_plain_rounds(spark):
     rng = np.random.default_rng(9)
-    rows = [(dt.date(2020, 1, 1) + dt.timedelta(i), *map(float, rng.normal(0, 1, 5))) for i in range(80)]
+    x = rng.normal(0, 1, (80, 5))
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(82)]
+    rows = [(d, *map(float, r)) for d, r in zip(days, x)] + [(days[80], None, 0.0, 0.0, 0.0, 0.0)]
     f = spark.createDataFrame(rows, "date date, " + ", ".join(f"{c} double" for c in macro.FEATURES))
-    got = macro.cluster_regimes(f).collect()
-    assert len(got) == 80 and {r["regime"] for r in got} <= {"Risk-on", "Disinflation", "Tightening", "Recessionary"}
+    at = {c: i for i, c in enumerate(macro.FEATURES)}
+    order = np.lexsort((np.arange(80), x[:, at["cpi_yoy"]]))
+    centres = np.array([x[run].mean(0) for run in np.array_split(order, 4)])
+    while True:
+        own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+        new = np.array([x[own == c].mean(0) for c in range(len(centres)) if (own == c).any()])
+        if new.shape == centres.shape and np.allclose(new, centres, atol=1e-12):
+            break
+        centres = new
+    u, d, y = (centres[:, at[c]] for c in ("unrate_6m_chg", "dgs10_6m_chg", "cpi_yoy"))
+    names = np.where(u > 0.3, "Recessionary", np.where((d > 0.3) & (y > 0.3), "Tightening", np.where(y < -0.3, "Disinflation", "Risk-on")))
+    got = {r["date"]: r["regime"] for r in macro.cluster_regimes(f).collect()}
+    assert got == dict(zip(days, names[own])) and len(set(got.values())) > 1
+    assert macro.cluster_regimes(f.limit(0)).collect() == []

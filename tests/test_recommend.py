@@ -1,12 +1,14 @@
 """Universes by step, searches and look-back covariances against plain loops; recommended rows hold whole portfolios."""
+import datetime as dt
 import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import candidates as cand, matrix, panels, universe
+from panelweave.operators import blend, candidates as cand, matrix, panels, universe
 from panelweave.plans import recommend
 
 DAYS = [f"2023-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
@@ -132,3 +134,39 @@ def test_candidate_run_has_searched_methods(spark, rets):
     made = {r.optimizer for r in pool.select("optimizer").distinct().collect()} if "optimizer" in pool.columns else {n.split(" - ")[0].lower() for n in (r.name for r in pool.select("name").distinct().collect())}
     assert {"max_sharpe", "min_var"} <= made and ranked.count() > 0
     assert all(math.isclose(r.w, 1, rel_tol=1e-6) for r in pool.groupBy("group_id", "name").agg(F.sum("weight").alias("w")).collect())
+
+
+def test_scenarios_by_changes_equal_the_copied_panel(spark):
+    rng = np.random.default_rng(4)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(40)]
+    panel = {(t, d): float(rng.normal(0, 0.02)) for t in ("AAA", "BBB", "CCC", "DDD") for d in days if not (t == "CCC" and d < days[5]) and not (t == "DDD" and d > days[0])}
+    rets = spark.createDataFrame([(t, d, x) for (t, d), x in panel.items()], "ticker string, date date, ret double")
+    kinds = [("AAA", "public_equity", "equity"), ("BBB", "treasury_long", "bonds"), ("CCC", "gold", "gold"), ("DDD", "public_equity", "equity")]
+    classes = spark.createDataFrame(kinds, "symbol string, class string, asset_class string")
+    scenarios = {"none": ["gold-5%"], "crash": ["equity-50%", "rates+100bp"]}
+    shocked = {}
+    for r in blend.apply_shocks(rets, scenarios, classes).collect():
+        shocked.setdefault((r.scenario_id, r.ticker), {})[r.date] = r.ret
+    day = blend.shocked_day(rets, scenarios, classes)
+    vols = {(r.scenario_id, r.ticker): r.ann_vol for r in blend.shocked_volatility(rets, day, scenarios).collect()}
+    want = {k: np.std(list(x.values()), ddof=1) * 252 ** 0.5 if len(x) > 1 else None for k, x in shocked.items()}
+    assert vols == {k: x if x is None else pytest.approx(x) for k, x in want.items()}
+    ranked, w, horizons = recommend.scenario_candidates(rets, classes, scenarios, regime=F.lit("Recessionary"), threshold=2.0)
+    held = {}
+    for r in w.collect():
+        held.setdefault((r.scenario_id, r.optimizer), {})[r.ticker] = r.weight
+    tilt = {"AAA": 0.95, "BBB": 1.05, "CCC": 1.02, "DDD": 0.95}
+    assert held["crash", "equal_weight"] == pytest.approx({t: x / sum(tilt.values()) for t, x in tilt.items()})
+    rows = ranked.collect()
+    assert {(r.scenario_id, r.portfolio_id.split("#")[1]) for r in rows} == set(held) and len(rows) == 6
+    for r in rows:
+        mine = held[r.scenario_id, r.portfolio_id.split("#")[1]]
+        curve = np.cumprod([1 + sum(x * shocked[r.scenario_id, t].get(d, 0.0) for t, x in mine.items()) for d in days])
+        assert r.cagr == pytest.approx(curve[-1] ** (252 / 40) - 1) and r.max_dd == pytest.approx(min(curve / np.maximum.accumulate(curve) - 1))
+        assert r.score == pytest.approx(r.sharpe - 0.2 * abs(r.max_dd))
+    assert horizons.count() == 6 * 4
+    few = recommend.scenario_candidates(rets, classes, scenarios, threshold=-1.0)[0].collect()
+    assert [r["rank"] for r in few] == [1, 1] and all(r.shortlist for r in few)
+    assert recommend.scenario_candidates(rets.limit(0), classes, scenarios)[0].count() == 0
+    with pytest.raises(ValueError):
+        recommend.scenario_candidates(rets, classes, scenarios, methods=("max_sharpe",))

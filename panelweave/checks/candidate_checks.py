@@ -403,7 +403,7 @@ def scenario_classes(v):
 
 
 def scenario_tables(v):
-    return recommend.scenario_candidates(v.returns, scenario_classes(v), SCENARIOS, regime=macro.current_regime(regime_labels(v)).scalar())
+    return recommend.scenario_candidates(v.returns, scenario_classes(v), SCENARIOS, regime=stored(macro.current_regime(regime_labels(v))).scalar())
 
 
 def scenario_receipts(v):

@@ -177,7 +177,8 @@ def scenario_candidates(rets: DataFrame, classes: DataFrame, scenarios: dict[str
     w = weights_by_method(vols.select("scenario_id", "ticker"), rets, list(methods), "scenario_id", vols=vols, on=("scenario_id", "ticker"))
     w = w.withColumn("portfolio_id", F.concat_ws("#", "scenario_id", "optimizer"))
     if regime is not None:
-        tilted = blend.tilt_weights(w, classes, F.replace(F.lower(regime), F.lit("-"), F.lit("_")))
+        named = w.withColumn("_regime", F.replace(F.lower(regime), F.lit("-"), F.lit("_")))  # once, not at every comparison
+        tilted = blend.tilt_weights(named, classes, C("_regime"))
         w = w.drop("weight").join(tilted, ["portfolio_id", "ticker"])
     w = stored(w.select("scenario_id", "portfolio_id", "optimizer", "ticker", "weight"))
     changed = w.join(day, ["scenario_id", "ticker"]).groupBy("portfolio_id", "date").agg(F.sum(C("weight") * C("ret")).alias("ret"))
@@ -197,7 +198,7 @@ def scenario_run(prices: DataFrame, macro_series: DataFrame, classes: DataFrame,
     missing prices per ticker) as Parquet. Returns (candidates, weights, horizon metrics, receipts). The columns of the
     weight table are the tickers of ``classes``.
     """
-    label = F.lit(regime) if regime else macro.current_regime(macro.label_regimes(macro.regime_features(macro_series))).scalar()
+    label = F.lit(regime) if regime else stored(macro.current_regime(macro.label_regimes(macro.regime_features(macro_series)))).scalar()
     found, w, horizons = scenario_candidates(clean.simple_returns(prices), classes, scenarios, methods, n, label)
     days = prices.agg(F.countDistinct("date")).scalar()
     receipts = prices.where("price is not null").groupBy("ticker").agg(F.min("date").alias("first"), F.max("date").alias("last"),

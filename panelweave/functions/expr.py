@@ -31,6 +31,13 @@ def clamp(c, lo, hi) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
+def rounded(c, digits: int) -> Column:
+    """A double rounded half away from zero after scaling, as SQL engines round doubles: 60.95, held as a little less,
+    gives 61.0. Spark's own ``round`` goes by the shortest decimal of the double, so 60.949999999999996 gives 60.9."""
+    scale = F.lit(10.0 ** digits)
+    return F.round(col(c).cast("double") * scale) / scale
+
+
 def lerp(a: float, b: float, t: Column) -> Column:
     return F.lit(a) + F.lit(b - a) * t
 

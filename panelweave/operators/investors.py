@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.expr import clamp, col, div, lerp, lookup
+from ..functions.expr import clamp, col, div, lerp, lookup, rounded
 from ..functions.fixed import ANSWER_SCORES
 
 C = F.col
@@ -235,11 +235,11 @@ def credibility_parts(n_obs, coverage, effective_n, sharpe_in, sharpe_out) -> di
     s = col(sharpe_in)
     size = F.least(F.lit(1.0), col(n_obs) / 2500.0)
     cov, div_ = unit(coverage), unit((col(effective_n) - 1) / 9.0)
-    shp = unit(s * 0.3 + F.greatest(F.lit(0.0), s - 1) * 0.5 + 0.2)
+    shp = unit(F.lit(0.2) + s * 0.3 + F.greatest(F.lit(0.0), s - 1) * 0.5)
     out = F.coalesce(F.when(col(sharpe_out).isNotNull(), F.greatest(F.lit(0.0), F.lit(1.0) - F.greatest(F.lit(0.0), s - col(sharpe_out)))), F.lit(0.7))
     parts = {"sample_size": size, "coverage_part": cov, "diversification": div_, "in_sample_sharpe": shp, "oos_penalty": out}
     score = size * 0.25 + cov * 0.20 + div_ * 0.20 + shp * 0.20 + out * 0.15
-    return {"score": F.round(score * 100, 1), **{n: F.round(c * 100, 1) for n, c in parts.items()}}
+    return {"score": rounded(score * 100, 1), **{n: rounded(c * 100, 1) for n, c in parts.items()}}
 
 
 def credibility_simple(*receipts) -> Column:

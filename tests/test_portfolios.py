@@ -180,3 +180,12 @@ def test_literal_table_is_broadcast(spark):
     big = spark.range(1000).withColumn("k", F.concat(F.lit("a"), F.col("id").cast("string")))
     plan = big.join(literal_table(spark, [("a", 1)], "k v"), "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_credibility_rounds_ties_as_its_sql(spark):
+    # rows of sf0.1 whose score lies on a tie up to the last bits of a double, with the score of the SQL
+    rows = [(2216, 11.0, 11.0, 14.0, 61.0), (5468, 13.0, 8.0, 30.0, 63.7), (7628, 17.0, 5.0, 25.0, 63.3)]
+    df = spark.createDataFrame(rows, "u long, nation double, horizon double, slider double, want double")
+    parts = investors.credibility_parts(F.col("u") * 3, F.col("nation") / 20, F.col("horizon") / 2, F.col("nation") / 3.0 / 4, F.col("slider") / 50)
+    got = df.select("u", "want", *[c.alias(n) for n, c in parts.items()]).collect()
+    assert {r["u"]: r["score"] for r in got} == {r["u"]: r["want"] for r in got}

@@ -257,6 +257,73 @@ def table_keys(prints: np.ndarray) -> np.ndarray:
     return keys
 
 
+def added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save addition of three bits a lane: sum and carry."""
+    apart = a ^ b
+    return apart ^ c, a & b | apart & c
+
+
+def exceeding(counts: list[np.ndarray], bound: int) -> np.ndarray:
+    """Lanes whose count, one array a binary digit, is above the bound."""
+    more, same = np.zeros_like(counts[0]), ~np.zeros_like(counts[0])
+    for k in reversed(range(len(counts))):
+        if bound >> k & 1:
+            same &= counts[k]
+        else:
+            more |= same & counts[k]
+            same &= ~counts[k]
+    return more
+
+
+def near_pairs(prints: np.ndarray, stop: np.ndarray, radius: int, at_once: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits) of rows i < j < stop[i] whose fingerprints, (n, 64-bit words), differ in ``radius`` bits or fewer.
+
+    Bit planes are stored vertically as in ``linked``. Eight planes at a time go through carry-save adders into
+    counters of 64 lanes; a word is abandoned once all its lanes are above the radius.
+    """
+    n, words, depth = len(prints), -(-len(prints) // 64), 64 * prints.shape[1]
+    padded = np.concatenate([prints, np.zeros((words * 64 - n, prints.shape[1]), np.uint64)])
+    bits = np.unpackbits(padded.astype(">u8").view(np.uint8).reshape(words * 64, -1), axis=1)
+    planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")  # (depth, words)
+    rows = np.flatnonzero(stop - np.arange(n) > 1)
+    first = (rows + 1) // 64
+    many = (stop[rows] - 1) // 64 - first + 1
+    ends, zero, unit, at = np.cumsum(many), np.uint64(0), np.uint64(1), 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, "right")))
+        reps = many[at:to]
+        row = np.repeat(rows[at:to], reps)
+        word = np.arange(len(row)) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[at:to], reps)
+        low = np.maximum(row + 1 - word * 64, 0).astype(np.uint64)  # lanes before it and beyond the group are left out
+        high = np.minimum(stop[row] - word * 64, 64).astype(np.uint64)
+        live = ~zero >> (np.uint64(64) - high) & ~zero << low
+        own, counts = prints[row], [np.zeros(len(row), np.uint64) for _ in range(depth.bit_length())]
+        for p in range(0, depth, 8):
+            d = [planes[q].take(word) ^ (zero - (own[:, q >> 6] >> np.uint64(63 - (q & 63)) & unit)) for q in range(p, p + 8)]
+            fours = []
+            for k in (0, 4):
+                counts[0], x = added(counts[0], d[k], d[k + 1])
+                counts[0], y = added(counts[0], d[k + 2], d[k + 3])
+                counts[1], z = added(counts[1], x, y)
+                fours.append(z)
+            counts[2], carry = added(counts[2], *fours)
+            for k in range(3, len(counts)):
+                counts[k], carry = counts[k] ^ carry, counts[k] & carry
+            if p + 8 > radius and p % 16 == 8:
+                live &= ~exceeding(counts, radius)
+                keep = live != 0
+                if not keep.all():
+                    row, word, live, own, counts = row[keep], word[keep], live[keep], own[keep], [c[keep] for c in counts]
+                if not len(row):
+                    break
+        if len(row):
+            live &= ~exceeding(counts, radius)
+            i, lane = np.nonzero(np.unpackbits(live.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            apart = sum((c[i] >> lane.astype(np.uint64) & unit).astype(np.int64) << k for k, c in enumerate(counts))
+            yield row[i], word[i] * 64 + lane, apart
+        at = to
+
+
 def bucket_pairs(prints: np.ndarray, group: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of one group within WIDE_RADIUS; ``group`` is sorted.
 
@@ -266,23 +333,19 @@ def bucket_pairs(prints: np.ndarray, group: np.ndarray, root: np.ndarray | None)
     n = len(prints)
     change = np.concatenate([[True], group[1:] != group[:-1]])
     stop = np.append(np.flatnonzero(change)[1:], n)[np.cumsum(change) - 1]  # end of each row's group
-    near, partner = np.full((2, n), 2 * BITS + 1, np.int16), np.full((2, n), -1)
-    found, i, d = [], np.arange(n), 0
-    while True:
-        d += 1
-        i = i[i + d < stop[i]]
-        if not len(i):
-            break
-        j = i + d
-        apart = np.bitwise_count(prints[i, 0] ^ prints[j, 0]) + np.bitwise_count(prints[i, 1] ^ prints[j, 1])
-        ok = apart <= WIDE_RADIUS
+    near, partner = np.full((2, n), (2 * BITS + 1) * n), np.full((2, n), -1)  # by differing bits, then by distance in the group
+    found = []
+    for i, j, apart in near_pairs(prints, stop, WIDE_RADIUS):
         if root is not None:
-            ok &= root[i] != root[j]
+            ok = root[i] != root[j]
             found.append((i[ok], j[ok]))
             continue
-        for side, (x, y) in enumerate(((j[ok], i[ok]), (i[ok], j[ok]))):  # x once at most
-            closer = apart[ok] < near[side, x]
-            near[side, x[closer]], partner[side, x[closer]] = apart[ok][closer], y[closer]
+        far = apart * n + (j - i)
+        for side, (x, y) in enumerate(((j, i), (i, j))):
+            order = np.lexsort((far, x))
+            order = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])] if len(order) else order  # the nearest of each x
+            order = order[far[order] < near[side, x[order]]]
+            near[side, x[order]], partner[side, x[order]] = far[order], y[order]
     if root is not None:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
     best = np.where(partner[0] >= 0, partner[0], partner[1])

@@ -120,3 +120,19 @@ def test_frequent_lines_leave_the_text(spark):
     got = quality.quality_rules(df, with_text=True)
     assert got.columns == [*quality.quality_rules(df).columns, "text"] and {(r.doc_id, r.text) for r in got.collect()} == {(i, w) for i, _, _, w in docs}
     assert {(r.doc_id, r.text) for r in quality.quality_rules(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").selectExpr("*", "'a' AS source"), with_text=True).collect()} == {(1, None), (2, "")}
+
+
+def test_wide_fingerprints_are_compared_by_bit_planes():
+    rng = np.random.default_rng(8)
+    sizes = [1, 2, 63, 64, 65, 1, 200, 3, 130]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    base = rng.integers(0, 1 << 62, (len(sizes), 2)).astype(np.uint64)[group]
+    noise = np.packbits(rng.random((len(group), 128)) < rng.choice([0.05, 0.14, 0.2, 0.5], (len(group), 1)), axis=1).view(np.uint64)
+    prints, stop = base ^ noise, np.cumsum(sizes)[group]
+    apart = np.bitwise_count(prints[:, None] ^ prints).sum(2, dtype=int)
+    for radius in (0, simhash.WIDE_RADIUS, 128):
+        want = {(i, j, apart[i, j]) for i in range(len(group)) for j in range(i + 1, stop[i]) if apart[i, j] <= radius}
+        for at_once in (1, 1 << 13):
+            got = [tuple(x) for part in simhash.near_pairs(prints, stop, radius, at_once) for x in zip(*part, strict=True)]
+            assert len(got) == len(set(got)) and set(got) == want
+    assert 0 < sum(apart[i, j] <= simhash.WIDE_RADIUS for i in range(len(group)) for j in range(i + 1, stop[i])) < sum(s * (s - 1) // 2 for s in sizes)

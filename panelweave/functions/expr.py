@@ -105,6 +105,18 @@ def ordinals(df: DataFrame, name: str, out: str = "ord") -> DataFrame:
     return df.select(name).distinct().withColumn(out, F.row_number().over(W.orderBy(name)).cast("long"))
 
 
+ROWS_A_TASK = 150_000
+
+
+def dealt(df: DataFrame, rows: int, *key) -> DataFrame:
+    """``df`` by hash of the key in as many partitions as give a task about ROWS_A_TASK of ``rows`` rows.
+
+    A task's memory then stays the same whatever the size of the table; partitions merged by their compressed
+    size hold ten times the rows where these compress well.
+    """
+    return df.repartition(max(1, -(-rows // ROWS_A_TASK)), *key)
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """Small configuration table as literals: Spark knows its size, so joins to it broadcast by themselves."""
     cols = names.split()

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
-from ..functions.expr import col, div, keys_of, lookup
+from ..functions.expr import col, dealt, div, keys_of, lookup, rounded
 from . import panels, stats
 
 # ---- portfolio returns ------------------------------------------------------------------------
@@ -237,9 +237,9 @@ def compare_results(run1: DataFrame, run2: DataFrame, key: str = "name", value:
 
 def compare_artifacts(files1: DataFrame, files2: DataFrame, key: str = "name") -> DataFrame:
     """Files only in the first run, only in the second, or in both."""
-    a, b = files1.select(key).distinct(), files2.select(key).distinct()
-    tag = lambda d, t: d.withColumn("found", F.lit(t))
-    return tag(a.exceptAll(b), "only_in_1").unionByName(tag(b.exceptAll(a), "only_in_2")).unionByName(tag(a.intersect(b), "common"))
+    both = files1.select(key, F.lit(True).alias("_a"), F.lit(False).alias("_b")).unionByName(files2.select(key, F.lit(False).alias("_a"), F.lit(True).alias("_b")))
+    g = dealt(both, files1.count() + files2.count(), key).groupBy(key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    return g.select(key, F.when(~F.col("_b"), "only_in_1").when(~F.col("_a"), "only_in_2").otherwise("common").alias("found"))
 
 
 def holding_receipts(weights: DataFrame, contributions: DataFrame, provenance: DataFrame, asset_receipts: DataFrame) -> DataFrame:

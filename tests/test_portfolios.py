@@ -3,10 +3,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.functions import fixed
+from panelweave.functions import expr, fixed
 from panelweave.functions.expr import literal_table
-from panelweave.operators import blend, candidates as cand, investors, matrix
+from panelweave.operators import blend, candidates as cand, investors, matrix, universe
 from panelweave.plans import recommend
+from panelweave.plans.views import Views
 from panelweave.sources import landing
 from panelweave.sources.catalog import objective_tables
 
@@ -189,3 +190,11 @@ def test_credibility_rounds_ties_as_its_sql(spark):
     parts = investors.credibility_parts(F.col("u") * 3, F.col("nation") / 20, F.col("horizon") / 2, F.col("nation") / 3.0 / 4, F.col("slider") / 50)
     got = df.select("u", "want", *[c.alias(n) for n, c in parts.items()]).collect()
     assert {r["u"]: r["score"] for r in got} == {r["u"]: r["want"] for r in got}
+
+
+def test_artifacts_are_compared_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(expr, "ROWS_A_TASK", 2)
+    files = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    got = blend.compare_artifacts(files(["a", "a", "b"]), files(["b", "c", "c"]))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "only_in_1"), ("b", "common"), ("c", "only_in_2")]
+    assert got.rdd.getNumPartitions() == 3  # by the number of rows, not by their compressed size

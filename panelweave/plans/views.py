@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.expr import choose, lookup, mod
+from ..functions.expr import choose, dealt, lookup, mod
 from ..operators import clean
 
 CLASS_OF_REGION = {"AFRICA": "equity", "AMERICA": "bond", "ASIA": "reit", "EUROPE": "commodity", "MIDDLE EAST": "cash"}
@@ -24,6 +24,7 @@ FINE_CLASS = {
     "commodity": ("gold", "commodities"),
     "cash": ("tbills", "tbills"),
 }
+BROADCAST_ROWS = 1 << 20  # of a supplier's key and two names
 OBJECTIVE_NAMES = ["CONSERVATIVE", "BALANCED", "GROWTH", "GROWTH_PLUS_INCOME", "AGGRESSIVE", "INCOME"]
 GOALS = ["grow", "grow_income", "income", "preserve", "tax_efficiency", "other"]
 
@@ -56,9 +57,15 @@ class Views:
             "l_discount", "l_returnflag", F.to_date("l_shipdate").alias("date"),
             (F.lit(100.0) * (F.lit(0.95) + F.col("l_discount"))).alias("px"),
         )
+        return line.join(self.sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        """Ticker and class ticker of every supplier. The planner takes the product of both sides for the size of
+        a join and would shuffle the line items for it; up to BROADCAST_ROWS short rows are sent to the tasks."""
         seller = self.table("supplier").join(self.nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
             "s_suppkey", F.col("n_name").alias("ticker"), F.col("r_name").alias("cls"))
-        return line.join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
+        return F.broadcast(seller) if self.table("supplier").count() <= BROADCAST_ROWS else seller
 
     def _bars(self, *by: str) -> DataFrame:
         first = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -155,17 +162,22 @@ class Views:
         return self.table("orders").select("o_orderkey", "o_custkey").join(
             self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
 
-    def _weights(self, portfolio, ticker, buyers: DataFrame) -> DataFrame:
+    def _weights(self, portfolio, ticker, buyers: DataFrame, many: bool = False) -> DataFrame:
         """Share of spend per ticker. Spend collapses to (portfolio, ticker) by partial aggregation
-        before anything is grouped by portfolio alone."""
-        spend = self.fact.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
-            portfolio.alias("portfolio_id"), ticker.alias("ticker")).agg(F.sum("l_extendedprice").alias("spend"))
+        before anything is grouped by portfolio alone. With ``many`` portfolios nothing collapses: lines are dealt
+        by portfolio once, for the sums and for all that follows by portfolio."""
+        lines, n = self.fact, self.table("lineitem").count() if many else 0
+        if many:
+            lines, buyers = dealt(lines, n, "l_orderkey"), dealt(buyers, n, "o_orderkey")
+        spend = lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            portfolio.alias("portfolio_id"), ticker.alias("ticker"), "l_extendedprice")
+        spend = (dealt(spend, n, "portfolio_id") if many else spend).groupBy("portfolio_id", "ticker").agg(F.sum("l_extendedprice").alias("spend"))
         total = F.sum("spend").over(W.partitionBy("portfolio_id"))
         return spend.select("portfolio_id", "ticker", (F.col("spend") / total).alias("weight"))
 
     def customer_weights(self, ticker: str = "ticker") -> DataFrame:
         orders = self.table("orders").select("o_orderkey", "o_custkey")
-        return self._weights(F.col("o_custkey").cast("string"), F.col(ticker), orders)
+        return self._weights(F.col("o_custkey").cast("string"), F.col(ticker), orders, many=True)
 
     @cached_property
     def weights(self) -> DataFrame:

@@ -198,3 +198,24 @@ def test_artifacts_are_compared_in_one_pass(spark, monkeypatch):
     got = blend.compare_artifacts(files(["a", "a", "b"]), files(["b", "c", "c"]))
     assert sorted(tuple(r) for r in got.collect()) == [("a", "only_in_1"), ("b", "common"), ("c", "only_in_2")]
     assert got.rdd.getNumPartitions() == 3  # by the number of rows, not by their compressed size
+
+
+def test_customer_weights_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(expr, "ROWS_A_TASK", 1000)
+    v = Views(spark, "/root/testdata/sf0.001")
+    w = v.customer_weights()
+    assert w.rdd.getNumPartitions() == -(-v.table("lineitem").count() // 1000)
+    assert w.groupBy("portfolio_id").agg(F.sum("weight").alias("s")).where("abs(s - 1) > 1e-9").isEmpty()
+    assert w.groupBy("portfolio_id", "ticker").count().where("count > 1").isEmpty()
+
+
+def plan(spark, capsys, build):
+    """Plan of ``build()`` where nothing is small enough to be broadcast unless asked for."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        capsys.readouterr()
+        build().explain()
+        return capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

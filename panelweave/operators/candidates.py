@@ -76,7 +76,7 @@ def sampled_subsets(holdings: DataFrame, variants: list[str], key="portfolio_id"
     """Repeatable symbol subset and look-back per variant; small universes stay whole."""
     k = keys_of(key)
     v = F.posexplode(F.array(*map(F.lit, variants))).alias("_v", "variant")
-    h = holdings.select(*k, "ticker").join(ordinals(holdings, "ticker"), "ticker").select(*k, "ticker", "ord", v)
+    h = holdings.select(*k, "ticker").join(F.broadcast(ordinals(holdings, "ticker")), "ticker").select(*k, "ticker", "ord", v)
     h = h.withColumn("_n", F.count("*").over(_part([*k, "variant"])))
     at = lambda options, salt: F.get(F.array(*map(F.lit, options)), (scatter(C("_v"), F.lit(salt), seed) % len(options)).cast("int"))
     small = C("_n") < min_symbols

@@ -219,3 +219,7 @@ def plan(spark, capsys, build):
         return capsys.readouterr().out
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_subsets_are_not_shuffled_by_ticker(spark, capsys):
+    assert "SortMergeJoin" not in plan(spark, capsys, lambda: cand.sampled_subsets(weights(spark, {"A": 0.5, "B": 0.5}), ["v1", "v2"]))

@@ -42,9 +42,10 @@ def equal_weight(holdings: DataFrame, key="portfolio_id") -> DataFrame:
 def inverse_volatility(holdings: DataFrame, vols: DataFrame, key="portfolio_id", on=("ticker",)) -> DataFrame:
     """Weights proportional to 1 / volatility; a volatility of zero or less counts as one.
 
-    ``on`` names the columns volatilities are given by (for instance scenario and ticker).
+    ``on`` names the columns volatilities are given by (for instance scenario and ticker). They are one row a
+    ticker, sent to the tasks: holdings are not shuffled by a few tickers.
     """
-    j = holdings.select(*keys_of(key), "ticker").join(vols.select(*on, "ann_vol"), list(on))
+    j = holdings.select(*keys_of(key), "ticker").join(F.broadcast(vols.select(*on, "ann_vol")), list(on))
     j = j.withColumn("_i", F.lit(1.0) / F.when(C("ann_vol") > 0, C("ann_vol")).otherwise(1.0))
     return j.select(*keys_of(key), "ticker", (C("_i") / _sum("_i", key)).alias("weight"))
 

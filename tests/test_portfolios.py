@@ -223,3 +223,10 @@ def plan(spark, capsys, build):
 
 def test_subsets_are_not_shuffled_by_ticker(spark, capsys):
     assert "SortMergeJoin" not in plan(spark, capsys, lambda: cand.sampled_subsets(weights(spark, {"A": 0.5, "B": 0.5}), ["v1", "v2"]))
+
+
+def test_inverse_volatility_is_not_shuffled_by_ticker(spark, capsys):
+    vols = spark.createDataFrame([("A", 0.1), ("B", 0.3)], "ticker string, ann_vol double")
+    w = weights(spark, {"A": 0.5, "B": 0.5})
+    assert "SortMergeJoin" not in plan(spark, capsys, lambda: cand.inverse_volatility(w, vols))
+    assert {r["ticker"]: r["weight"] for r in cand.inverse_volatility(w, vols).collect()} == pytest.approx({"A": 0.75, "B": 0.25})

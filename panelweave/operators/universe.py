@@ -119,19 +119,31 @@ def band_universe(universe: DataFrame, objectives: DataFrame, bands: DataFrame,
 
 
 
-def asset_fail_reason(cfg: dict | None = None, max_vol: Column | None = None) -> Column:
-    """First quality test a symbol fails, as text; null when it passes all."""
+def asset_reasons(cfg: dict | None = None) -> tuple[Column, Column, Column]:
+    """Texts of the quality tests before the volatility limit, of the volatility (up to the limit's own text) and of the tests after it."""
     c = {**fixed.ASSET_FILTER, **(cfg or {})}
     years = F.when(C("core_or_satellite") == "core", c["core_min_years"]).otherwise(c["sat_min_years"])
-    limit = (C("vol_max") if max_vol is None else max_vol) * c["max_asset_vol_multiplier"]
     f = F.format_string
-    return (F.when(C("valid").isNull(), "not in returns data")
-            .when(~C("valid"), F.concat(F.lit("invalid metrics: "), F.coalesce("reason", F.lit("unknown"))))
-            .when(C("years") < years, f("insufficient history: %.1fy < %.1fy required", C("years"), years))
-            .when(C("sharpe") < c["min_asset_sharpe"], f(f"low Sharpe: %.2f < {c['min_asset_sharpe']:.2f}", C("sharpe")))
-            .when(C("volatility") > limit, f("excessive volatility: %.2f%% > %.2f%%", C("volatility") * 100, limit * 100))
-            .when(C("max_drawdown") < c["max_asset_drawdown"],
-                  f("excessive drawdown: %.1f%% < %.1f%%", C("max_drawdown") * 100, F.lit(c["max_asset_drawdown"] * 100))))
+    before = (F.when(C("valid").isNull(), "not in returns data")
+              .when(~C("valid"), F.concat(F.lit("invalid metrics: "), F.coalesce("reason", F.lit("unknown"))))
+              .when(C("years") < years, f("insufficient history: %.1fy < %.1fy required", C("years"), years))
+              .when(C("sharpe") < c["min_asset_sharpe"], f(f"low Sharpe: %.2f < {c['min_asset_sharpe']:.2f}", C("sharpe"))))
+    after = F.when(C("max_drawdown") < c["max_asset_drawdown"],
+                   f("excessive drawdown: %.1f%% < %.1f%%", C("max_drawdown") * 100, F.lit(c["max_asset_drawdown"] * 100)))
+    return before, f("excessive volatility: %.2f%% > ", C("volatility") * 100), after
+
+
+def vol_limit(max_vol: Column, cfg: dict | None = None) -> tuple[Column, Column]:
+    """A user's volatility limit of a single symbol, and its text."""
+    limit = max_vol * {**fixed.ASSET_FILTER, **(cfg or {})}["max_asset_vol_multiplier"]
+    return limit, F.format_string("%.2f%%", limit * 100)
+
+
+def asset_fail_reason(cfg: dict | None = None, max_vol: Column | None = None) -> Column:
+    """First quality test a symbol fails, as text; null when it passes all."""
+    before, vol, after = asset_reasons(cfg)
+    limit, text = vol_limit(C("vol_max") if max_vol is None else max_vol, cfg)
+    return F.coalesce(before, F.when(C("volatility") > limit, F.concat(vol, text)), after)
 
 
 def asset_facts(requested: DataFrame, quality: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -146,13 +158,17 @@ def asset_facts(requested: DataFrame, quality: DataFrame, catalog: DataFrame) ->
 def asset_receipts(requested: DataFrame, quality: DataFrame, catalog: DataFrame, users: DataFrame, cfg: dict | None = None) -> DataFrame:
     """Filter result of every requested symbol for every user, absent symbols included.
 
-    The asset side is one row per symbol; it is packed once into an array, so the users table is
-    expanded in place and never shuffled. For the symbols that pass alone, see ``volatility_universes``.
+    The asset side is one row per symbol, its texts included; it is packed once into an array, so the users
+    are expanded in place. Before that their id, limit and its text are dealt out evenly, as a few splits of the
+    users' file make many rows. For the symbols that pass alone, see ``volatility_universes``.
     """
-    a = asset_facts(requested, quality, catalog)
+    before, vol, after = asset_reasons(cfg)
+    a = asset_facts(requested, quality, catalog).withColumns({"_before": before, "_vol": vol, "_after": after})
     packed = a.agg(F.collect_list(F.struct(*a.columns))).scalar()
-    j = users.select("user_id", "vol_max").withColumn("_a", packed).select("user_id", "vol_max", F.explode("_a").alias("a")).select("user_id", "vol_max", "a.*")
-    why = asset_fail_reason(cfg)
+    limit, text = vol_limit(C("vol_max"), cfg)
+    u = users.select("user_id", limit.alias("_limit"), text.alias("_text")).repartition("user_id")
+    j = u.withColumn("_a", packed).select("user_id", "_limit", "_text", F.explode("_a").alias("a")).select("user_id", "_limit", "_text", "a.*")
+    why = F.coalesce("_before", F.when(C("volatility") > C("_limit"), F.concat("_vol", "_text")), "_after")
     return j.select("user_id", "symbol", "asset_class", "core_or_satellite", F.coalesce("years", F.lit(0.0)).alias("years"), "cagr", "volatility",
                     "sharpe", "max_drawdown", why.isNull().alias("passed"), why.alias("fail_reason"))
 

@@ -230,3 +230,18 @@ def test_inverse_volatility_is_not_shuffled_by_ticker(spark, capsys):
     w = weights(spark, {"A": 0.5, "B": 0.5})
     assert "SortMergeJoin" not in plan(spark, capsys, lambda: cand.inverse_volatility(w, vols))
     assert {r["ticker"]: r["weight"] for r in cand.inverse_volatility(w, vols).collect()} == pytest.approx({"A": 0.75, "B": 0.25})
+
+
+def test_receipt_texts_are_made_per_symbol_and_user(spark, capsys):
+    q = spark.createDataFrame([("A", True, 9.0, 0.1, 0.5, 1.0, -0.1), ("B", True, 9.0, 0.1, 0.2, 1.0, -0.9)],
+                              "ticker string, valid boolean, years double, cagr double, volatility double, sharpe double, max_drawdown double").withColumn("reason", F.lit(None).cast("string"))
+    asked = spark.createDataFrame([("A",), ("B",), ("C",)], "symbol string")
+    cat = spark.createDataFrame([("A", "equity", "core"), ("B", "bond", "core")], "symbol string, asset_class string, core_or_satellite string")
+    users = spark.createDataFrame([(1, 0.1), (2, 1.0)], "user_id long, vol_max double")
+    build = lambda: universe.asset_receipts(asked, q, cat, users, {"max_asset_vol_multiplier": 2.0, "max_asset_drawdown": -0.5})
+    above = plan(spark, capsys, build).split("Generate")[0]
+    assert "format_string" not in above  # nothing is formatted for each of users x symbols
+    got = {(r["user_id"], r["symbol"]): r["fail_reason"] for r in build().collect()}
+    drawdown = "excessive drawdown: -90.0% < -50.0%"
+    assert got == {(1, "A"): "excessive volatility: 50.00% > 20.00%", (2, "A"): None, (1, "B"): drawdown, (2, "B"): drawdown,
+                   (1, "C"): "not in returns data", (2, "C"): "not in returns data"}

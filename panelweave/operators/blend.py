@@ -216,12 +216,12 @@ def weight_diff(current: DataFrame, baseline: DataFrame, threshold: float = 0.02
 def weight_snapshot(weights: DataFrame, universe: DataFrame) -> DataFrame:
     """Every universe symbol per portfolio: clipped, normalised, rounded; equal weights when all are zero."""
     syms = universe.agg(F.sort_array(F.collect_set("ticker"))).scalar()  # the catalog, not the facts
-    full = weights.select("portfolio_id").distinct().withColumn("_u", syms).select("portfolio_id", F.explode("_u").alias("ticker"))
-    j = full.join(weights, ["portfolio_id", "ticker"], "left").withColumn(
-        "_w", F.greatest(F.lit(0.0), F.coalesce("weight", F.lit(0.0))))
-    part = W.partitionBy("portfolio_id")
-    s, n = F.sum("_w").over(part), F.count("*").over(part)
-    return j.select("portfolio_id", "ticker", F.round(F.when(s > 0, F.col("_w") / s).otherwise(F.lit(1.0) / n), 4).alias("weight"))
+    held = weights.groupBy("portfolio_id", "ticker").agg(F.max("weight").alias("weight")).groupBy("portfolio_id").agg(F.map_from_entries(
+        F.collect_list(F.when(F.col("ticker").isNotNull(), F.struct("ticker", "weight")))).alias("_held"))
+    own = F.transform("_u", lambda t: F.struct(t.alias("ticker"), F.greatest(F.lit(0.0), F.coalesce(F.try_element_at("_held", t), F.lit(0.0))).alias("w")))
+    rows = held.withColumn("_u", syms).withColumn("_own", own).withColumn("_s", F.aggregate("_own", F.lit(0.0), lambda s, x: s + x["w"]))
+    rows = rows.select("portfolio_id", "_s", F.size("_own").alias("_n"), F.explode("_own").alias("_o"))
+    return rows.select("portfolio_id", "_o.ticker", rounded(F.when(F.col("_s") > 0, F.col("_o.w") / F.col("_s")).otherwise(F.lit(1.0) / F.col("_n")), 4).alias("weight"))
 
 
 def benchmark_join(port_rets: DataFrame, benchmark: DataFrame) -> DataFrame:

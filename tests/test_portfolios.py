@@ -245,3 +245,11 @@ def test_receipt_texts_are_made_per_symbol_and_user(spark, capsys):
     drawdown = "excessive drawdown: -90.0% < -50.0%"
     assert got == {(1, "A"): "excessive volatility: 50.00% > 20.00%", (2, "A"): None, (1, "B"): drawdown, (2, "B"): drawdown,
                    (1, "C"): "not in returns data", (2, "C"): "not in returns data"}
+
+
+def test_snapshot_joins_nothing(spark, capsys):
+    w = spark.createDataFrame([("P", "A", 0.3), ("P", "B", -0.2), ("Q", "Z", 1.0), ("R", None, 1.0)], "portfolio_id string, ticker string, weight double")
+    syms = spark.createDataFrame([("A",), ("B",), ("C",), ("A",)], "ticker string")
+    assert "Join" not in plan(spark, capsys, lambda: blend.weight_snapshot(w, syms))
+    got = {(r["portfolio_id"], r["ticker"]): r["weight"] for r in blend.weight_snapshot(w, syms).collect()}
+    assert got == {**{("P", t): x for t, x in zip("ABC", (1.0, 0.0, 0.0))}, **{(p, t): 0.3333 for p in "QR" for t in "ABC"}}

@@ -252,12 +252,15 @@ def class_band_check(weights: DataFrame, bands: DataFrame, key="portfolio_id") -
     """
     k = [*keys_of(key), "objective"]
     by = weights.groupBy(*k, "asset_class").agg(F.sum("weight").alias("_w"))
-    need = weights.select(*k).distinct().join(bands.withColumnRenamed("name", "objective"), "objective")
-    j = need.join(by, [*k, "asset_class"], "left").withColumn("_w", F.coalesce("_w", F.lit(0.0)))
-    low, high = C("_w") < C("band_min") - 0.01, C("_w") > C("band_max") + 0.01
-    text = lambda sign, edge: F.concat("asset_class", F.lit(" weight "), pct(C("_w")), F.lit(sign), pct(edge))
-    why = F.when(low, text(" < min ", C("band_min"))).when(high, text(" > max ", C("band_max")))
-    g = j.withColumn("_r", why).groupBy(*k).agg(F.min_by("_r", F.when(C("_r").isNotNull(), C("band_order"))).alias("fail_reason"))
+    held = by.groupBy(*k).agg(F.collect_list(F.when(C("asset_class").isNotNull(), F.struct("asset_class", "_w"))).alias("_held"))  # one entry a class
+    per = bands.groupBy(C("name").alias("objective")).agg(F.sort_array(F.collect_list(F.struct("band_order", "asset_class", "band_min", "band_max"))).alias("_bands"))
+
+    def why(b: Column) -> Column:
+        w = F.coalesce(F.try_element_at(F.map_from_entries("_held"), b["asset_class"]), F.lit(0.0))
+        text = lambda sign, edge: F.concat(b["asset_class"], F.lit(" weight "), pct(w), F.lit(sign), pct(edge))
+        return F.when(w < b["band_min"] - 0.01, text(" < min ", b["band_min"])).when(w > b["band_max"] + 0.01, text(" > max ", b["band_max"]))
+
+    g = held.join(F.broadcast(per), "objective").select(*k, F.get(F.filter(F.transform("_bands", why), lambda x: x.isNotNull()), 0).alias("fail_reason"))
     return g.withColumn("passed", C("fail_reason").isNull())
 
 

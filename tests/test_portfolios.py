@@ -253,3 +253,12 @@ def test_snapshot_joins_nothing(spark, capsys):
     assert "Join" not in plan(spark, capsys, lambda: blend.weight_snapshot(w, syms))
     got = {(r["portfolio_id"], r["ticker"]): r["weight"] for r in blend.weight_snapshot(w, syms).collect()}
     assert got == {**{("P", t): x for t, x in zip("ABC", (1.0, 0.0, 0.0))}, **{(p, t): 0.3333 for p in "QR" for t in "ABC"}}
+
+
+def test_class_bands_need_one_pass_by_portfolio(spark, capsys):
+    rows = [("P", "x", "equity", 0.9), ("P", "x", "bond", 0.1), ("Q", "x", "equity", 0.5), ("Q", "x", "bond", 0.3), ("Q", "x", None, 0.2), ("R", "x", None, 1.0), ("S", "none", "equity", 1.0)]
+    w = spark.createDataFrame(rows, "portfolio_id string, objective string, asset_class string, weight double")
+    bands = spark.createDataFrame([("x", 1, "equity", 0.2, 0.6), ("x", 0, "bond", 0.2, 0.5)], "name string, band_order int, asset_class string, band_min double, band_max double")
+    assert "SortMergeJoin" not in plan(spark, capsys, lambda: cand.class_band_check(w, bands))
+    got = {r["portfolio_id"]: (r["passed"], r["fail_reason"]) for r in cand.class_band_check(w, bands).collect()}
+    assert got == {"P": (False, "bond weight 10.0% < min 20.0%"), "Q": (True, None), "R": (False, "bond weight 0.0% < min 20.0%")}

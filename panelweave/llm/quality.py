@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import Stages, text_key, words_of
 
+FREQUENT_ROWS = 1 << 20  # of a host and a hash
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -66,9 +67,9 @@ def frequent_lines(docs: DataFrame, stages: Stages, least: int, share: float) ->
     return stages.table(each.join(hosts, "host").where(F.col("docs") > share * F.col("all")).select("host", "line"), "frequent-lines")
 
 
-def lost_words(docs: DataFrame, stages: Stages, least: int, share: float) -> DataFrame:
+def lost_words(docs: DataFrame, stages: Stages, least: int, share: float, frequent: DataFrame | None = None) -> DataFrame:
     """(host, key, n_frequent_words, total, gone) of the texts that hold frequent lines; ``gone`` are the hashes of these."""
-    frequent = frequent_lines(docs, stages, least, share)
+    frequent = frequent_lines(docs, stages, least, share) if frequent is None else frequent
     lost = line_rows(docs).join(frequent, ["host", "line"]).groupBy("host", "key").agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.collect_set("line").alias("gone"))
     copies = docs.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies"))  # each copy has added the same words
     lost = lost.join(copies, ["host", "key"]).select("host", "key", (F.col("n") / F.col("copies")).cast("long").alias("n_frequent_words"), F.col("total").cast("long").alias("total"), "gone")
@@ -114,18 +115,33 @@ def quality_rules(docs: DataFrame, least: int = 20, share: float = 0.1, left_per
 def keep_documents(docs: DataFrame, least: int = 20, share: float = 0.1, left_percent: int = 30, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows, with all their columns, that ``quality_rules`` keeps, their texts without frequent lines.
 
-    Texts are filtered where they are read; only keys of texts with frequent lines are joined.
+    Texts are filtered where they are read, and not shuffled: the frequent lines of each host, found in so many
+    texts each that they are few, are sent to them. Above FREQUENT_ROWS lines the texts are joined to the words they lose.
     """
     stages = Stages(docs.sparkSession)
     rows = keyed(docs, text_col, host_col)
-    lost = lost_words(rows.select("host", "key", "text"), stages, least, share)
-    lines = lost.select("host", "key", "gone", enough_left(F.col("total"), F.col("n_frequent_words"), left_percent).alias("enough"))
+    frequent = frequent_lines(rows.select("host", "key", "text"), stages, least, share)
     # the task's number holds the filter above the figures; below them it would work them out anew for each mention
     figures = base_rules(rows.select("mine", "host", "key"), F.col("mine").getField(text_col)).withColumn("task", F.spark_partition_id())
     passed = figures.where(~F.col("base_failed") & (F.col("task") >= 0)).select("mine", "host", "key")
-    left = passed.join(lines, ["host", "key"], "left").where(F.coalesce("enough", F.lit(True)))
-    text = without_lines(F.col("mine").getField(text_col), F.col("gone")).alias(text_col)
-    return left.select(*(text if c == text_col else F.col("mine").getField(c).alias(c) for c in docs.columns))
+    columns = lambda text: [text.alias(c) if c == text_col else F.col("mine").getField(c).alias(c) for c in docs.columns]
+    text = F.col("mine").getField(text_col)
+    if frequent.limit(FREQUENT_ROWS + 1).count() > FREQUENT_ROWS:
+        lost = lost_words(rows.select("host", "key", "text"), stages, least, share, frequent)
+        lines = lost.select("host", "key", "gone", enough_left(F.col("total"), F.col("n_frequent_words"), left_percent).alias("enough"))
+        left = passed.join(lines, ["host", "key"], "left").where(F.coalesce("enough", F.lit(True)))
+        return left.select(*columns(without_lines(text, F.col("gone"))))
+    often = frequent.groupBy("host").agg(F.collect_set("line").alias("often"))
+    size = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    norms = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), normal(x).alias("norm")))
+    lines = F.transform(norms, lambda p: F.struct(p["line"].alias("line"), F.when(p["norm"] == "", 0).otherwise(size(p["norm"])).alias("n"),
+                                                  ((p["norm"] != "") & F.array_contains("often", F.xxhash64(p["norm"]))).alias("gone")))
+    words = lambda kind: F.aggregate(F.filter("lines", kind), F.lit(0).cast("long"), lambda a, p: a + p["n"])
+    left = passed.join(F.broadcast(often), "host", "left").select("mine", F.when(F.col("often").isNotNull(), lines).alias("lines"))
+    left = left.select("mine", "lines", words(lambda p: p["n"] > 0).alias("total"), words(lambda p: p["gone"]).alias("lost"), F.spark_partition_id().alias("task"))
+    left = left.where(F.coalesce(enough_left(F.col("total"), F.col("lost"), left_percent), F.lit(True)) & (F.col("task") >= 0))
+    kept = F.array_join(F.transform(F.filter("lines", lambda p: ~p["gone"]), lambda p: p["line"]), "\n")
+    return left.select(*columns(F.when(F.col("lost") > 0, kept).otherwise(text)))
 
 
 SQL = r"""

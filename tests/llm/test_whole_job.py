@@ -136,3 +136,24 @@ def test_wide_fingerprints_are_compared_by_bit_planes():
             got = [tuple(x) for part in simhash.near_pairs(prints, stop, radius, at_once) for x in zip(*part, strict=True)]
             assert len(got) == len(set(got)) and set(got) == want
     assert 0 < sum(apart[i, j] <= simhash.WIDE_RADIUS for i in range(len(group)) for j in range(i + 1, stop[i])) < sum(s * (s - 1) // 2 for s in sizes)
+
+
+def test_quality_stage_does_not_shuffle_texts(spark, monkeypatch, capsys):
+    word = lambda i, k: f"w{i * 97 % 31}x{k * 7 + i}"
+    footer = "\n".join(" ".join(f"f{j}y{k}" for k in range(30)) for j in range(9))
+    rows = [(i, " ".join(word(i, k) for k in range(60)) + ("\n  Common   FOOTER\n\nlast" if i % 3 else f"\n{footer}" if i % 2 else ""), "abc"[i % 3] if i % 4 else None) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None, "a")], "doc_id long, text string, source string")
+    kept = quality.keep_documents(docs, least=3, share=0.1)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        capsys.readouterr()
+        quality.keep_documents(docs, least=3, share=0.1).explain()
+        assert "SortMergeJoin" not in capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    monkeypatch.setattr(quality, "FREQUENT_ROWS", 0)  # many frequent lines: the join
+    joined = quality.keep_documents(docs, least=3, share=0.1)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, joined.collect()))
+    was = {r.doc_id: r.text for r in docs.collect()}
+    assert any(was[r.doc_id] != r.text for r in kept.collect())

@@ -36,7 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), words=100_000)  # workers of all stages share an executor's memory
 
 
 STAGES = [

@@ -58,6 +58,17 @@ def texts(values: pa.Array) -> list[str]:
     return ["" if v is None else v for v in values.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that what a task derives from texts is held for few of them at once.
+
+    At the end memory that Arrow holds back is given up, as a worker outlives its task.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a whole text (null counts as empty)."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import Stages, utf8
+from panelweave.llm.common import Stages, slices, utf8
 from panelweave.llm.components import components
 
 BITS, PARTS = 64, 4  # fingerprint bits; equal parts a fingerprint is cut into
@@ -166,7 +166,7 @@ def candidate_links(prints: DataFrame, radius: int, limit: int = 4096) -> DataFr
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, *also: str) -> DataFrame:
     """(id, fp) of every row, the fingerprint as a signed long, and ``also``. A null text has no words: zero."""
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = fingerprints([shingle_hashes(t) for t in utf8(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["id", "fp", *also])
 
@@ -427,7 +427,7 @@ def shingle_set(text: bytes) -> np.ndarray:
 def node_table(rows: DataFrame) -> DataFrame:
     """(id, tie, node, p, q) of (id, text, tie): texts of the same words are one node, that is a hash of them; p and q are the fingerprint."""
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data = list(utf8(batch.column(1)))
             node = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 42) for t in data], np.uint64).view(np.int64)
             wide = wide_prints([shingle_set(t) for t in data]).view(np.int64)
@@ -439,7 +439,7 @@ def node_table(rows: DataFrame) -> DataFrame:
 def shingle_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, hashes): the sorted shingle hashes, as bytes, of a text (id, text, tie) of each of the nodes (node, r_id, r_tie)."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in utf8(batch.column(1))], pa.binary())], ["node", "hashes"])
 
     mine = rows.join(sized(nodes), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie")))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import Stages, texts
+from panelweave.llm.common import Stages, slices, texts
 from panelweave.llm.pretokens import Memo
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
@@ -77,7 +77,7 @@ class Template:
 
 
 def codes() -> Memo:
-    return Memo(token_code, 500_000)
+    return Memo(token_code, 100_000)
 
 
 def item_windows(text: str, size: int, memo: Memo) -> list[tuple[int, bool, int, int, list[str]]]:
@@ -116,7 +116,7 @@ def document_windows(docs: DataFrame, shapes: list[tuple[int, bool]], known: np.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, wanted = codes(), known.value
         schema = pa.schema([("doc", pa.int64()), ("tie", pa.int64()), ("h", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string()))])
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
                 t = Template(text, memo)

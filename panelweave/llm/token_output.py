@@ -27,34 +27,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from panelweave.llm.common import Stages, filesystem, texts
+from panelweave.llm.common import Stages, filesystem, slices, texts
 from panelweave.llm.pretokens import Apart, Memo, Splitter
 from panelweave.llm.repair import Grammar, compress
 
 MAGIC = b"RPTK0002"
 HEAD = struct.Struct("<QQQQQ")
 INDEX = struct.Struct("<QQQQ")
+WORDS = 450_000  # a worker remembers; it outlives its task, beside others that need the memory
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """Function from a text to its ids as bytes, and their type.
+def encoder(path: str, words: int = WORDS):
+    """Function from a text to its ids as bytes, their type and the size of the vocabulary.
 
-    A bounded number of words is remembered, by the worker process: its next task finds them.
+    The first ``words`` words are remembered, each once, by the worker process: its next task finds them.
     """
     split = Splitter(path)
     kind = np.dtype("<u2" if split.tokenizer.get_vocab_size() <= 0x10000 else "<u4")
     packed = lambda ids: array("H" if kind.itemsize == 2 else "I", ids).tobytes()
     tokenize, table = split.model.tokenize, split.bytes
-    piece = Memo(lambda p: packed([t.id for t in tokenize(p.translate(table))]), 400_000).__getitem__
+    learn = lambda p: packed([t.id for t in tokenize(p.translate(table))])
+    piece = Memo(learn, 50_000).__getitem__
     pieces, space = split.pieces, split.space
 
     def spell(chunk: str) -> bytes:
         if chunk.isalpha():
-            return piece(space + chunk)
+            return learn(space + chunk)
+        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
+            return word(chunk[:-1]) + piece(chunk[-1])
         return b"".join(map(piece, pieces(chunk)))
 
-    word = Memo(spell, 600_000).__getitem__
+    word = Memo(spell, words).__getitem__
 
     def encode(text: str) -> bytes:
         if (chunks := split.chunks(text)) is None:
@@ -118,7 +122,7 @@ def read_document(uri: str, number: int) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end: int = 0, block_tokens: int = 1 << 20,
-                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                      id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """Writes every text's ids plus the end id, in ascending order of id; returns the blocks written.
 
     The table is range-partitioned on (id, hash of the text), so a repeated id cannot fill one task;
@@ -132,7 +136,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end: in
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind, vocabulary = encoder(tokenizer_path)
+        encode, kind, vocabulary = encoder(tokenizer_path, words)
         part, stop = TaskContext.get().partitionId(), np.array([end], kind).tobytes()
         attempt = TaskContext.get().taskAttemptId()
         fs, path = filesystem(f"{folder}/part-{part:06d}.rptk")
@@ -145,7 +149,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end: in
             f.write(data)
             ids.clear(), doc_ids.clear(), counts.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 if f is None:
                     f = fs.open_output_stream(f"{path}.{attempt}")
@@ -205,9 +209,9 @@ def read_token_files(spark: SparkSession, blocks: DataFrame) -> DataFrame:
     return rows.repartition(slices, "path", "offset").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_round_trip(docs: DataFrame, tokenizer_path: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_round_trip(docs: DataFrame, tokenizer_path: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """Encodes, writes, and reads the files back: one row per document; an empty table gives none."""
     spark = docs.sparkSession
     stages = Stages(spark)
-    blocks = stages.table(write_token_files(docs, tokenizer_path, stages.folder("tokens"), end, id_col=id_col, text_col=text_col), "blocks")
+    blocks = stages.table(write_token_files(docs, tokenizer_path, stages.folder("tokens"), end, id_col=id_col, text_col=text_col, words=words), "blocks")
     return read_token_files(spark, blocks)

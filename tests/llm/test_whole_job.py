@@ -3,10 +3,13 @@
 import random
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from panelweave.llm import quality, sharding, simhash, templates
-from panelweave.llm.common import Stages
+from panelweave.llm import quality, sharding, simhash, templates, token_output
+from panelweave.llm.common import Stages, slices
 
 
 def plain_similar(texts, least=0.8):
@@ -157,3 +160,20 @@ def test_quality_stage_does_not_shuffle_texts(spark, monkeypatch, capsys):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, joined.collect()))
     was = {r.doc_id: r.text for r in docs.collect()}
     assert any(was[r.doc_id] != r.text for r in kept.collect())
+
+
+def test_text_batches_are_worked_off_in_slices():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(1300))})
+    parts = list(slices(iter([batch, batch.slice(0, 0), batch.slice(7, 1)])))
+    assert max(p.num_rows for p in parts) <= 512
+    assert [v for p in parts for v in p.column(0).to_pylist()] == [*range(1300), 7]
+
+
+def test_encoder_remembers_a_word_once_and_no_more_than_asked():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, kind, _ = token_output.encoder(path, 3)
+    text = "some plain words, repeated words. caf\u00e9s caf\u00e9s, 12,5 and x.y more"
+    assert np.frombuffer(encode(text), kind).tolist() == np.frombuffer(encode(text), kind).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    memos = [c.cell_contents.__self__ for c in encode.__closure__ if isinstance(getattr(c.cell_contents, "__self__", None), dict)]
+    assert sorted(len(m) for m in memos if " some" not in m)[0] <= 3
+    assert not any(" plain" in m for m in memos)

@@ -13,6 +13,7 @@ from panelweave.llm.components import components
 
 SPACE = r"[\x20\x09-\x0D]+"
 NO_ID = (1 << 63) - 1
+SKETCH = 32  # 64-bit words of a line's sketch
 
 
 def constants(n: int) -> list[int]:
@@ -61,34 +62,60 @@ def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, lines: DataFrame, size: int) -> DataFrame:
-    """``pairs`` (a, b) with their exact Jaccard similarity ``j`` and their numbers of shingles."""
+    """``pairs`` (a, b) with their exact Jaccard similarity ``j``."""
     left = lines.select(F.col("line").alias("a"), F.col("norm").alias("a_norm"))
     right = lines.select(F.col("line").alias("b"), F.col("norm").alias("b_norm"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.encode("a_norm", "UTF-16BE").alias("a_wide"), F.encode("b_norm", "UTF-16BE").alias("b_wide"))
     both = both.select("a", "b", shingle_set(F.col("a_wide"), size).alias("x"), shingle_set(F.col("b_wide"), size).alias("y"))
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("nx"), F.size("y").alias("ny"))
-    return both.select("a", "b", "nx", (F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("j"))
+    return both.select("a", "b", (F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("j"))
+
+
+def sketches(lines: DataFrame, size: int) -> DataFrame:
+    """(line, most, s0, s1, ...): an upper bound of the number of shingles, and a bitmap with one bit for each shingle's hash."""
+    wide = lines.select("line", F.encode("norm", "UTF-16BE").alias("wide"))
+    each = wide.select("line", "wide", F.explode(F.sequence(F.lit(0), last_shingle(F.col("wide"), size))).alias("i"))
+    each = each.select("line", shingle(F.col("wide"), F.col("i"), size).alias("h"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(SKETCH - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    each = each.select("line", word.alias("word"), bit.alias("bit"))
+    words = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SKETCH)]
+    return each.groupBy("line").agg(F.count(F.lit(1)).alias("most"), *words)
+
+
+def possible(a: str, b: str, least: float) -> Column:
+    """Whether two sketched lines may be similar enough; never false where they are.
+
+    A bit that only one of them has is a shingle that only that one has. With d such bits at most (m + n - d) / 2
+    shingles are common, where m and n bound the lines' own, and at least d are not.
+    """
+    apart = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    return (1 - least) * (F.col(f"{a}.most") + F.col(f"{b}.most") - apart) / 2 >= least * apart - 1e-9
 
 
 def line_links(lines: DataFrame, stages: Stages, size: int, bands: int, rows: int, least: float) -> DataFrame:
     """(a, b) links among lines that share a band, enough to connect all that are similar enough.
 
     In a bucket every line is compared with the most frequent one. Lines that are not similar to it are
-    compared with each other and with those lines of the bucket that the triangle inequality of the
-    Jaccard distance leaves possible, so no similar pair of a bucket goes unseen, yet a large group
-    of near copies gives a star and not all its pairs. Line counts bound both distances before a join emits.
+    compared with each other and with the other lines of the bucket, so no similar pair of a bucket goes
+    unseen, yet a large group of near copies gives a star and not all its pairs. A join hands on only the
+    pairs that the lines' sketches leave possible; those are verified.
     """
     first = F.first("line").over(W.partitionBy("key").orderBy(F.desc("n"), "line").rowsBetween(W.unboundedPreceding, 0))
     members = signatures(lines, size, bands, rows).select("key", "line", first.alias("head")).where("line <> head")
     members = stages.table(members, "members")
-    stars = stages.table(verified(members.select(F.col("line").alias("a"), F.col("head").alias("b")).distinct(), lines, size), "stars")
-    judged = members.join(stars.select(F.col("a").alias("line"), F.col("b").alias("head"), "j", "nx"), ["line", "head"])
-    odd = judged.where(F.col("j") < least).select("key", F.col("line").alias("a"), F.col("j").alias("aj"), F.col("nx").alias("an"))
-    rest = judged.select("key", F.col("line").alias("b"), F.col("j").alias("bj"), F.col("nx").alias("bn"))
-    near = (F.abs(F.col("aj") - F.col("bj")) <= 1 - least + 1e-9) & (F.least("an", "bn") >= least * F.greatest("an", "bn")) & (F.col("a") != F.col("b"))
-    more = odd.join(rest, "key").where(near & ((F.col("bj") >= least) | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    others = stages.table(verified(more, lines, size), "others")
-    return stars.where(F.col("j") >= least).select("a", "b").union(others.where(F.col("j") >= least).select("a", "b"))
+    met = members.select("line").union(members.select("head")).distinct()
+    sketch = stages.table(sketches(lines.join(met, "line", "left_semi"), size), "sketches")
+    x, y = sketch.alias("x"), sketch.alias("y")
+    stars = members.select(F.col("line").alias("a"), F.col("head").alias("b")).distinct()
+    stars = stars.join(x, F.col("a") == F.col("x.line")).join(y, (F.col("b") == F.col("y.line")) & possible("x", "y", least)).select("a", "b")
+    stars = stages.table(verified(stages.table(stars, "possible-stars"), lines, size), "stars").where(F.col("j") >= least).select("a", "b")  # stored first: a filter pushed down would work the sets out again
+    judged = members.join(stars.select(F.col("a").alias("line"), F.col("b").alias("head"), F.lit(True).alias("like")), ["line", "head"], "left")
+    judged = judged.select("key", "line", F.col("like").isNotNull().alias("like")).join(sketch, "line")
+    x, y = judged.where("not like").alias("x"), judged.alias("y")
+    other = (F.col("x.key") == F.col("y.key")) & (F.col("y.like") | (F.col("x.line") < F.col("y.line"))) & possible("x", "y", least)
+    more = x.join(y, other).select(F.least("x.line", "y.line").alias("a"), F.greatest("x.line", "y.line").alias("b")).distinct()
+    others = stages.table(verified(stages.table(more, "possible-others"), lines, size), "others").where(F.col("j") >= least).select("a", "b")
+    return stars.union(others)
 
 
 def dedup_lines(docs: DataFrame, size: int = 9, bands: int = 8, rows: int = 3, least: float = 0.8,

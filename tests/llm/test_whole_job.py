@@ -5,10 +5,11 @@ import random
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from panelweave.llm import quality, sharding, simhash, templates, token_output
+from panelweave.llm import lines, quality, sharding, simhash, templates, token_output
 from panelweave.llm.common import Stages, slices
 
 
@@ -177,3 +178,22 @@ def test_encoder_remembers_a_word_once_and_no_more_than_asked():
     memos = [c.cell_contents.__self__ for c in encode.__closure__ if isinstance(getattr(c.cell_contents, "__self__", None), dict)]
     assert sorted(len(m) for m in memos if " some" not in m)[0] <= 3
     assert not any(" plain" in m for m in memos)
+
+
+def test_lines_with_one_long_passage_are_not_all_compared(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = " ".join(word() for _ in range(20))
+    family = [passage + " " + " ".join(word() for _ in range(14)) for _ in range(120)]
+    near = [t[:-3] + "xyz" for t in family[:10]]  # similar to one line of the family each
+    norms = family + near
+    table = spark.createDataFrame([(k, t, 1) for k, t in enumerate(norms)], "line long, norm string, n long")
+    cut = [{t[i:i + 9] for i in range(len(t) - 8)} for t in norms]
+    links = {(a, b) for b in range(len(norms)) for a in range(b) if len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b])}
+    sketch = lines.sketches(table, 9)
+    x, y = sketch.alias("x"), sketch.alias("y")
+    possible = {(r.a, r.b) for r in x.join(y, (F.col("x.line") < F.col("y.line")) & lines.possible("x", "y", 0.8)).select(F.col("x.line").alias("a"), F.col("y.line").alias("b")).collect()}
+    assert links <= possible and len(possible) < 40  # of 8,385 pairs
+    stages = Stages(spark)
+    found = {(min(r), max(r)) for r in lines.line_links(table, stages, 9, 8, 3, 0.8).collect()}
+    assert found == links and len(found) >= 10

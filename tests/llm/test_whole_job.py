@@ -197,3 +197,41 @@ def test_lines_with_one_long_passage_are_not_all_compared(spark):
     stages = Stages(spark)
     found = {(min(r), max(r)) for r in lines.line_links(table, stages, 9, 8, 3, 0.8).collect()}
     assert found == links and len(found) >= 10
+
+
+def test_repeated_words_do_not_make_lines_possible(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = " ".join(word() for _ in range(20))
+    norms = [" ".join([" ".join(word() for _ in range(8))] * 12) + " " + passage for _ in range(60)]
+    norms += [t.replace(t[:6], "xyzxyz", 1) for t in norms[:5]]  # similar to one line each
+    table = spark.createDataFrame([(k, t, 1) for k, t in enumerate(norms)], "line long, norm string, n long")
+    cut = [{t[i:i + 9] for i in range(len(t) - 8)} for t in norms]
+    links = {(a, b) for b in range(len(norms)) for a in range(b) if len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b])}
+    sketch = lines.sketches(table, 9)
+    x, y = sketch.alias("x"), sketch.alias("y")
+    possible = {(r.a, r.b) for r in x.join(y, (F.col("x.line") < F.col("y.line")) & lines.possible("x", "y", 0.8)).select(F.col("x.line").alias("a"), F.col("y.line").alias("b")).collect()}
+    assert links <= possible and len(links) == 5 and len(possible) < 20  # of 2,080 pairs
+    assert {(min(r), max(r)) for r in lines.line_links(table, Stages(spark), 9, 8, 3, 0.8).collect()} == links
+
+
+def test_signatures_by_cells_are_those_of_all_hashes(spark, monkeypatch):
+    rng = random.Random(12)
+    norms = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (1, 5, 9, 10, 30, 127, 128, 129, 200, 300, 500, 900, 3000)] + ["x" * 400, "for " * 200, "\u65e5\u672c" * 90, "\U0001f600 a" * 60]
+    table = spark.createDataFrame([(k, t, 1) for k, t in enumerate(norms)], "line long, norm string, n long")
+    for bands, rows in ((8, 3), (5, 4), (12, 3), (1, 1)):
+        got = sorted(map(tuple, lines.signatures(table, Stages(spark), 9, bands, rows).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(lines, "LONG", 1 << 30)
+            assert got == sorted(map(tuple, lines.signatures(table, Stages(spark), 9, bands, rows).collect())) and len(got) == bands * len(norms)
+
+
+def test_recall_of_line_bands():
+    rng, fixed = np.random.default_rng(0), np.array(lines.numbers(8, 3), np.uint64)
+    for n in (12, 24, 50, 300):
+        common, met = round(n * 1.6 / 1.8), 0  # of n and n hashes: similarity 0.8
+        for _ in range(600):
+            h = rng.integers(0, 2**64, 2 * n - common, dtype=np.uint64)
+            a, b = ((x[:, None] ^ fixed).min(0).reshape(8, 3) for x in (h[:n], h[n - common:]))
+            met += (a == b).all(1).any()
+        assert met >= 0.985 * 600
